@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, exact_dedup, token_counts, token_sst
+from . import bpe, common, decontaminate, exact_dedup, token_counts, token_sst
 
 
 def _tokenizer(name: str) -> str:
@@ -32,6 +32,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(common.table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 OP7_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
@@ -46,5 +50,6 @@ QUERIES = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op5_token_counts": op5_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_decontaminate": op8_decontaminate,
 }
 ORACLES = {"op7_exact_dedup": OP7_SQL}
