@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontaminate, exact_dedup, token_counts, token_sst
+from . import bpe, common, decontaminate, exact_dedup, substring_dedup, token_counts, token_sst
 
 
 def _tokenizer(name: str) -> str:
@@ -36,6 +36,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(common.table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
@@ -51,5 +55,6 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_decontaminate": op8_decontaminate,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES = {"op7_exact_dedup": OP7_SQL}
