@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontaminate, exact_dedup, substring_dedup, token_counts, token_sst
+from . import bpe, common, decontaminate, exact_dedup, near_dedup, substring_dedup, token_counts, token_sst
 
 
 def _tokenizer(name: str) -> str:
@@ -23,6 +23,10 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(common.table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the vocabulary ends at 49407, so 65535 fits 16 bits and is no text's token
     return token_counts.token_counts(common.table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), 65535)
@@ -52,6 +56,7 @@ FROM g WINDOW w AS (PARTITION BY t)
 QUERIES = {
     "op1_token_sst": op1_token_sst,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op4_near_dedup": op4_near_dedup,
     "op5_token_counts": op5_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_decontaminate": op8_decontaminate,
