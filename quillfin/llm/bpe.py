@@ -154,7 +154,7 @@ class Vocabulary:
 class Encoder:
     """encode/decode with a vocabulary and, if given, a compiled lexicon."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, memo_entries: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, memo_entries: int = 700_000):
         self.v, self.lexicon = vocabulary, lexicon
         self.memo: dict[str, bytes] = {}
         self.memo_entries = memo_entries

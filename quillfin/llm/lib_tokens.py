@@ -32,12 +32,18 @@ class ChunkEncoder:
     with it, so that one call of the library encodes many.
     """
 
-    def __init__(self, path: str, memo_entries: int = 400_000, separator: str = "<|startoftext|>"):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, memo_entries: int = 1_000_000, separator: str = "<|startoftext|>"):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        # the same model behind a plain splitter, for words that are in normal form already
+        self.plain = Tokenizer.from_file(path)
+        self.plain.no_padding()
+        self.plain.no_truncation()
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.separator, self.sep_id = separator, self.tokenizer.token_to_id(separator)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -52,15 +58,16 @@ class ChunkEncoder:
         for c in missing:
             t = c.decode("utf-8", "replace")
             if t.isalpha() and (t.isascii() or max(t) < "\u0100"):
-                words.append((c, t))  # one word, whatever stands around it
+                words.append((c, t.lower()))  # one word, composed; whatever stands around it
             else:
                 (odd if "<|" in t else mixed).append((c, t))
         for c, t in odd:
             self.memo[c] = np.asarray(one(t).ids, dtype=self.dtype).tobytes()
-        for own, between, last in ((words, " ", False), (mixed, self.separator, True)):
+        quick = functools.partial(self.plain.encode, add_special_tokens=False)
+        for own, between, last, of in ((words, " ", False, quick), (mixed, self.separator, True, one)):
             for i in range(0, len(own), 2000):
                 part = own[i : i + 2000]
-                ids = np.asarray(one(between.join([t for _, t in part])).ids, dtype=self.dtype)
+                ids = np.asarray(of(between.join([t for _, t in part])).ids, dtype=self.dtype)
                 w, raw = self.dtype.itemsize, ids.tobytes()
                 if last:
                     at = np.flatnonzero(ids == self.sep_id)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontaminate, exact_dedup, near_dedup, substring_dedup, token_counts, token_sst
+from . import bpe, common, decontaminate, exact_dedup, near_dedup, ppm_language, pu_quality, substring_dedup, token_counts, token_sst
 
 
 def _tokenizer(name: str) -> str:
@@ -32,6 +32,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(common.table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), 65535)
 
 
+def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return pu_quality.classify(docs, pu_quality.fit(docs, common.table(spark, sf_dir, "labels")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(common.table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return ppm_language.identify(docs, ppm_language.fit(docs))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(common.table(spark, sf_dir, "documents"))
 
@@ -58,8 +68,10 @@ QUERIES = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op4_near_dedup": op4_near_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_pu_quality": op6_pu_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_decontaminate": op8_decontaminate,
+    "op9_ppm_language": op9_ppm_language,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES = {"op7_exact_dedup": OP7_SQL}
