@@ -70,7 +70,7 @@ def write_file(uri: str, chunks) -> int:
     fs, path = filesystem(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     part, size = f"{path}.{uuid.uuid4().hex}.tmp", 0
-    with fs.open_output_stream(part) as out:
+    with fs.open_output_stream(part, compression=None) as out:
         for chunk in chunks:
             out.write(chunk)
             size += len(chunk)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontaminate, exact_dedup, near_dedup, ppm_language, pu_quality, substring_dedup, token_counts, token_sst
+from . import bpe, common, decontaminate, exact_dedup, near_dedup, ppm_language, pu_quality, substring_dedup, token_counts, token_sst, warc_zstd
 
 
 def _tokenizer(name: str) -> str:
@@ -23,6 +23,23 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(common.table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op3_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.workspace(spark, "warc")
+    return warc_zstd.read_archives(warc_zstd.write_archives(common.table(spark, sf_dir, "pages"), path))
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (
+  SELECT page_id, octet_length(encode(t)) AS n, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS top FROM p
+)
+SELECT page_id, n AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+FROM d
+"""
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"))
 
@@ -66,6 +83,7 @@ FROM g WINDOW w AS (PARTITION BY t)
 QUERIES = {
     "op1_token_sst": op1_token_sst,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_warc_zstd": op3_warc_zstd,
     "op4_near_dedup": op4_near_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_pu_quality": op6_pu_quality,
@@ -74,4 +92,4 @@ QUERIES = {
     "op9_ppm_language": op9_ppm_language,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES = {"op7_exact_dedup": OP7_SQL}
+ORACLES = {"op3_warc_zstd": OP3_SQL, "op7_exact_dedup": OP7_SQL}
