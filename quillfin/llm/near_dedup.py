@@ -32,6 +32,9 @@ TOKENS = TREES * START + DEEPER
 #: A node of at most so many classes is compared exhaustively.
 SMALL = 24
 LEVELS = 14
+#: Trees whose pivots pass 1 links; its only aim is to join what is alike before pass 2,
+#: which goes through all trees.
+STAR_TREES = 6
 
 _rng = np.random.default_rng(20240517)
 _XOR = _rng.integers(0, 1 << 63, TOKENS, dtype=np.uint64)
@@ -237,8 +240,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nodes = common.stage(nodes, f"{path}/nodes")
 
     # pass 1: a pivot a node, the same one in every tree as far as it is there
-    pivots = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("key").alias("by"), "key", "n")).alias("p")).where("size > 1")
-    stars = nodes.join(pivots, "path").where((F.col("key") != F.col("p.key")) & _sizes_fit("n", "p.n", percent))
+    starred = nodes.where(F.col("tree") < STAR_TREES)
+    pivots = starred.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("key").alias("by"), "key", "n")).alias("p")).where("size > 1")
+    stars = starred.join(pivots, "path").where((F.col("key") != F.col("p.key")) & _sizes_fit("n", "p.n", percent))
     pairs = stars.select(F.col("p.key").alias("a"), F.col("key").alias("b")).distinct()
     pairs = common.stage(_promising(pairs, classes, percent), f"{path}/pairs1")
     links = _verified(pairs, classes, docs, id_col, text_col, words_each, percent, f"{path}/pass1")
