@@ -1 +1,197 @@
+"""Queries on raw events, book replay, event-driven fills, streams and baselines."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions.quotes import book_imbalance, fill_class, mid
+from ..model import FEATURES, HOURS, STREAM
+from ..operators import label, learn, split
+from ..sources import jsonl
+from .base import GRID_SQL, LABEL_SQL, QUOTES_SQL, events, featured, grid, labeled, query, table, with_
+
+
+def raw_records(spark, sf_dir):
+    """The quotes as raw feed records: a snapshot every 50 events of a market, else changes."""
+    q = events(spark, sf_dir)
+    w = Window.partitionBy("market_id").orderBy("timestamp_ms", "sequence_id")
+    level = lambda p, s: F.struct(F.col(p).cast("string").alias("price"), F.col(s).cast("string").alias("size"))
+    ts = F.col("timestamp_ms").cast("string").alias("timestamp")
+    book = F.to_json(F.struct(F.lit("book").alias("event_type"), F.col("market_id").alias("market"), "asset_id", ts, F.array(level("bid", "bid_size")).alias("bids"), F.array(level("ask", "ask_size")).alias("asks")))
+    change = lambda p, s, side: F.struct("asset_id", F.col(p).cast("string").alias("price"), F.when(F.col("sequence_id") % 7 == 0, "0").otherwise(F.col(s).cast("string")).alias("size"), F.lit(side).alias("side"))
+    delta = F.to_json(F.struct(F.lit("price_change").alias("event_type"), F.col("market_id").alias("market"), ts, F.array(change("bid", "bid_size", "BUY"), change("ask", "ask_size", "SELL")).alias("price_changes")))
+    n = F.row_number().over(w)
+    return q.select(
+        F.col("market_id").alias("source_file"), n.cast("long").alias("source_line"), F.lit(None).cast("string").alias("outer_asset_id"), F.lit(None).cast("string").alias("problem"),
+        F.lit(0).cast("long").alias("source_record_idx"), F.when((n - 1) % 50 < 2, book).otherwise(delta).alias("event"),
+    )
+
+
+@query("l2_replay")
+def l2_replay(spark, sf_dir):
+    """Book replay of raw records into canonical quotes (a fold a file)."""
+    return jsonl.canonical(jsonl.normalize(raw_records(spark, sf_dir)))
+
+
+@query("l2_rejections")
+def l2_rejections(spark, sf_dir):
+    return jsonl.normalize(raw_records(spark, sf_dir)).groupBy(F.coalesce("reject_reason", F.lit("VALID")).alias("reason")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    "topk_levels",
+    with_(
+        QUOTES_SQL,
+        """, d AS (SELECT market_id, timestamp_ms // 86400000 AS day, bid, max(bid_size) AS bs FROM q GROUP BY ALL), e AS (SELECT market_id, timestamp_ms // 86400000 AS day, ask, max(ask_size) AS s FROM q GROUP BY ALL),
+b AS (SELECT market_id, day, sum(bs) AS bv, max(bid) AS best_bid FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY market_id, day ORDER BY bid DESC) <= 5) GROUP BY ALL),
+a AS (SELECT market_id, day, sum(s) AS av, min(ask) AS best_ask FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY market_id, day ORDER BY ask) <= 5) GROUP BY ALL)
+SELECT market_id, day, best_bid, best_ask, round((bv - av) / (bv + av), 9) AS imbalance FROM b JOIN a USING (market_id, day)""",
+    ),
+)
+def topk_levels(spark, sf_dir):
+    """A book a market and day; imbalance of the five best levels of each side."""
+    q = events(spark, sf_dir).withColumn("day", F.floor(F.col("timestamp_ms") / 86_400_000).cast("long"))
+    side = lambda p, s, name: q.groupBy("market_id", "day", F.col(p).alias("price")).agg(F.max(s).alias("size")).groupBy("market_id", "day").agg(F.collect_list(F.struct("price", "size")).alias(name))
+    b = side("bid", "bid_size", "bids").join(side("ask", "ask_size", "asks"), ["market_id", "day"])
+    return b.select("market_id", "day", F.array_max("bids.price").alias("best_bid"), F.array_min("asks.price").alias("best_ask"), F.round(book_imbalance(F.col("bids"), F.col("asks")), 9).alias("imbalance"))
+
+
+@query(
+    "frame_kinds",
+    """WITH f AS (SELECT CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN 'PONG' WHEN 2 THEN ' ' WHEN 3 THEN 'INVALID OPERATION' WHEN 4 THEN '{broken' ELSE 'ping' END AS t, event_id % 6 AS k FROM events)
+SELECT CASE k WHEN 0 THEN 'JSON' WHEN 1 THEN 'CONTROL' WHEN 2 THEN 'EMPTY' WHEN 3 THEN 'PROTOCOL_ERROR' WHEN 4 THEN 'MALFORMED' ELSE 'CONTROL' END AS kind, count(*) AS frames FROM f GROUP BY 1""",
+)
+def frame_kinds(spark, sf_dir):
+    k = F.col("event_id") % 6
+    t = F.when(k == 0, F.col("props")).when(k == 1, "PONG").when(k == 2, " ").when(k == 3, "INVALID OPERATION").when(k == 4, "{broken").otherwise("ping")
+    return table(spark, sf_dir, "events").select(jsonl.frame_kind(t).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("frames"))
+
+
+@query(
+    "slot_rollover",
+    with_(
+        QUOTES_SQL,
+        """, s AS (SELECT *, timestamp_ms // 300000 * 300000 AS slot FROM q)
+SELECT slot, count(*) AS events, count_if(slot + 300000 - timestamp_ms <= 5000) AS in_blackout, count(DISTINCT market_id || asset_id) AS streams FROM s GROUP BY slot""",
+    ),
+)
+def slot_rollover(spark, sf_dir):
+    """Five-minute slots; no entries in a slot's last five seconds."""
+    slot = (F.floor(F.col("timestamp_ms") / 300_000) * 300_000).cast("long")
+    s = events(spark, sf_dir).withColumn("slot", slot)
+    return s.groupBy("slot").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("slot") + 300_000 - F.col("timestamp_ms") <= 5000).alias("in_blackout"), F.count_distinct(F.concat("market_id", "asset_id")).alias("streams"))
+
+
+@query(
+    "sequence_gaps",
+    with_(
+        QUOTES_SQL,
+        """, g AS (SELECT *, sequence_id - lag(sequence_id) OVER (PARTITION BY market_id ORDER BY sequence_id) AS step FROM q)
+SELECT market_id, count(*) AS updates, count_if(step > 1) AS gaps, max(step) AS widest FROM g GROUP BY 1""",
+    ),
+)
+def sequence_gaps(spark, sf_dir):
+    """Missing update ids; a live book would ask for a new snapshot there."""
+    w = Window.partitionBy("market_id").orderBy("sequence_id")
+    g = events(spark, sf_dir).withColumn("step", F.col("sequence_id") - F.lag("sequence_id").over(w))
+    return g.groupBy("market_id").agg(F.count(F.lit(1)).alias("updates"), F.count_if(F.col("step") > 1).alias("gaps"), F.max("step").alias("widest"))
+
+
+_T, _X = 6 * HOURS.step, 5 * HOURS.step
+_FILL = "CASE WHEN side = 'BUY' THEN e.ask <= lim OR e.bid < lim ELSE e.bid >= lim OR e.ask > lim END"
+EVENT_SIM_SQL = (
+    QUOTES_SQL
+    + f""",
+od AS (SELECT *, CASE WHEN sequence_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, CASE WHEN sequence_id % 2 = 0 THEN bid ELSE ask END AS lim FROM q WHERE sequence_id % 5 = 0),
+fi AS (SELECT o.sequence_id, min((e.timestamp_ms, e.sequence_id)) AS f FROM od o JOIN q e ON o.market_id = e.market_id AND o.asset_id = e.asset_id AND e.timestamp_ms > o.timestamp_ms AND e.timestamp_ms <= o.timestamp_ms + {_T} WHERE {_FILL} GROUP BY 1),
+fx AS (SELECT o.*, f[1] AS fill_ms FROM od o LEFT JOIN fi USING (sequence_id)),
+v AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY market_id, asset_id, timestamp_ms ORDER BY sequence_id) = 1),
+xx AS (SELECT fx.sequence_id, side, lim, fill_ms, x.bid AS xb, x.ask AS xa FROM (SELECT *, fill_ms + {_X} AS due FROM fx WHERE fill_ms IS NOT NULL) fx ASOF LEFT JOIN v x ON fx.market_id = x.market_id AND fx.asset_id = x.asset_id AND fx.due <= x.timestamp_ms)"""
+)
+
+
+@query(
+    "maker_event_sim",
+    with_(
+        EVENT_SIM_SQL,
+        """SELECT o.sequence_id, o.side, o.lim AS limit_price, o.fill_ms AS fill_timestamp_ms, CASE WHEN o.side = 'BUY' THEN xb ELSE xa END AS exit_price,
+  CASE WHEN o.fill_ms IS NULL THEN 'CANCELLED_UNFILLED' WHEN xb IS NULL THEN 'INCOMPLETE_MISSING_EXIT' ELSE 'COMPLETED' END AS outcome FROM fx o LEFT JOIN xx USING (sequence_id)""",
+    ),
+)
+def maker_event_sim(spark, sf_dir):
+    """Event-driven passive orders: the first later quote in time that fills, then the first
+    quote after the holding time. The range join runs on time buckets of the timeout."""
+    from ..operators.asof import forward_match
+
+    q = events(spark, sf_dir)
+    even = F.col("sequence_id") % 2 == 0
+    o = q.where("sequence_id % 5 = 0").withColumns({"side": F.when(even, "BUY").otherwise("SELL"), "limit_price": F.when(even, F.col("bid")).otherwise(F.col("ask"))})
+    o = o.select("sequence_id", *STREAM, "timestamp_ms", "side", "limit_price")
+    bucket = F.floor(F.col("timestamp_ms") / _T)
+    left = o.withColumn("b", F.explode(F.array(bucket, bucket + 1)))
+    right = q.select(*STREAM, bucket.alias("b"), F.col("timestamp_ms").alias("t"), F.col("sequence_id").alias("s"), F.col("bid").alias("eb"), F.col("ask").alias("ea"))
+    near = left.join(right, [*STREAM, "b"]).where((F.col("t") > F.col("timestamp_ms")) & (F.col("t") <= F.col("timestamp_ms") + _T))
+    kind = fill_class(F.col("side"), F.col("limit_price"), F.col("eb"), F.col("ea"))
+    fills = near.where(kind.isin("CONFIRMED_PRICE_THROUGH", "AMBIGUOUS_QUOTE_RETREAT")).groupBy("sequence_id").agg(F.min("t").alias("fill_timestamp_ms"))
+    done = o.join(fills, "sequence_id", "left")
+    filled = done.where(F.col("fill_timestamp_ms").isNotNull())
+    out = forward_match(filled, q, "fill_timestamp_ms", _X, 400 * 86_400_000, ["bid", "ask"], keys=STREAM)
+    exits = out.select("sequence_id", F.when(F.col("side") == "BUY", F.col("target.bid")).otherwise(F.col("target.ask")).alias("exit_price"))
+    every = done.join(exits, "sequence_id", "left")
+    status = F.when(F.col("fill_timestamp_ms").isNull(), "CANCELLED_UNFILLED").when(F.col("exit_price").isNull(), "INCOMPLETE_MISSING_EXIT").otherwise("COMPLETED")
+    return every.select("sequence_id", "side", "limit_price", "fill_timestamp_ms", "exit_price", status.alias("outcome"))
+
+
+_ON = "OVER (PARTITION BY market_id, asset_id ORDER BY grid_timestamp_ms)"
+
+
+@query(
+    "feat_online",
+    with_(
+        GRID_SQL,
+        f""", m AS (SELECT *, (bid + ask) / 2.0 AS mid FROM grid), o AS (SELECT *, """
+        + ", ".join(f"(mid - coalesce(lag(mid, {k}) {_ON}, mid)) / greatest(coalesce(lag(mid, {k}) {_ON}, mid), 1e-6) AS r{k}" for k in (1, 3, 5))
+        + f", row_number() {_ON} AS n FROM m) SELECT market_id, asset_id, grid_timestamp_ms, round(r1, 9) AS r1, round(r3, 9) AS r3, round(r5, 9) AS r5, n >= 10 AS warm FROM o",
+    ),
+)
+def feat_online(spark, sf_dir):
+    """The live engine's features: a missing lag is the row itself, denominators at least 1e-6."""
+    w = Window.partitionBy(*STREAM).orderBy("grid_timestamp_ms")
+    g = grid(spark, sf_dir).withColumn("mid", mid())
+    r = {}
+    for k in (1, 3, 5):
+        before = F.coalesce(F.lag("mid", k).over(w), F.col("mid"))
+        r[f"r{k}"] = F.round((F.col("mid") - before) / F.greatest(before, F.lit(1e-6)), 9)
+    return g.withColumns(r).select(*STREAM, "grid_timestamp_ms", "r1", "r3", "r5", (F.row_number().over(w) >= 10).alias("warm"))
+
+
+@query("stream_grid_parity")
+def stream_grid_parity(spark, sf_dir):
+    """The grid of the streaming operator over the stored events, replayed in order to the end."""
+    import tempfile
+    import uuid
+
+    from ..sources.quotes import from_events
+    from ..streaming.grid import grid_stream
+
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    rows = from_events(stream).withColumn("at", F.timestamp_millis("timestamp_ms"))
+    name = f"grid_{uuid.uuid4().hex}"
+    with tempfile.TemporaryDirectory() as checkpoint:
+        q = grid_stream(rows, HOURS, "0 seconds", most_waiting=10_000_000).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.table(name)
+
+
+@query("baseline_models")
+def baseline_models(spark, sf_dir):
+    d = split.simple_cut(featured(spark, sf_dir), "grid_timestamp_ms", split.TIES)
+    d = d.withColumn("y", F.when(F.col("label") == "DOWN", 0).when(F.col("label") == "FLAT", 1).otherwise(2))
+    return learn.fit_and_score(d.where("split = 'train'"), d.where("split = 'validation'"), FEATURES)
+
+
+@query("label_event_pool_counts", with_(LABEL_SQL, "SELECT 'events' AS pool, count(*) AS labels FROM labeled"))
+def label_event_pool_counts(spark, sf_dir):
+    return label.clean(labeled(spark, sf_dir)).agg(F.count(F.lit(1)).alias("labels")).select(F.lit("events").alias("pool"), "labels")
