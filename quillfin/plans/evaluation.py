@@ -21,7 +21,10 @@ pr0 AS (
 ),
 pred AS (SELECT *, greatest(p0, p1, p2) AS confidence, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS prediction FROM pr0)"""
 )
-P = [F.col("p0"), F.col("p1"), F.col("p2")]
+
+
+def probs():
+    return [F.col("p0"), F.col("p1"), F.col("p2")]
 
 
 def predictions(df: DataFrame) -> DataFrame:
@@ -30,7 +33,7 @@ def predictions(df: DataFrame) -> DataFrame:
     total = 3 + s % 7 + s % 5 + s % 11
     out = df.withColumns({f"p{k}": (1 + s % m).cast("double") / total for k, m in enumerate((7, 5, 11))})
     out = out.withColumn("y", F.when(F.col("label") == "DOWN", 0).when(F.col("label") == "FLAT", 1).otherwise(2))
-    return out.withColumns({"confidence": F.greatest(*P), "prediction": argmax(P)})
+    return out.withColumns({"confidence": F.greatest(*probs()), "prediction": argmax(probs())})
 
 
 def predicted(spark, sf_dir):
@@ -90,7 +93,7 @@ def quality_labels_report(spark, sf_dir):
 )
 def nll_brier(spark, sf_dir):
     y = F.col("y")
-    return predicted(spark, sf_dir).agg(F.round(metrics.nll(y, P), 8).alias("nll"), F.round(metrics.brier(y, P), 8).alias("brier"), F.count(F.lit(1)).alias("rows"))
+    return predicted(spark, sf_dir).agg(F.round(metrics.nll(y, probs()), 8).alias("nll"), F.round(metrics.brier(y, probs()), 8).alias("brier"), F.count(F.lit(1)).alias("rows"))
 
 
 ECE_SQL = (
@@ -133,7 +136,7 @@ SELECT market_id, asset_id, grid_timestamp_ms, round(a / (a + b + c), 9) AS q0,
     ),
 )
 def softmax_temperature(spark, sf_dir):
-    q = softmax([F.log(p) for p in P], 0.8)
+    q = softmax([F.log(p) for p in probs()], 0.8)
     return predicted(spark, sf_dir).select("market_id", "asset_id", "grid_timestamp_ms", *[F.round(x, 9).alias(f"q{k}") for k, x in enumerate(q)])
 
 
@@ -149,7 +152,7 @@ SELECT temperature, round(avg(ln(exp(a) + exp(b) + exp(c)) - CASE y WHEN 0 THEN
     ),
 )
 def temperature_grid(spark, sf_dir):
-    df = predicted(spark, sf_dir).withColumns({f"z{k}": F.log(p) for k, p in enumerate(P)})
+    df = predicted(spark, sf_dir).withColumns({f"z{k}": F.log(p) for k, p in enumerate(probs())})
     return metrics.temperature_grid(df, "y", ["z0", "z1", "z2"], _TEMPERATURES).withColumn("nll", F.round("nll", 8))
 
 
@@ -273,7 +276,7 @@ def block_bootstrap(spark, sf_dir):
 
 @query("temperature_fit")
 def temperature_fit(spark, sf_dir):
-    df = predicted(spark, sf_dir).select("y", *[F.log(p).alias(f"z{k}") for k, p in enumerate(P)])
+    df = predicted(spark, sf_dir).select("y", *[F.log(p).alias(f"z{k}") for k, p in enumerate(probs())])
     t = metrics.fit_temperature(df, "y", ["z0", "z1", "z2"], high=1000.0, tolerance=1e-3)
     return spark.createDataFrame([(t,)], "temperature double")
 

@@ -240,7 +240,7 @@ def market_level_agg(spark, sf_dir):
     with_(
         QUOTES_SQL,
         """, c AS (SELECT *, (bid + ask) / 2.0 AS m, ask - bid AS s, lag((bid + ask) / 2.0) OVER w AS pm, lag(ask - bid) OVER w AS ps FROM q WHERE timestamp_ms < (SELECT min(timestamp_ms) + 28800000 FROM q) WINDOW w AS (PARTITION BY market_id, asset_id ORDER BY timestamp_ms, sequence_id)),
-a AS (SELECT market_id, asset_id, count(*) AS n, count(DISTINCT (bid, ask)) AS u, count_if(m <> pm) AS p, count_if(s <> ps) AS s FROM c GROUP BY ALL)
+a AS (SELECT market_id, asset_id, count(*) AS n, count(DISTINCT (bid, ask)) AS u, coalesce(count_if(m <> pm), 0) AS p, coalesce(count_if(s <> ps), 0) AS s FROM c GROUP BY ALL)
 SELECT market_id, asset_id, n AS samples, round(least(n / 30, 1.0) * 40 + least(u / 5, 1.0) * 30 + least(p / 3, 1.0) * 20 + least(s / 3, 1.0) * 10, 2) AS score FROM a""",
     ),
 )
