@@ -154,7 +154,7 @@ class Vocabulary:
 class Encoder:
     """encode/decode with a vocabulary and, if given, a compiled lexicon."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, memo_entries: int = 700_000):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, memo_entries: int = 400_000):
         self.v, self.lexicon = vocabulary, lexicon
         self.memo: dict[str, bytes] = {}
         self.memo_entries = memo_entries
@@ -221,10 +221,20 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-@functools.cache
+_worker: dict[str, tuple[str, Encoder]] = {}
+common.memo("bpe", _worker.clear)
+
+
 def worker_encoder(path: str, lexicon_file: str) -> Encoder:
-    """One for the life of a Python worker."""
-    return Encoder(vocabulary(path), Lexicon(SparkFiles.get(lexicon_file)) if lexicon_file else None)
+    """One for the life of a Python worker; a new lexicon takes over the memo, whose ids hold."""
+    common.using("bpe")
+    name, encoder = _worker.get(path, ("", None))
+    if encoder is None or name != lexicon_file:
+        fresh = Encoder(vocabulary(path), Lexicon(SparkFiles.get(lexicon_file)) if lexicon_file else None)
+        if encoder is not None:
+            fresh.memo = encoder.memo
+        _worker[path] = (lexicon_file, fresh)
+    return _worker[path][1]
 
 
 def frequent_words(texts: DataFrame, top: int, rare: float = 2e-6) -> list[str]:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch handed to Python; Spark also bounds a batch in bytes.
+#: Rows and bytes of an Arrow batch handed to Python, whichever is reached first.
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -52,6 +56,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver forget plans and broadcasts that are done with, so that Spark deletes
+    their shuffle files now instead of whenever the driver's garbage is next collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """pyarrow's file system for a URI of the shared folder, and the path in it."""
     if "://" not in uri and not uri.startswith("file:"):
@@ -98,6 +109,34 @@ def prepare(spark: SparkSession) -> None:
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
     if now > BATCH_ROWS or now <= 0:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+_memos: dict[str, object] = {}
+_using = ""
+
+
+def memo(name: str, forget) -> None:
+    """Register a worker's cache: ``forget()`` empties it."""
+    _memos[name] = forget
+
+
+def using(name: str) -> None:
+    """Called by the owner of a cache before it works: when a Python worker turns from one
+    operator to another, the caches of the others are emptied and their memory returned."""
+    global _using
+    if name == _using:
+        return
+    _using = name
+    for other, forget in _memos.items():
+        if other != name:
+            forget()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass
+    pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

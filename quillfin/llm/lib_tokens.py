@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from . import common
+
 
 #: An ASCII or Latin-1 letter (in UTF-8) before ASCII punctuation other than the apostrophe.
 _EDGE = re.compile(rb"([a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([!-&(-/:-@\[-`{-~]+)")
@@ -99,7 +101,13 @@ class ChunkEncoder:
         return out
 
 
-@functools.cache
+_encoders: dict[str, ChunkEncoder] = {}
+common.memo("chunks", _encoders.clear)
+
+
 def chunk_encoder(path: str) -> ChunkEncoder:
     """One encoder for the life of a Python worker."""
-    return ChunkEncoder(path)
+    common.using("chunks")
+    if path not in _encoders:
+        _encoders[path] = ChunkEncoder(path)
+    return _encoders[path]

@@ -182,12 +182,12 @@ def classify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 def accepted(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` with a score of ``threshold`` or more, with all their columns."""
     common.prepare(docs.sparkSession)
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("double")
-    def score_of(texts):
-        import pandas as pd
-
-        raw = [(t or "").encode() for t in texts]
-        return pd.Series(np.concatenate([model.score(features(p)) for p in _parts(raw)]) if raw else np.empty(0))
+    def keep(batches):
+        for b in batches:
+            raw = b.column(at).cast(pa.string()).fill_null("").cast(pa.binary()).to_pylist()
+            if raw:
+                yield b.filter(pa.array(np.concatenate([model.score(features(p)) for p in _parts(raw)]) >= threshold))
 
-    return docs.where(score_of(docs[text_col].cast("string")) >= threshold)
+    return docs.mapInArrow(keep, docs.schema)

@@ -279,7 +279,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return result if with_text else result.drop("kept_text")
 
 
-def _parts(texts: list[bytes], most: int = 4 << 20):
+def _parts(texts: list[bytes], most: int = 2 << 20):
     """Neighbouring texts of some megabytes together (one longer text alone)."""
     part, size = [], 0
     for t in texts:

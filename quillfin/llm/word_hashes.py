@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from . import common
+
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _S = np.uint64(29)
@@ -14,13 +16,14 @@ class _Memo(dict):
     """word -> 64-bit hash, bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
 _memo = _Memo()
+common.memo("words", _memo.clear)
 
 
 def split_words(text: bytes) -> list[bytes]:
@@ -30,6 +33,7 @@ def split_words(text: bytes) -> list[bytes]:
 
 def hash_words(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """All words' hashes in one array, and where each text begins (one more for the end)."""
+    common.using("words")
     starts = np.zeros(len(words) + 1, np.int64)
     np.cumsum([len(w) for w in words], out=starts[1:])
     out = np.empty(int(starts[-1]), np.uint64)
