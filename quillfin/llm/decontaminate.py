@@ -32,13 +32,18 @@ def _windows(df: DataFrame, keep: list[str], words: str) -> DataFrame:
     return df.where(n > 0).select(*keep, F.inline(F.arrays_zip(at, *shifted)))
 
 
-def _seed(masks: list[tuple[int, str]]) -> Column:
-    """array<struct<mask, seed>>; null seeds where the window is cut by the text's end."""
+def _seed(masks: list[tuple[int, str]], item_words: Column | None = None) -> Column:
+    """A seed a mask; null where the window is cut by the text's end.
+
+    With ``item_words``, masks shorter than SPAN are for items of exactly that length.
+    """
     out = []
     for number, mask in masks:
         used = [F.col(f"w{k}") for k, c in enumerate(mask) if c == "1"]
-        last = F.col(f"w{len(mask) - 1}")
-        out.append(F.when(last.isNotNull(), F.xxhash64(F.lit(number), *used)))
+        fits = F.col(f"w{len(mask) - 1}").isNotNull()
+        if item_words is not None and len(mask) < SPAN:
+            fits &= item_words == len(mask)
+        out.append(F.when(fits, F.xxhash64(F.lit(number), *used)))
     return F.explode(F.array(*out))
 
 
@@ -67,7 +72,7 @@ def decontaminate(
     items = items.where(F.size("words") > 0).withColumn("item_words", F.size("words"))
     short = [r[0] for r in items.where(F.col("item_words") < SPAN).select("item_words").distinct().collect()]  # at most 8 numbers
     masks = list(enumerate([*MASKS, *("1" * n for n in sorted(short))]))
-    ours = _windows(items, ["item_id", "item_words"], "words").withColumn("seed", _seed(masks))
+    ours = _windows(items, ["item_id", "item_words"], "words").withColumn("seed", _seed(masks, F.col("item_words")))
     seeds = ours.where(F.col("seed").isNotNull()).select(
         "seed", "item_id", "item_words", F.col("pos").alias("item_pos"), *[F.col(f"w{k}").alias(f"i{k}") for k in range(SPAN)]
     ).distinct()
