@@ -93,7 +93,9 @@ def scan(files: DataFrame, end_id: int, *, width: int = 2, block_tokens: int = 4
                     [pa.array([uri] * len(at), pa.string()), pa.array(np.full(len(at), block)), pa.array(np.arange(len(at))), pa.array(at)], schema=_ENDS_PA
                 )
 
-    dealt = files.select("file").distinct().mapInArrow(blocks, "file string, block long").repartition("file", "block")
+    found = files.select("file").distinct()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), found.count())  # given, so never merged
+    dealt = found.mapInArrow(blocks, "file string, block long").repartition(tasks, "file", "block")
     ends = dealt.mapInArrow(search, ENDS)
     # blocks without an end add nothing to either sum, so they need no summary
     summary = ends.groupBy("file", "block").agg(F.count(F.lit(1)).alias("inside"), F.max("at").alias("last"))

@@ -255,4 +255,6 @@ def read_archives(paths: DataFrame, payloads: bool = False) -> DataFrame:
                         raise WarcError(f"{uri}: {e}") from e
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return paths.select("path").distinct().repartition("path").mapInArrow(read, schema)
+    found = paths.select("path").distinct()
+    # a number of its own keeps adaptive execution from putting all these tiny rows into one task
+    return found.repartition(max(1, found.count()), "path").mapInArrow(read, schema)
