@@ -91,13 +91,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain_counts(sql: str) -> str:
+    """``sql`` with every aggregate count_if(...) as a 64-bit number, as Spark counts."""
+    out, at = [], 0
+    while (k := sql.find("count_if(", at)) >= 0:
+        depth, end = 1, k + len("count_if(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        over = sql[end:].lstrip().upper().startswith("OVER")
+        body = "count_if(" + plain_counts(sql[k + len("count_if(") : end])
+        out += [sql[at:k], body if over else f"CAST({body} AS BIGINT)"]
+        at = end
+    return "".join(out) + sql[at:]
+
+
 def query(name: str, sql: str | None = None):
     """Register a query and its SQL."""
 
     def add(f):
         QUERIES[name] = f
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = plain_counts(sql)
         return f
 
     return add
