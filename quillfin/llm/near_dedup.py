@@ -6,10 +6,11 @@ tokens; its paths start from tokens of its own and go on, one token a level, as
 node is large. A node's classes share all tokens of its path, so two sets of similarity s
 share a node of depth d in a tree with probability s**d, and independent trees repeat that.
 
-Pass 1 links every node's classes to its pivot; verified links give components. Pass 2
-drops nodes that lie within one component, compares the classes of different components in
-small nodes exhaustively and branches the large ones on; what is still large at the last
-level is compared exhaustively too, dealt out by blocks. Every link is confirmed on full
+Pass 1 links the nodes' classes to pivots; verified links give components. Pass 2
+drops nodes that lie within one component, compares the classes of different components
+exhaustively in small nodes and where few classes stand outside a node's main component, and
+branches the other nodes on; what is still large at the last level is compared exhaustively
+too, dealt out by blocks. Every link is confirmed on full
 shingle sets. Components are connected by least-label rounds on stored tables.
 """
 
@@ -31,10 +32,17 @@ TREES, START, DEEPER = 16, 2, 32
 TOKENS = TREES * START + DEEPER
 #: A node of at most so many classes is compared exhaustively.
 SMALL = 24
-LEVELS = 14
+#: Up to so many classes outside the main component of a large node meet all its classes.
+OUTSIDERS = 8
+LEVELS = 8
+#: Tokens by which a large node's paths grow at each level.
+STRIDE = 2
 #: Trees whose pivots pass 1 links; its only aim is to join what is alike before pass 2,
 #: which goes through all trees.
-STAR_TREES = 6
+STAR_TREES = 3
+#: Pivots of a large node. One class seldom reaches all that a large group links together;
+#: a few, chosen by hashes that are the same in all trees, do.
+PIVOTS = 8
 
 _rng = np.random.default_rng(20240517)
 _XOR = _rng.integers(0, 1 << 63, TOKENS, dtype=np.uint64)
@@ -156,7 +164,11 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
 
     # the same id may stand for several texts, and a class come from several of them
     found = texts.mapInArrow(sets, "key binary, members binary").join(involved, "key", "left_semi")
-    found = common.stage(found, f"{path}/sets").dropDuplicates(["key"])
+    found = common.stage(found, f"{path}/sets")
+    if found.select("key").distinct().count() < found.count():
+        found = common.stage(found.dropDuplicates(["key"]), f"{path}/distinct")
+    common.release(found.sparkSession)
+    # both sides of the joins below are plain exchanges, so a hot pivot's rows can be split
     one = found.select(F.col("key").alias("a"), F.col("members").alias("ma"))
     two = found.select(F.col("key").alias("b"), F.col("members").alias("mb"))
 
@@ -191,6 +203,7 @@ def _connect(links: DataFrame, path: str) -> DataFrame:
         around = both.join(labels.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
         nearer = labels.join(around, "key", "left").select("key", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
         nearer = common.stage(nearer, f"{path}/near{turn}")
+        common.release(both.sparkSession)
         if nearer.where(F.col("new") != F.col("label")).limit(1).count() == 0:
             break
         hop = nearer.select(F.col("key").alias("new"), F.col("new").alias("next"))
@@ -199,11 +212,13 @@ def _connect(links: DataFrame, path: str) -> DataFrame:
 
 
 def _branch(nodes: DataFrame, classes: DataFrame, level: int) -> DataFrame:
-    """Large nodes' classes, dealt on by each tree's next token."""
-    number = F.element_at(F.array(*[F.lit(START * TREES + order[level % DEEPER]) for order in _ORDER]), F.col("tree") + 1)
-    token = F.substring(F.col("tokens"), number * 4 + 1, F.lit(4))
+    """Large nodes' classes, dealt on by each tree's next tokens."""
+    tokens = []
+    for k in range(level * STRIDE, (level + 1) * STRIDE):
+        number = F.element_at(F.array(*[F.lit(START * TREES + order[k % DEEPER]) for order in _ORDER]), F.col("tree") + 1)
+        tokens.append(F.substring(F.col("tokens"), number * 4 + 1, F.lit(4)))
     more = nodes.join(classes.select("key", "tokens"), "key")
-    return more.select("tree", F.xxhash64("path", token).alias("path"), "key", "n", "label")
+    return more.select("tree", F.xxhash64("path", *tokens).alias("path"), "key", "n", "label")
 
 
 def _pairs_within(nodes: DataFrame, percent: int, blocks: int = 1) -> DataFrame:
@@ -215,6 +230,14 @@ def _pairs_within(nodes: DataFrame, percent: int, blocks: int = 1) -> DataFrame:
     return both.where(_sizes_fit("na", "nb", percent)).select("a", "b")
 
 
+def _pairs_across(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a node's few classes outside its main component with all its classes."""
+    one = nodes.where(F.col("label") != F.col("main")).select("path", F.col("key").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    two = nodes.select("path", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    both = one.join(two, "path").where((F.col("la") != F.col("lb")) & _sizes_fit("na", "nb", percent))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, percent: int = 75) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept.
 
@@ -241,23 +264,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # pass 1: a pivot a node, the same one in every tree as far as it is there
     starred = nodes.where(F.col("tree") < STAR_TREES)
-    pivots = starred.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("key").alias("by"), "key", "n")).alias("p")).where("size > 1")
-    stars = starred.join(pivots, "path").where((F.col("key") != F.col("p.key")) & _sizes_fit("n", "p.n", percent))
-    pairs = stars.select(F.col("p.key").alias("a"), F.col("key").alias("b")).distinct()
+    chosen = [F.min(F.struct(F.xxhash64(F.lit(k), "key").alias("by"), "key", "n")) for k in range(PIVOTS)]
+    pivots = starred.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.array(*chosen).alias("p")).where("size > 1")
+    pivots = pivots.select("path", F.when(F.col("size") > SMALL, F.col("p")).otherwise(F.slice("p", 1, 1)).alias("p"))
+    fits = lambda x: (x["key"] != F.col("key")) & _sizes_fit(F.col("n"), x["n"], percent)
+    stars = starred.join(pivots, "path").select("key", F.explode(F.filter("p", fits)).alias("p"))
+    one, two = F.least("key", "p.key"), F.greatest("key", "p.key")
+    pairs = stars.select(one.alias("a"), two.alias("b")).distinct()
     pairs = common.stage(_promising(pairs, classes, percent), f"{path}/pairs1")
+    common.release(spark)
     links = _verified(pairs, classes, docs, id_col, text_col, words_each, percent, f"{path}/pass1")
     first = _connect(links, f"{path}/connect1")
     labels = common.stage(classes.select("key").join(first, "key", "left").select("key", F.coalesce("label", "key").alias("label")), f"{path}/labels")
+    common.release(spark)
 
     # pass 2: what different components have in common
     level_nodes, found = nodes.join(labels, "key"), []
     for level in range(LEVELS + 1):
-        kinds = level_nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-        mixed = kinds.where(F.col("low") != F.col("high")).select("path", "size")
+        per = level_nodes.groupBy("path", "label").agg(F.count(F.lit(1)).alias("c"))
+        kinds = per.groupBy("path").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("components")).where("components > 1")
+        mixed = kinds.select("path", "size", F.col("top.label").alias("main"), (F.col("size") - F.col("top.c")).alias("others"))
         level_nodes = common.stage(level_nodes.join(mixed, "path"), f"{path}/level{level}")
-        small = _pairs_within(level_nodes.where(F.col("size") <= SMALL), percent)
-        large = level_nodes.where(F.col("size") > SMALL).drop("size")
-        found.append(small)
+        common.release(spark)
+        found.append(_pairs_within(level_nodes.where(F.col("size") <= SMALL), percent))
+        found.append(_pairs_across(level_nodes.where((F.col("size") > SMALL) & (F.col("others") <= OUTSIDERS)), percent))
+        large = level_nodes.where((F.col("size") > SMALL) & (F.col("others") > OUTSIDERS)).drop("size", "main", "others")
         if large.limit(1).count() == 0:
             break
         if level == LEVELS:
@@ -267,6 +298,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     for more in found[1:]:
         every = every.union(more)
     pairs = common.stage(_promising(every.distinct(), classes, percent), f"{path}/pairs2")
+    common.release(spark)
     links = _verified(pairs, classes, docs, id_col, text_col, words_each, percent, f"{path}/pass2")
     across = links.join(labels.select(F.col("key").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("key").alias("b"), F.col("label").alias("lb")), "b")
     across = across.where(F.col("la") != F.col("lb")).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
