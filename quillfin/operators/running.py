@@ -10,11 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def row_index(df: DataFrame, time: str, ties: list[str], name: str = "row_index") -> DataFrame:
-    """0-based position in the order (time, ties)."""
+def per_time(df: DataFrame, time: str) -> DataFrame:
+    """(time, rows at it as _n, rows before it as _before): one row a distinct time."""
     per = df.groupBy(time).agg(F.count(F.lit(1)).alias("_n"))
     ahead = Window.orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
-    before = per.select(time, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    return per.select(time, "_n", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+
+
+def row_index(df: DataFrame, time: str, ties: list[str], name: str = "row_index", per: DataFrame | None = None) -> DataFrame:
+    """0-based position in the order (time, ties). per: per_time(df), if it is there already."""
+    before = (per_time(df, time) if per is None else per).select(time, "_before")
     own = Window.partitionBy(time).orderBy(*ties)
     return df.join(before, time).withColumn(name, F.col("_before") + F.row_number().over(own) - 1).drop("_before")
 

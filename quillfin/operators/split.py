@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import row_index
+from .running import per_time, row_index
 
 TIES = ["market_id", "asset_id"]
 
@@ -21,11 +21,13 @@ def required_purge(label: int = 7000, feature: int = 5000, sequence: int = 10000
 def ratio_split(df: DataFrame, purge: int, time: str = "grid_timestamp_ms", ties: list[str] | None = None, ratios: tuple[float, float, float] = (0.7, 0.15, 0.15), least: int = 10) -> DataFrame:
     """``df`` with column split: train, validation, test or purged.
 
-    Sizes follow from the number of rows and the time span; only counts per time reach the
-    driver's aggregates, rows never do.
+    Sizes follow from the number of rows and the time span. Rows are counted per time once;
+    cuts are found on these counts.
     """
     ties = ties or TIES
-    at = df.agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("lo"), F.max(time).alias("hi")).first()
+    per = per_time(df, time).persist()  # a row a distinct time; the questions below only ask this
+    t, n, before = F.col(time), F.col("_n"), F.col("_before")
+    at = per.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.min(t).alias("lo"), F.max(t).alias("hi")).first()
     if not at.n:
         raise ValueError("empty dataset")
     if at.hi - at.lo <= 2 * purge or at.n < 3 * least:
@@ -35,22 +37,22 @@ def ratio_split(df: DataFrame, purge: int, time: str = "grid_timestamp_ms", ties
     n_train = max(least, round(usable * ratios[0]))
     allowed = at.n - (2 * least + 2 * per_purge)
     n_train = min(n_train, allowed) if allowed >= least else n_train
-    rows = row_index(df, time, ties)
-    train_end = rows.where(F.col("row_index") < n_train).agg(F.max(time)).first()[0]
-    rest = rows.where(F.col(time) >= train_end + purge).agg(F.count(F.lit(1)), F.min("row_index")).first()
+    train_end = per.where(before < n_train).agg(F.max(t)).first()[0]
+    rest = per.where(t >= train_end + purge).agg(F.coalesce(F.sum(n), F.lit(0)), F.min(before)).first()
     if rest[0] < 2 * least:
         raise ValueError("too few rows after the first purge")
     n_val = max(least, round(max(2 * least, rest[0] - per_purge) * ratios[1] / (ratios[1] + ratios[2])))
     n_val = min(n_val, rest[0] - least)
     while True:
-        val = (F.col(time) >= train_end + purge) & (F.col("row_index") < rest[1] + n_val)
-        val_end = rows.where(val).agg(F.max(time)).first()[0]
-        n_test = rows.where(F.col(time) >= val_end + purge).count()
+        val_end = per.where((t >= train_end + purge) & (before < rest[1] + n_val)).agg(F.max(t)).first()[0]
+        n_test = per.where(t >= val_end + purge).agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
         if n_test >= least or n_val <= least:
             break
         n_val -= 1
     if n_test < least:
         raise ValueError("too few rows after the second purge")
+    rows = row_index(df, time, ties, per=per)
+    val = (t >= train_end + purge) & (F.col("row_index") < rest[1] + n_val)
     part = F.when(F.col("row_index") < n_train, "train").when(val, "validation").when(F.col(time) >= val_end + purge, "test").otherwise("purged")
     return rows.withColumn("split", part)
 
