@@ -104,7 +104,9 @@ def scan(files: DataFrame, end_id: int, *, width: int = 2, block_tokens: int = 4
         "file", "block", F.coalesce(F.sum("inside").over(before), F.lit(0)).alias("documents_before"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("last_before")
     )
     own = Window.partitionBy("file", "block").orderBy("nth")
-    joined = ends.join(carried, ["file", "block"]).withColumn("previous", F.coalesce(F.lag("at").over(own), F.col("last_before")))
+    # ends compress so well that adaptive execution would take millions of rows for a small
+    # side and broadcast them; both sides grow with the corpus, so they are merged
+    joined = ends.hint("merge").join(carried.hint("merge"), ["file", "block"]).withColumn("previous", F.coalesce(F.lag("at").over(own), F.col("last_before")))
     return joined.select(
         "file",
         (F.col("documents_before") + F.col("nth")).alias("ordinal"),
@@ -123,4 +125,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, end_id: int, *, id_col: s
     listing = write_flat(docs, path, tokenizer_path, end_id, id_col=id_col, text_col=text_col)
     width = chunk_encoder(tokenizer_path).dtype.itemsize
     counts = scan(listing, end_id, width=width, block_tokens=block_tokens)
-    return listing.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "start")
+    return listing.hint("merge").join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens", "start")
