@@ -1,16 +1,15 @@
 """Near-duplicate links by chosen-path trees over minwise tokens.
 
 Texts with equal shingle sets form a class. A class has TOKENS minwise tokens (its least
-shingles under as many hash functions). Each tree deals the classes into nodes by a path of
-tokens; its paths start from tokens of its own and go on, one token a level, as long as a
-node is large. A node's classes share all tokens of its path, so two sets of similarity s
-share a node of depth d in a tree with probability s**d, and independent trees repeat that.
+shingles under as many hash functions). Each tree deals the classes into nodes by START tokens
+of its own. A node's classes share these tokens, so two sets of similarity s share a node
+in a tree with probability s**START, and independent trees repeat that.
 
 Pass 1 links the nodes' classes to pivots; verified links give components. Pass 2
-drops nodes that lie within one component, compares the classes of different components
-exhaustively in small nodes and where few classes stand outside a node's main component, and
-branches the other nodes on; what is still large at the last level is compared exhaustively
-too, dealt out by blocks. Every link is confirmed on full
+drops nodes that lie within one component and compares the classes of different components
+exhaustively in all others: by pairs in small nodes and where few classes stand outside a
+node's main component, by blocks of full shingle sets in the rest. No node is branched, so
+a pair's chance to be missed is the same wherever it lies. Every link is confirmed on full
 shingle sets. Components are connected by least-label rounds on stored tables.
 """
 
@@ -27,16 +26,15 @@ from . import common
 from .substring_dedup import _parts
 from .word_hashes import hash_words, mix
 
-#: Trees, tokens that each starts with, and tokens that all share for deeper levels.
-TREES, START, DEEPER = 16, 2, 32
-TOKENS = TREES * START + DEEPER
+#: Trees, tokens that each starts with, and tokens that only sketches use.
+TREES, START, MORE = 16, 2, 32
+TOKENS = TREES * START + MORE
 #: A node of at most so many classes is compared exhaustively.
 SMALL = 24
 #: Up to so many classes outside the main component of a large node meet all its classes.
 OUTSIDERS = 8
-LEVELS = 8
-#: Tokens by which a large node's paths grow at each level.
-STRIDE = 2
+#: Classes and bytes of shingles that a block of a large node has on average at most.
+BLOCK, BLOCK_BYTES = 256, 4 << 20
 #: Trees whose pivots pass 1 links; its only aim is to join what is alike before pass 2,
 #: which goes through all trees.
 STAR_TREES = 3
@@ -47,8 +45,6 @@ PIVOTS = 8
 _rng = np.random.default_rng(20240517)
 _XOR = _rng.integers(0, 1 << 63, TOKENS, dtype=np.uint64)
 _ODD = _rng.integers(0, 1 << 63, TOKENS, dtype=np.uint64) | np.uint64(1)
-#: Order in which each tree takes the shared tokens.
-_ORDER = [_rng.permutation(DEEPER).tolist() for _ in range(TREES)]
 
 
 def shingle_hashes(texts: list[bytes], words_each: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,12 +142,11 @@ def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(agree, "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, words_each: int, percent: int, path: str) -> DataFrame:
-    """Links (a, b) among candidate pairs (a, b: set keys), confirmed on full sets.
+def _members(involved: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, words_each: int, path: str) -> DataFrame:
+    """key, members (uint64 each, sorted) of the classes ``involved`` (distinct keys).
 
-    One document of each class involved is read again for its set.
+    One document of each class is read again for its set.
     """
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = reps.join(involved, "key").select(F.col("rep").alias("_rep")).distinct()
     own = docs.select(docs[id_col].cast("long").alias("_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"))
     texts = own.join(wanted, common.same(F.col("_id"), F.col("_rep")), "left_semi").select("_text")
@@ -168,6 +163,13 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
     if found.select("key").distinct().count() < found.count():
         found = common.stage(found.dropDuplicates(["key"]), f"{path}/distinct")
     common.release(found.sparkSession)
+    return found
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, words_each: int, percent: int, path: str) -> DataFrame:
+    """Links (a, b) among candidate pairs (a, b: set keys), confirmed on full sets."""
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    found = _members(involved, reps, docs, id_col, text_col, words_each, path)
     # both sides of the joins below are plain exchanges, so a hot pivot's rows can be split
     one = found.select(F.col("key").alias("a"), F.col("members").alias("ma"))
     two = found.select(F.col("key").alias("b"), F.col("members").alias("mb"))
@@ -211,22 +213,11 @@ def _connect(links: DataFrame, path: str) -> DataFrame:
     return labels
 
 
-def _branch(nodes: DataFrame, classes: DataFrame, level: int) -> DataFrame:
-    """Large nodes' classes, dealt on by each tree's next tokens."""
-    tokens = []
-    for k in range(level * STRIDE, (level + 1) * STRIDE):
-        number = F.element_at(F.array(*[F.lit(START * TREES + order[k % DEEPER]) for order in _ORDER]), F.col("tree") + 1)
-        tokens.append(F.substring(F.col("tokens"), number * 4 + 1, F.lit(4)))
-    more = nodes.join(classes.select("key", "tokens"), "key")
-    return more.select("tree", F.xxhash64("path", *tokens).alias("path"), "key", "n", "label")
-
-
-def _pairs_within(nodes: DataFrame, percent: int, blocks: int = 1) -> DataFrame:
-    """Pairs of classes of different components in one node; large nodes in blocks."""
-    one = nodes.select("path", F.col("key").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.pmod(F.xxhash64("key"), F.lit(blocks).cast("long")).alias("block"))
+def _pairs_within(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components in one node."""
+    one = nodes.select("path", F.col("key").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     two = nodes.select("path", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    two = two.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    both = one.join(two, ["path", "block"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
+    both = one.join(two, "path").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
     return both.where(_sizes_fit("na", "nb", percent)).select("a", "b")
 
 
@@ -238,6 +229,47 @@ def _pairs_across(nodes: DataFrame, percent: int) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _linked_sets(one: list[bytes], la: list[bytes], two: list[bytes], lb: list[bytes], percent: int) -> set[tuple[bytes, bytes]]:
+    """Pairs of different labels that a link between a set of ``one`` and a set of ``two`` joins."""
+    p = [np.frombuffer(x, np.uint64) for x in one]
+    q = [np.frombuffer(x, np.uint64) for x in two]
+    nq = np.array([len(x) for x in q])
+    starts = np.concatenate(([0], np.cumsum(nq)[:-1]))
+    known, numbers = np.unique(np.concatenate(q), return_inverse=True)
+    labels, mark, out = np.array(lb, object), np.zeros(len(known), np.uint8), set()
+    for x, label in zip(p, la):
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        at = at[known[at] == x]
+        mark[at] = 1
+        both = np.add.reduceat(mark[numbers], starts, dtype=np.int64)
+        mark[at] = 0
+        near = labels[100 * both >= percent * (len(x) + nq - both)]
+        out.update((min(label, y), max(label, y)) for y in set(near.tolist()) if y != label)
+    return out
+
+
+def _linked_in_blocks(nodes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of labels that a link joins in large nodes, whose classes outside the main
+    component meet all its classes on full sets: a row a block, not one a pair."""
+    sizes = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES)).cast("int")
+    dealt = nodes.join(sizes.select("path", blocks.alias("blocks")), "path").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int"))
+    full = dealt.join(found, "key").select("path", "blocks", "block", "label", "main", "members")
+    gather = [F.collect_list("members"), F.collect_list("label")]
+    two = full.groupBy("path", "block").agg(gather[0].alias("mb"), gather[1].alias("lb"))
+    one = full.where(F.col("label") != F.col("main")).groupBy("path", "blocks", F.col("block").alias("own")).agg(gather[0].alias("ma"), gather[1].alias("la"))
+    one = one.select("path", "ma", "la", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+    def compare(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                out = _linked_sets(*(b.column(c)[k].as_py() for c in range(4)), percent)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.binary()) for j in (0, 1)], names=["a", "b"])
+
+    return one.join(two, ["path", "block"]).select("ma", "la", "mb", "lb").mapInArrow(compare, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, percent: int = 75) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept.
 
@@ -247,8 +279,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     whether it is the row's own. Empty and null texts are linked with nothing. Rows that
     repeat an id share what they are linked with and are all kept if one is; rows without
     id are told nothing but their component. All links between different texts found are
-    confirmed; the chance to miss one at the very threshold is about 2e-6 in nodes that
-    stay small and under 1 % where paths branch twice more.
+    confirmed; the chance to miss one at the very threshold is (1 - 0.75**2)**16, about
+    2e-6, in nodes of any size, and 1e-6 where sketches are compared first. Comparing a
+    large node that many components share takes time with the square of its classes.
     """
     spark = docs.sparkSession
     common.prepare(spark)
@@ -279,29 +312,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     common.release(spark)
 
     # pass 2: what different components have in common
-    level_nodes, found = nodes.join(labels, "key"), []
-    for level in range(LEVELS + 1):
-        per = level_nodes.groupBy("path", "label").agg(F.count(F.lit(1)).alias("c"))
-        kinds = per.groupBy("path").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("components")).where("components > 1")
-        mixed = kinds.select("path", "size", F.col("top.label").alias("main"), (F.col("size") - F.col("top.c")).alias("others"))
-        level_nodes = common.stage(level_nodes.join(mixed, "path"), f"{path}/level{level}")
-        common.release(spark)
-        found.append(_pairs_within(level_nodes.where(F.col("size") <= SMALL), percent))
-        found.append(_pairs_across(level_nodes.where((F.col("size") > SMALL) & (F.col("others") <= OUTSIDERS)), percent))
-        large = level_nodes.where((F.col("size") > SMALL) & (F.col("others") > OUTSIDERS)).drop("size", "main", "others")
-        if large.limit(1).count() == 0:
-            break
-        if level == LEVELS:
-            found.append(_pairs_within(large, percent, blocks=32))
-        level_nodes = _branch(large, classes, level)
-    every = found[0]
-    for more in found[1:]:
-        every = every.union(more)
+    shared = nodes.join(labels, "key")
+    per = shared.groupBy("path", "label").agg(F.count(F.lit(1)).alias("c"))
+    kinds = per.groupBy("path").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    mixed = kinds.select("path", "size", F.col("top.label").alias("main"), (F.col("size") - F.col("top.c")).alias("others"))
+    shared = common.stage(shared.join(mixed, "path"), f"{path}/mixed")
+    common.release(spark)
+    every = _pairs_within(shared.where(F.col("size") <= SMALL), percent)
+    every = every.union(_pairs_across(shared.where((F.col("size") > SMALL) & (F.col("others") <= OUTSIDERS)), percent))
     pairs = common.stage(_promising(every.distinct(), classes, percent), f"{path}/pairs2")
     common.release(spark)
     links = _verified(pairs, classes, docs, id_col, text_col, words_each, percent, f"{path}/pass2")
     across = links.join(labels.select(F.col("key").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("key").alias("b"), F.col("label").alias("lb")), "b")
     across = across.where(F.col("la") != F.col("lb")).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    large = shared.where((F.col("size") > SMALL) & (F.col("others") > OUTSIDERS))
+    if large.limit(1).count():
+        found = _members(large.select("key").distinct(), classes, docs, id_col, text_col, words_each, f"{path}/large")
+        blocks = _linked_in_blocks(large, found, percent).distinct()
+        across = across.union(common.stage(blocks, f"{path}/blocks"))
     joined = _connect(across, f"{path}/connect2").select(F.col("key").alias("label"), F.col("label").alias("top"))
     labels = labels.join(joined, "label", "left").select("key", F.coalesce("top", "label").alias("label"))
 

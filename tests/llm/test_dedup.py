@@ -119,6 +119,25 @@ def test_near_large_group(spark):
     assert sum((got - want).values()) <= 2
 
 
+def test_near_many_components_in_large_nodes(spark):
+    """Links at the threshold among many texts that are alike but not linked: none may be lost."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(200)]
+    texts = []
+    for n in range(240):
+        w = list(base)
+        for k in rng.sample(range(0, 200, 5), 4):  # a substitution costs five shingles
+            w[k] = f"s{n}_{k}"
+        texts.append(" ".join(w))
+        for k in rng.sample([k for k in range(0, 200, 5) if w[k] == base[k]], 5):
+            w[k] = f"t{n}_{k}"
+        texts.append(" ".join(w))
+    corpus = list(enumerate(texts))
+    got = Counter((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(frame(spark, corpus)).collect())
+    assert got == Counter((i, c) for i, _, c in components(corpus))
+    assert 50 < len({c for _, c in got}) < 300
+
+
 def test_near_stage(spark, corpus):
     d = frame(spark, corpus)
     out = near_dedup.deduplicated(d)
