@@ -235,6 +235,14 @@ def market_level_agg(spark, sf_dir):
     return labeled(spark, sf_dir).groupBy("market_id", "label").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("current_mid"), 9).alias("mean_mid"), F.round(F.avg(F.col("ask") - F.col("bid")), 9).alias("mean_spread"), F.round(F.avg("event_age_ms"), 4).alias("mean_age"))
 
 
+def _scores(q):
+    w = Window.partitionBy(*STREAM).orderBy("timestamp_ms", "sequence_id")
+    d = q.withColumns({"m": mid(), "s": F.col("ask") - F.col("bid")})
+    d = d.withColumns({"pm": F.lag("m").over(w), "ps": F.lag("s").over(w)})
+    a = d.groupBy(*STREAM).agg(F.count(F.lit(1)).alias("samples"), F.count_distinct("bid", "ask").alias("u"), F.count_if(F.col("m") != F.col("pm")).alias("p"), F.count_if(F.col("s") != F.col("ps")).alias("c"))
+    return a.select(*STREAM, "samples", dedup.quality_score(F.col("samples"), F.col("u"), F.col("p"), F.col("c")).alias("score"))
+
+
 @query(
     "quality_score",
     with_(
@@ -245,14 +253,24 @@ SELECT market_id, asset_id, n AS samples, round(least(n / 30, 1.0) * 40 + least(
     ),
 )
 def quality_score(spark, sf_dir):
-    """Scores of the first eight hours of each stream."""
+    """Scores of the table's first eight hours; quality_score_all takes all events."""
     q = events(spark, sf_dir)
     start = q.agg((F.min("timestamp_ms") + 28_800_000).alias("until"))
-    w = Window.partitionBy(*STREAM).orderBy("timestamp_ms", "sequence_id")
-    d = q.join(F.broadcast(start)).where("timestamp_ms < until").withColumns({"m": mid(), "s": F.col("ask") - F.col("bid")})  # one row
-    d = d.withColumns({"pm": F.lag("m").over(w), "ps": F.lag("s").over(w)})
-    a = d.groupBy(*STREAM).agg(F.count(F.lit(1)).alias("samples"), F.count_distinct("bid", "ask").alias("u"), F.count_if(F.col("m") != F.col("pm")).alias("p"), F.count_if(F.col("s") != F.col("ps")).alias("c"))
-    return a.select(*STREAM, "samples", dedup.quality_score(F.col("samples"), F.col("u"), F.col("p"), F.col("c")).alias("score"))
+    return _scores(q.join(F.broadcast(start)).where("timestamp_ms < until"))  # one row
+
+
+@query(
+    "quality_score_all",
+    with_(
+        QUOTES_SQL,
+        """, c AS (SELECT *, (bid + ask) / 2.0 AS m, ask - bid AS s, lag((bid + ask) / 2.0) OVER w AS pm, lag(ask - bid) OVER w AS ps FROM q WINDOW w AS (PARTITION BY market_id, asset_id ORDER BY timestamp_ms, sequence_id)),
+a AS (SELECT market_id, asset_id, count(*) AS n, count(DISTINCT (bid, ask)) AS u, coalesce(count_if(m <> pm), 0) AS p, coalesce(count_if(s <> ps), 0) AS s FROM c GROUP BY ALL)
+SELECT market_id, asset_id, n AS samples, round(least(n / 30, 1.0) * 40 + least(u / 5, 1.0) * 30 + least(p / 3, 1.0) * 20 + least(s / 3, 1.0) * 10, 2) AS score FROM a""",
+    ),
+)
+def quality_score_all(spark, sf_dir):
+    """Scores of each stream over all its events."""
+    return _scores(events(spark, sf_dir))
 
 
 @query("topk_moves", "SELECT l_returnflag, l_orderkey, l_linenumber, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) <= 10")

@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from quillfin.functions import quotes as fq
@@ -183,3 +184,12 @@ def test_source_has_no_lookahead_tricks():
 
     text = Path(features.__file__).read_text()
     assert "F.lead" not in text and "bfill" not in text
+
+
+def test_quality_score_takes_all_events(spark):
+    from quillfin.plans.base import events
+    from quillfin.plans.registry import QUERIES
+
+    got = {tuple(r[:2]): r.samples for r in QUERIES["quality_score_all"](spark, SF).collect()}
+    q = events(spark, SF)
+    assert got == {tuple(r[:2]): r[2] for r in q.groupBy("market_id", "asset_id").count().collect()} and sum(got.values()) == q.count()
