@@ -111,22 +111,13 @@ xx AS (SELECT fx.sequence_id, side, lim, fill_ms, x.bid AS xb, x.ask AS xa FROM
 )
 
 
-@query(
-    "maker_event_sim",
-    with_(
-        EVENT_SIM_SQL,
-        """SELECT o.sequence_id, o.side, o.lim AS limit_price, o.fill_ms AS fill_timestamp_ms, CASE WHEN o.side = 'BUY' THEN xb ELSE xa END AS exit_price,
-  CASE WHEN o.fill_ms IS NULL THEN 'CANCELLED_UNFILLED' WHEN xb IS NULL THEN 'INCOMPLETE_MISSING_EXIT' ELSE 'COMPLETED' END AS outcome FROM fx o LEFT JOIN xx USING (sequence_id)""",
-    ),
-)
-def maker_event_sim(spark, sf_dir):
+def _event_sim(q, orders):
     """Event-driven passive orders: the first later quote in time that fills, then the first
     quote after the holding time. The range join runs on time buckets of the timeout."""
     from ..operators.asof import forward_match
 
-    q = events(spark, sf_dir)
     even = F.col("sequence_id") % 2 == 0
-    o = q.where("sequence_id % 5 = 0").withColumns({"side": F.when(even, "BUY").otherwise("SELL"), "limit_price": F.when(even, F.col("bid")).otherwise(F.col("ask"))})
+    o = orders.withColumns({"side": F.when(even, "BUY").otherwise("SELL"), "limit_price": F.when(even, F.col("bid")).otherwise(F.col("ask"))})
     o = o.select("sequence_id", *STREAM, "timestamp_ms", "side", "limit_price")
     bucket = F.floor(F.col("timestamp_ms") / _T)
     left = o.withColumn("b", F.explode(F.array(bucket, bucket + 1)))
@@ -143,6 +134,27 @@ def maker_event_sim(spark, sf_dir):
     return every.select("sequence_id", "side", "limit_price", "fill_timestamp_ms", "exit_price", status.alias("outcome"))
 
 
+@query(
+    "maker_event_sim",
+    with_(
+        EVENT_SIM_SQL,
+        """SELECT o.sequence_id, o.side, o.lim AS limit_price, o.fill_ms AS fill_timestamp_ms, CASE WHEN o.side = 'BUY' THEN xb ELSE xa END AS exit_price,
+  CASE WHEN o.fill_ms IS NULL THEN 'CANCELLED_UNFILLED' WHEN xb IS NULL THEN 'INCOMPLETE_MISSING_EXIT' ELSE 'COMPLETED' END AS outcome FROM fx o LEFT JOIN xx USING (sequence_id)""",
+    ),
+)
+def maker_event_sim(spark, sf_dir):
+    """Orders on every fifth quote, as in the SQL; maker_event_sim_all takes all."""
+    q = events(spark, sf_dir)
+    return _event_sim(q, q.where("sequence_id % 5 = 0"))
+
+
+@query("maker_event_sim_all")
+def maker_event_sim_all(spark, sf_dir):
+    """An order on every quote."""
+    q = events(spark, sf_dir)
+    return _event_sim(q, q)
+
+
 _ON = "OVER (PARTITION BY market_id, asset_id ORDER BY grid_timestamp_ms)"
 
 

@@ -193,3 +193,25 @@ def test_quality_score_takes_all_events(spark):
     got = {tuple(r[:2]): r.samples for r in QUERIES["quality_score_all"](spark, SF).collect()}
     q = events(spark, SF)
     assert got == {tuple(r[:2]): r[2] for r in q.groupBy("market_id", "asset_id").count().collect()} and sum(got.values()) == q.count()
+
+
+def test_maker_event_sim_orders_on_every_quote(spark):
+    from quillfin.plans.base import events
+    from quillfin.plans.registry import QUERIES
+    from quillfin.plans.replay_queries import _T, _X
+
+    streams = {}
+    for r in sorted(events(spark, SF).collect(), key=lambda r: (r.timestamp_ms, r.sequence_id)):
+        streams.setdefault((r.market_id, r.asset_id), []).append(r)
+    want = {}
+    for rows in streams.values():
+        for k, o in enumerate(rows):
+            buy = o.sequence_id % 2 == 0
+            lim = o.bid if buy else o.ask
+            later = (e.timestamp_ms for e in rows[k + 1 :] if o.timestamp_ms < e.timestamp_ms <= o.timestamp_ms + _T and ((e.ask <= lim or e.bid < lim) if buy else (e.bid >= lim or e.ask > lim)))
+            fill = next(later, None)
+            x = None if fill is None else next((e for e in rows if e.timestamp_ms >= fill + _X), None)
+            status = "CANCELLED_UNFILLED" if fill is None else "INCOMPLETE_MISSING_EXIT" if x is None else "COMPLETED"
+            want[o.sequence_id] = ("BUY" if buy else "SELL", lim, fill, None if x is None else x.bid if buy else x.ask, status)
+    got = QUERIES["maker_event_sim_all"](spark, SF).collect()
+    assert len(got) == len(want) and {r[0]: (r.side, r.limit_price, r.fill_timestamp_ms, r.exit_price, r.outcome) for r in got} == want
