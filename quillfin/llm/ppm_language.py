@@ -159,22 +159,24 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """Count contexts on a bounded sample of labelled training documents.
 
     sample_rows: about so many documents a language; bytes_each: at most so many bytes of
-    text a language (a text that would pass the bound is cut there).
+    text a language, filled in the order of a hash of the id (a text that would pass the
+    bound is cut there, no other is).
     """
     spark = docs.sparkSession
     common.prepare(spark)
     own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     own = own.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"), 3, 1))
-    sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(F.least(F.octet_length("text"), F.lit(20_000))).alias("size")).collect()
+    sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(F.least(F.octet_length("text"), F.lit(bytes_each))).alias("size")).collect()
     if not sizes:
         return Languages({})
     # a share a language that gives enough bytes, but not many more
     share = {r.lang: min(1.0, sample_rows / r.n, 2 * bytes_each / max(1.0, r.n * r["size"]) + 20 / r.n) for r in sizes}
     cut = F.element_at(F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * 1_000_000) + 1)]), F.col("lang"))
-    picked = own.where(F.pmod(F.xxhash64(F.lit(93), "id"), F.lit(1_000_000)) < cut).select("lang", "id", F.substring("text", 1, 20_000).alias("text")).toArrow()
+    by = F.pmod(F.xxhash64(F.lit(93), "id"), F.lit(1_000_000))
+    picked = own.where(by < cut).select("lang", by.alias("by"), "id", F.substring("text", 1, bytes_each).alias("text")).toArrow()
     samples: dict[str, list[bytes]] = {r.lang: [] for r in sizes}
     room = dict.fromkeys(samples, bytes_each)
-    for row in sorted(picked.to_pylist(), key=lambda r: (r["lang"], r["id"], r["text"])):
+    for row in sorted(picked.to_pylist(), key=lambda r: (r["lang"], r["by"], r["id"], r["text"])):
         raw = row["text"].encode()[: room[row["lang"]]]
         room[row["lang"]] -= len(raw)
         if raw:

@@ -114,3 +114,16 @@ def test_language_odd_rows(spark, docs):
     assert (None, "en") in got and (5, "de") in got
     nothing = ppm_language.fit(docs.limit(0))
     assert {r.lang_pred for r in ppm_language.identify(d, nothing).collect()} == {"und"}
+
+
+def test_ppm_takes_picked_texts_whole(spark, monkeypatch):
+    """Long texts count beyond 20,000 characters, and low ids do not come first."""
+    from quillfin.llm import ppm_language
+
+    seen = {}
+    monkeypatch.setattr(ppm_language, "Languages", lambda samples: seen.update(samples))
+    rows = [(k, f"{k:03d} " + "word " * 5_999, "en") for k in range(60)]
+    ppm_language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), bytes_each=200_000)
+    texts = seen["en"]
+    assert sum(map(len, texts)) == 200_000 and all(len(t) == len(rows[0][1]) for t in texts[:-1])
+    assert [t[:3] for t in texts] != sorted(t[:3] for t in texts)
