@@ -43,26 +43,59 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillfin/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting that deletes a plan's shuffle files when the plan has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back: later plans start from stored rows."""
+    """Write ``df`` as Parquet and read it back: later plans start from stored rows, and
+    the shuffle files of the write go as soon as it is done."""
     spark = df.sparkSession
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame, path: str) -> tuple[DataFrame, str]:
+    """A staged copy of ``docs`` with a number that tells its rows apart, and that column's name."""
+    name = free_name(docs, "_uid")
+    return stage(docs.withColumn(name, F.monotonically_increasing_id()), path), name
+
+
+#: Parts that the rows of one key are dealt into by :func:`spread_join`.
+SPREAD = 64
+
+
+def spread_join(rows: DataFrame, small: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
+    """``rows.join(small, on, how)`` where one key may hold any share of ``rows``.
+
+    ``small`` holds a key once. Rows are dealt by (key, hash of ``by``), so a hot key's rows
+    go to SPREAD places; ``small`` is first joined with the distinct (key, part), of which a
+    key has SPREAD at most, and then meets the rows part by part. ``rows`` should be staged.
+    """
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int"))
+    told = dealt.select(on, "_part").distinct().join(small, on)
+    return dealt.join(told, [on, "_part"], how).drop("_part")
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that no later plan reads (any Hadoop file system)."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver forget plans and broadcasts that are done with, so that Spark deletes
-    their shuffle files now instead of whenever the driver's garbage is next collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """pyarrow's file system for a URI of the shared folder, and the path in it."""
     if "://" not in uri and not uri.startswith("file:"):

@@ -76,7 +76,7 @@ def shingles(t):
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def components(corpus):
+def solved(corpus):
     sets = [shingles(t) for _, t in corpus]
     parent = list(range(len(corpus)))
 
@@ -90,10 +90,73 @@ def components(corpus):
         if both and 100 * both >= 75 * len(sets[a] | sets[b]):
             parent[find(a)] = find(b)
     least = {}
+    texts = [find(k) for k in range(len(corpus))]
+    first = {}
+    for k, (i, _) in enumerate(corpus):  # rows that repeat an id are one document
+        if i is not None and sets[k]:
+            parent[find(first.setdefault(i, k))] = find(k)
     for k, (i, _) in enumerate(corpus):
-        if i is not None:
+        if i is not None and sets[k]:
             least[find(k)] = min(least.get(find(k), i), i)
-    return [(i, len(sets[k]), least.get(find(k)) if sets[k] else i) for k, (i, _) in enumerate(corpus)]
+    return [(i, len(sets[k]), least.get(find(k)) if sets[k] else i) for k, (i, _) in enumerate(corpus)], texts, sets
+
+
+def components(corpus):
+    """(id, set size, component) of each row."""
+    return solved(corpus)[0]
+
+
+def staying(corpus):
+    """How many of the rows of each text component stay, and how many rows with empty sets."""
+    _, texts, sets = solved(corpus)
+    return len({t for t, s in zip(texts, sets) if s}) + sum(not s for s in sets)
+
+
+def test_near_one_id_on_different_texts(spark):
+    rng = random.Random(5)
+    a, b, c = (words(rng, 60, 125) for _ in range(3))
+    corpus = [(3, a), (5, a + " x"), (5, b), (9, c), (None, a), (None, None), (7, ""), (9, c)]
+    rows = near_dedup.near_duplicates(frame(spark, corpus)).collect()
+    assert Counter((r.doc_id, r.component_id) for r in rows) == Counter({(3, 3): 1, (5, 3): 2, (9, 9): 2, (None, 3): 1, (None, None): 1, (7, 7): 1})
+    stays = near_dedup.deduplicated(frame(spark, corpus)).collect()
+    # b has no other copy, so it stays although its id is also on a near copy
+    assert Counter((r.doc_id, r.text) for r in stays) == Counter([(3, a), (5, b), (9, c), (None, None), (7, "")])
+
+
+def test_near_branching_recall(spark, monkeypatch):
+    """Pairs at the threshold, each alone among texts that share a third of their shingles, in
+    nodes that branch at least three times: links survive, and none is made up."""
+    monkeypatch.setattr(near_dedup, "SMALL", 3)
+    monkeypatch.setattr(near_dedup, "OUTSIDERS", 1)
+    rng = random.Random(23)
+    passage = [f"p{k}" for k in range(100)]
+    texts = []
+    for n in range(150):
+        own = [f"o{n}_{k}" for k in range(90)]
+        for v in range(2):
+            w = passage + own
+            for k in rng.sample(range(102, 190, 6), 5 if v else 0):
+                w[k] = f"v{n}_{k}"
+            texts.append(" ".join(w))
+    corpus = list(enumerate(texts))
+    deepest = []
+    real = near_dedup._branched
+    monkeypatch.setattr(near_dedup, "_branched", lambda nodes, level: deepest.append(level) or real(nodes, level))
+    got = near_dedup.near_duplicates(frame(spark, corpus)).collect()
+    want = {i: c for i, _, c in components(corpus)}
+    links = [i for i, c in want.items() if i != c]
+    found = sum(r.component_id == want[r.doc_id] for r in got if r.doc_id in set(links))
+    assert max(deepest) >= 2 and len(links) > 100
+    assert found >= 0.99 * len(links) and all(r.component_id in (want[r.doc_id], r.doc_id) for r in got)
+
+
+def test_near_very_long_text(spark):
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300_000))
+    corpus = [(1, long), (2, long + " end"), (3, long.upper()), (4, "short one here to stay")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(spark, corpus)).collect()}
+    n = len(shingles(long))
+    assert got == {1: (n, 1), 2: (n + 1, 1), 3: (n, 1), 4: (1, 4)}
 
 
 def test_near_against_all_pairs(spark, corpus):
@@ -116,7 +179,7 @@ def test_near_large_group(spark):
     corpus = list(enumerate(texts))
     got = Counter((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(frame(spark, corpus)).collect())
     want = Counter((i, c) for i, _, c in components(corpus))
-    assert sum((got - want).values()) <= 2
+    assert got == want
 
 
 def test_near_many_components_in_large_nodes(spark):
@@ -142,7 +205,9 @@ def test_near_stage(spark, corpus):
     d = frame(spark, corpus)
     out = near_dedup.deduplicated(d)
     want = {i for i, _, c in components(corpus) if i is not None and i == c}
-    assert out.columns == d.columns and {r.doc_id for r in out.collect() if r.doc_id is not None} == want
+    rows = out.collect()
+    assert out.columns == d.columns and {r.doc_id for r in rows if r.doc_id is not None} == want
+    assert len(rows) == staying(corpus)
 
 
 def removed(corpus, window=35):
