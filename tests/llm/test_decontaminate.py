@@ -11,15 +11,22 @@ from quillfin.llm import decontaminate as dc
 ITEM = "the quick brown fox jumps over a lazy dog while seven wizards quietly brew strong tea".split()
 
 
-def caught(n, substituted):
+def caught(n, substituted, masks=dc.MASKS):
     """Whether some mask agrees on some window of n words of which some are substituted."""
-    for at in range(n - dc.SPAN + 1):
-        for m in dc.MASKS:
+    for m in masks:
+        for at in range(n - len(m) + 1):
             if not any(c == "1" and at + k in substituted for k, c in enumerate(m)):
                 return True
     return False
 
 
+def test_short_masks_tolerate_one_substitution():
+    for n in range(5, 15):
+        masks = [m for m, least, most in dc.masks_for([n]) if least <= n <= most]
+        assert all(caught(n, {a}, masks) for a in range(n)), n
+    assert [m for m, least, most in dc.masks_for([3]) if least <= 3 <= most] == ["111"]
+
+
 def test_masks_tolerate_two_substitutions():
     assert all(caught(15, {a}) for a in range(15))
     assert all(caught(15, set(p)) for p in itertools.combinations(range(15), 2))
@@ -27,24 +34,24 @@ def test_masks_tolerate_two_substitutions():
     assert sum(three) / len(three) > 0.99
 
 
-def brute(docs, items, least=13, share=0.8):
-    """Every item position equal in some window on which a mask agrees."""
+def brute(docs, items, least=13, share=0.8, stretch=16):
+    """True overlaps, however found: per alignment, the equal words in stretches with enough of them."""
     split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     out = {}
     for d, text in docs:
         w = split(text)
         for i, item in items:
             v = split(item)
-            found = set()
-            masks = ["1" * len(v)] if len(v) < dc.SPAN else dc.MASKS
-            for a in range(len(w)):
-                for b in range(len(v)):
-                    for m in masks:
-                        if a + len(m) <= len(w) and b + len(m) <= len(v) and all(c == "0" or w[a + k] == v[b + k] for k, c in enumerate(m)):
-                            found |= {b + k for k in range(dc.SPAN) if a + k < len(w) and b + k < len(v) and w[a + k] == v[b + k]}
             need = min(least, -(-len(v) * share // 1))
-            if v and len(found) >= need:
-                out[(d, i)] = len(found)
+            for diagonal in range(-len(v), len(w)):
+                equal = [k for k in range(len(v)) if 0 <= diagonal + k < len(w) and w[diagonal + k] == v[k]]
+                found = set()
+                for p in range(len(v)):
+                    inside = [k for k in equal if p <= k < p + stretch]
+                    if len(inside) >= need:
+                        found |= set(inside)
+                if found:
+                    out[(d, i)] = max(out.get((d, i), 0), len(found))
     return out
 
 
@@ -73,7 +80,43 @@ def test_against_brute_force(spark, tables, broadcast):
     clean = dc.decontaminated(d, b)
     assert clean.columns == d.columns
     bad = {k for k, _ in got}
-    assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, _ in docs if i not in bad)
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, _ in docs if i not in bad)  # None is contaminated
+
+
+def leaks(spark, docs, items):
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    return {(r.doc_id, r.item_id): r.matched_words for r in dc.decontaminate(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+
+def test_alignments_do_not_add_up(spark):
+    v = [f"v{k}" for k in range(60)]
+    apart = " ".join(v[40:49] + [f"x{k}" for k in range(50)] + v[:9])
+    far = " ".join([*v[:9], *[f"y{k}" for k in range(31)], *v[40:49]])  # one alignment, no dense stretch
+    inserted = " ".join([*v[:20], "z", *v[20:40]])
+    docs, items = [(1, apart), (2, far), (3, inserted)], [(1, " ".join(v))]
+    assert leaks(spark, docs, items) == brute(docs, items) == {(3, 1): 20}
+
+
+def test_short_items(spark):
+    docs, items = [], []
+    for n in range(1, 16):
+        v = [f"s{n}_{k}" for k in range(n)]
+        items.append((n, " ".join(v)))
+        docs += [(100 * n + k, "pre " + " ".join([*v[:k], "zz", *v[k + 1 :]]) + " post") for k in range(n)] + [(100 * n + 99, " ".join(v))]
+    assert leaks(spark, docs, items) == brute(docs, items)
+
+
+def test_long_text_in_chunks(spark, monkeypatch):
+    filler = [f"f{k % 997}" for k in range(9_000)]
+    docs = [(k, " ".join([*filler[: dc.CHUNK - k], *ITEM, *filler])) for k in range(0, 20, 3)]
+    docs.append((50, " ".join(filler * 60 + ITEM)))
+    assert leaks(spark, docs, [(1, " ".join(ITEM))]) == {(k, 1): 16 for k, _ in docs}
+
+
+def test_rows_of_one_id(spark):
+    d = spark.createDataFrame([(1, " ".join(ITEM)), (1, "clean text"), (1, None), (None, " ".join(ITEM)), (None, "clean")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(ITEM))], "item_id long, text string")
+    assert sorted(str(r.text) for r in dc.decontaminated(d, b).collect()) == ["None", "clean", "clean text"]
 
 
 def test_empty(spark):
