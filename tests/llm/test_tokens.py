@@ -127,9 +127,32 @@ def test_shard_lookup_and_damage(tmp_path):
         list(token_sst.shard_bytes([(2, b""), (1, b"")], 2))
 
 
-def test_shards_need_ids(spark):
-    with pytest.raises(ValueError, match="id"):
-        token_sst.write_shards(spark.createDataFrame([(None, "a")], "doc_id long, text string"), common.workspace(spark, "t"), WORD)
+@pytest.mark.parametrize("file_bytes", [200, 64 << 20])
+def test_shards_without_ids_and_with_one_id(spark, word, file_bytes):
+    """Null ids are one key, before all; one id on many rows is dealt into several files."""
+    rows = [(None, "nobody"), (None, None), *[(5, f"text {k} of five") for k in range(60)], (-(1 << 63), "least"), (6, "long " * 500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = token_sst.write_shards(table, common.workspace(spark, "t"), WORD, end_id=2, file_bytes=file_bytes, task_bytes=300)
+    assert manifest.count() > 3 and token_sst.with_starts(manifest).agg({"start": "max"}).first()[0] > 0
+    got = sorted(token_sst.read_shards(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted([i for i, _ in rows], key=lambda i: (i is not None, i))
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    crc = lambda t: zlib.crc32(np.array([*ids_of(word, t), 2], "<u4").tobytes())
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in got) == sorted((str(i), crc(t)) for i, t in rows)
+    wanted = spark.createDataFrame([(5,), (5,), (6,), (7,), (None,), (-(1 << 63),)], "doc_id long")
+    found = sorted((r.doc_id, r.ids) for r in token_sst.lookup(manifest, wanted).collect())
+    assert found == sorted((i, [*ids_of(word, t), 2]) for i, t in rows if i is not None)
+
+
+def test_lookup_of_a_table(spark, word, docs, monkeypatch):
+    monkeypatch.setattr(token_sst, "BOUNDS", 2)
+    manifest = token_sst.write_shards(docs, common.workspace(spark, "t"), WORD, end_id=2, file_bytes=100, task_bytes=50)
+    found = sorted((r.doc_id, r.ids) for r in token_sst.lookup(manifest, docs).collect())
+    assert found == sorted((i, [*ids_of(word, t), 2]) for i, t in DOCS)
+    assert token_sst.lookup(manifest.limit(0), docs).count() == 0
 
 
 @pytest.mark.parametrize("block", [500, 4096, 1 << 20])
