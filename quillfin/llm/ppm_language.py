@@ -58,12 +58,17 @@ class _Table:
             at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
             row[todo] = self.row[at[todo]]
             todo = todo[(row[todo] != _FREE) & (self.key[at[todo]] != keys[todo])]
+        row[todo] = _FREE  # no key is further from its home than that
         return row
 
 
-def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' bytes, each text led by ORDER zeros; and where each begins."""
-    lead = b"\0" * ORDER
+#: A longer text is scored in slices of so many bytes.
+SLICE = 1 << 20
+
+
+def _joined(texts: list[bytes], lead: bytes = b"\0" * ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' bytes, each text led by ORDER bytes (zeros, or what stood before a slice);
+    and where each begins."""
     sizes = np.fromiter((len(t) + ORDER for t in texts), np.int64, len(texts))
     return np.frombuffer(b"".join([x for t in texts for x in (lead, t)]), np.uint8), np.cumsum(sizes) - sizes
 
@@ -110,10 +115,19 @@ class Languages:
             # a context's number holds no byte, so it gets a table of its own
             self.order.append((_Table(keys), cost.astype(np.float32), _Table(contexts.astype(np.uint32)), escape.astype(np.float32)))
 
-    def bits(self, texts: list[bytes]) -> np.ndarray:
+    def bits_of_long(self, text: bytes) -> np.ndarray:
+        """(1, languages): the code length of one text, slice by slice. A slice is led by the
+        ORDER bytes before it, so every byte has the context it has in the whole text."""
+        total = np.zeros((1, len(self.names)))
+        for i in range(0, len(text), SLICE):
+            lead = text[max(0, i - ORDER) : i].rjust(ORDER, b"\0")
+            total += self.bits([text[i : i + SLICE]], lead)
+        return total
+
+    def bits(self, texts: list[bytes], lead: bytes = b"\0" * ORDER) -> np.ndarray:
         """(texts, languages): code length of each text in bits."""
         width = len(self.names)
-        data, starts = _joined(texts)
+        data, starts = _joined(texts, lead)
         key = _contexts(data)
         cost = np.zeros((len(data), width), np.float32)
         todo = np.ones(len(data), bool)
@@ -141,12 +155,8 @@ class Languages:
         real = [k for k, t in enumerate(texts) if t and _LETTER.search(t)] if self.names else []
         raw = [texts[k].encode() for k in real]
         at = 0
-        for part in _parts(raw, 1 << 20):
-            if len(part) == 1 and len(part[0]) > 1 << 20:  # a long text in slices: bounded memory
-                size = 1 << 20
-                bits = np.sum([self.bits([part[0][i : i + size]]) for i in range(0, len(part[0]), size)], axis=0)
-            else:
-                bits = self.bits(part)
+        for part in _parts(raw, SLICE):
+            bits = self.bits_of_long(part[0]) if len(part) == 1 and len(part[0]) > SLICE else self.bits(part)
             best = bits.argmin(axis=1)
             chance = 1 / np.exp2(np.clip(bits.min(axis=1, keepdims=True) - bits, -1000, 0)).sum(axis=1)
             for k, b, c in zip(real[at : at + len(part)], best.tolist(), chance.tolist()):
@@ -155,24 +165,30 @@ class Languages:
         return names, scores
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4_000, bytes_each: int = 500_000) -> Languages:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4_000, bytes_each: int = 500_000, most_languages: int = 250) -> Languages:
     """Count contexts on a bounded sample of labelled training documents.
 
     sample_rows: about so many documents a language; bytes_each: at most so many bytes of
     text a language, filled in the order of a hash of the id (a text that would pass the
-    bound is cut there, no other is).
+    bound is cut there, no other is); most_languages: the values of ``lang`` with the most
+    rows that are learned (the least name first among equals), so a column full of other
+    things stays bounded on the driver. Rows without text, lang or id teach nothing; repeated
+    rows count as often as they stand there; other columns, whatever their names, are not
+    read; an empty table gives no language.
     """
     spark = docs.sparkSession
     common.prepare(spark)
     own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     own = own.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"), 3, 1))
-    sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(F.least(F.octet_length("text"), F.lit(bytes_each))).alias("size")).collect()
+    sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(F.least(F.octet_length("text"), F.lit(bytes_each))).alias("size"))
+    sizes = sizes.orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not sizes:
         return Languages({})
     # a share a language that gives enough bytes, but not many more
     share = {r.lang: min(1.0, sample_rows / r.n, 2 * bytes_each / max(1.0, r.n * r["size"]) + 20 / r.n) for r in sizes}
     cut = F.element_at(F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * 1_000_000) + 1)]), F.col("lang"))
     by = F.pmod(F.xxhash64(F.lit(93), "id"), F.lit(1_000_000))
+    # other values of lang have no cut, and null is not less
     picked = own.where(by < cut).select("lang", by.alias("by"), "id", F.substring("text", 1, bytes_each).alias("text")).toArrow()
     samples: dict[str, list[bytes]] = {r.lang: [] for r in sizes}
     room = dict.fromkeys(samples, bytes_each)
@@ -191,7 +207,8 @@ def identify(docs: DataFrame, languages: Languages, *, id_col: str = "doc_id", t
     """Per row: doc_id, held_out, lang_pred, score (the language's share of probability).
 
     Texts that are null or have no letter are 'und' with score 0, and so are all if no
-    language was learned. Every byte of a text counts.
+    language was learned. Every byte of a text counts, in its whole context however long the
+    text is. Repeated rows get the same answer each; null ids are not held out.
     """
     spark = docs.sparkSession
     common.prepare(spark)
