@@ -90,20 +90,27 @@ def estimate_prior(of_positives: np.ndarray, of_unlabelled: np.ndarray, doubt: f
     return float(np.clip(u[best] / max(p[best], 1e-9), 0.02, 0.98))
 
 
+def gradient(p: np.ndarray, u: np.ndarray, w: np.ndarray, prior: float | None) -> np.ndarray:
+    """Of the non-negative PU risk (logistic loss) at weights ``w`` (the last one the bias).
+
+    Where the unlabelled less the prior's share of positives falls below zero, that part is
+    fitted noise, and the gradient steps back. Without a prior: positives against unlabelled.
+    """
+    sp, su = (1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -50, 50))) for x in (p, u))
+    mean = lambda x, s: np.append(x.T @ s, s.sum()) / len(x)
+    if prior is None:
+        return mean(p, sp - 1) + mean(u, su)
+    rest = mean(u, su) - prior * mean(p, sp)
+    risk = -np.log(np.maximum(1 - su, 1e-12)).mean() - prior * -np.log(np.maximum(1 - sp, 1e-12)).mean()
+    return prior * mean(p, sp - 1) + rest if risk >= 0 else -rest
+
+
 def _fit(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int, l2: float, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Adam on the non-negative PU risk (logistic loss), or on positives against unlabelled."""
-    p1, u1 = (np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1) for x in (p, u))
-    w = np.zeros(p1.shape[1], p1.dtype)
+    """Adam on the risk's gradient, with weights that stay at or below zero."""
+    w = np.zeros(p.shape[1] + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        sp, su = (1 / (1 + np.exp(-np.clip(x @ w, -50, 50))) for x in (p1, u1))
-        if prior is None:
-            g = p1.T @ (sp - 1) / len(p1) + u1.T @ su / len(u1)
-        else:
-            up = prior * p1.T @ (sp - 1) / len(p1)
-            rest = u1.T @ su / len(u1) - prior * p1.T @ sp / len(p1)
-            risk = -np.log(np.maximum(1 - su, 1e-12)).mean() - prior * -np.log(np.maximum(1 - sp, 1e-12)).mean()
-            g = up + rest if risk >= 0 else -rest  # a negative part is fitted noise: step back
+        g = gradient(p, u, w, prior)
         g[:-1] += l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -152,8 +159,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     def measure(batches):
         for b in batches:
-            x = features(b.column("text").cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("kind"), pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())], names=["kind", "x"])
+            at = 0
+            for part in _parts(b.column("text").cast(pa.binary()).to_pylist()):
+                x = [r.astype("<f4").tobytes() for r in features(part)]
+                yield pa.RecordBatch.from_arrays([b.column("kind")[at : at + len(part)], pa.array(x, pa.binary())], names=["kind", "x"])
+                at += len(part)
 
     got = sample.select("kind", "text").mapInArrow(measure, "kind int, x binary").toArrow()
     kind = got.column("kind").to_numpy()
@@ -164,7 +174,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def classify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted. Null texts are scored as empty."""
+    """Per row: doc_id, held_out, score, predicted.
+
+    Null texts are scored as empty ones, all alike; whole texts count, however long; repeated
+    rows get the same score each; null ids are not held out; an empty table gives an empty
+    result; other columns, whatever their names, are not read. A model fitted on nothing
+    scores 0.5.
+    """
     common.prepare(docs.sparkSession)
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
@@ -180,7 +196,11 @@ def classify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def accepted(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` with a score of ``threshold`` or more, with all their columns."""
+    """The rows of ``docs`` with a score of ``threshold`` or more, with all their columns.
+
+    Each row is judged by itself: null and empty texts as one empty text, repeated rows
+    alike; an empty table stays empty.
+    """
     common.prepare(docs.sparkSession)
     at = docs.columns.index(text_col)
 

@@ -98,6 +98,58 @@ def test_code_lengths_are_exact():
         assert row.tolist() == pytest.approx([brute_bits(samples[n], t) for n in model.names], rel=1e-5, abs=1e-4)
 
 
+def test_slices_are_exact(monkeypatch):
+    """A long text's code length does not depend on where it is cut."""
+    rng = np.random.default_rng(4)
+    samples = {k: [bytes(rng.choice(list(abc), 5000).tolist())] for k, abc in (("x", b"abcde "), ("y", b"cdefgh "))}
+    model = ppm_language.Languages(samples)
+    text = bytes(rng.choice(list(b"abcdefgh xyz"), 4001).tolist())
+    whole = model.bits([text])
+    assert whole[0].tolist() == pytest.approx([brute_bits(samples[n], text) for n in model.names], rel=1e-5)
+    for size in (1, 2, 5, 1000, 4000):
+        monkeypatch.setattr(ppm_language, "SLICE", size)
+        assert model.bits_of_long(text)[0].tolist() == pytest.approx(whole[0].tolist(), rel=1e-9)
+    monkeypatch.setattr(ppm_language, "SLICE", 1000)
+    names, scores = model.identify([text.decode()])
+    assert names == ["x" if whole[0][0] < whole[0][1] else "y"] and scores == pytest.approx([1.0])
+
+
+def test_languages_are_bounded_and_names_clash(spark):
+    rows = [(k, "the and of that", "en", 1.0, "x", True) for k in range(40)] + [(100 + k, "noise", f"junk{k}", 1.0, "x", True) for k in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string, held_out boolean")
+    model = ppm_language.fit(d, most_languages=3)
+    assert "en" in model.names and len(model.names) <= 3
+    got = ppm_language.identify(d, model)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and got.count() == 70
+
+
+def test_risk_gradient_equals_naive():
+    """The trainer's gradient against finite differences of the risk as written down."""
+    rng = np.random.default_rng(2)
+    p, u, prior = rng.normal(0, 1, (40, 3)), rng.normal(0.3, 1, (60, 3)), 0.4
+    soft = lambda z: np.log1p(np.exp(-z))
+
+    def parts(w):
+        zp, zu = (x @ w[:-1] + w[-1] for x in (p, u))
+        return prior * soft(zp).mean(), soft(-zu).mean() - prior * soft(-zp).mean()
+
+    for w in (np.array([-0.2, -0.5, -0.1, 0.3]), np.array([0.4, -0.3, 0.2, -4.0])):
+        up, rest = parts(w)
+        value = lambda w, s=1 if rest >= 0 else -1: (parts(w)[0] + parts(w)[1]) if s > 0 else -parts(w)[1]
+        step = 1e-6
+        naive = [(value(w + step * e) - value(w - step * e)) / 2 / step for e in np.eye(4)]
+        assert pu_quality.gradient(p, u, w, prior) == pytest.approx(naive, abs=1e-5)
+
+
+def test_ranking_on_held_out(docs, labels):
+    """AUC over held-out labels, and what the cut at 0.3 lets through."""
+    got = {r.doc_id: r for r in pu_quality.classify(docs, pu_quality.fit(docs, labels)).collect()}
+    held = [(got[r.doc_id].score, r.quality) for r in labels.collect() if got[r.doc_id].held_out]
+    good, bad = ([s for s, q in held if q == k] for k in (1, 0))
+    auc = np.mean([(a > b) + (a == b) / 2 for a in good for b in bad])
+    assert auc >= 0.97 and np.mean([s >= 0.3 for s in good]) >= 0.97
+
+
 def test_language_on_held_out(docs):
     got = {r.doc_id: r for r in ppm_language.identify(docs, ppm_language.fit(docs)).collect()}
     held = [(r.lang, got[r.doc_id]) for r in docs.select("doc_id", "lang").collect() if got[r.doc_id].held_out]
