@@ -18,10 +18,8 @@ SUBRUNS = 4
 
 
 def with_run(df: DataFrame) -> DataFrame:
-    """Add ``_uid`` (tells repeated rows apart) and ``_run``. Stage the result before use."""
-    return df.withColumn("_uid", F.monotonically_increasing_id()).withColumn(
-        "_run", F.spark_partition_id().cast("long") * SUBRUNS + F.col("_uid") % SUBRUNS
-    )
+    """Add ``_run`` to rows with a number ``_uid`` each. Stage the result before use."""
+    return df.withColumn("_run", F.spark_partition_id().cast("long") * SUBRUNS + F.pmod("_uid", F.lit(SUBRUNS)))
 
 
 def merge_runs(rows: DataFrame, keys: list[str], id_col: str, path: str, *, keep: str = "largest", fan_in: int = 8) -> DataFrame:

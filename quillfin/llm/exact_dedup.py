@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, digest_tree
@@ -18,15 +18,8 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     legal and never preferred. An empty table gives an empty result; other columns of
     ``docs``, whatever their names, are not read.
     """
-    spark = docs.sparkSession
-    work = common.workspace(spark, "exact-dedup")
-    text = common.ascii_lower(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    own = docs.select(docs[id_col].alias("_id"), text.alias("_text"))
-    digests = digest_tree.with_run(
-        own.select("_id", F.unhex(F.sha2("_text", 256)).alias("_sha"), F.octet_length("_text").alias("_bytes"), F.xxhash64("_text").alias("_check"))
-    )
-    rows = common.stage(digests, f"{work}/digests")
-    merged = digest_tree.merge_runs(rows, ["_sha", "_bytes", "_check"], "_id", work, keep=keep, fan_in=fan_in)
+    work = common.workspace(docs.sparkSession, "exact-dedup")
+    merged = _merged(docs, F.monotonically_increasing_id(), id_col, text_col, keep, fan_in, work)
     return merged.select(
         F.col("_id").alias(id_col),
         F.col("_keep.id").alias("keep_id"),
@@ -36,13 +29,23 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    stay = exact_dedup(docs, **options).where("kept")
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+def _merged(docs: DataFrame, uid: Column, id_col: str, text_col: str, keep: str, fan_in: int, work: str) -> DataFrame:
+    """The rows' digests (_uid, _id, _sha, ...) with what the tree says of them."""
     text = common.ascii_lower(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    marked = docs.withColumn("_qf_sha", F.sha2(text, 256))
-    stay = stay.select(F.col(id_col).alias("_qf_id"), F.col("text_sha256").alias("_qf_kept_sha"))
-    kept = marked.join(stay, common.same(marked[id_col], F.col("_qf_id")) & (F.col("_qf_sha") == F.col("_qf_kept_sha")), "left_semi")
-    # only a repeated row (same id, same text) is still there twice
-    return kept.dropDuplicates([id_col, "_qf_sha"]).drop("_qf_sha")
+    own = docs.select(uid.alias("_uid"), docs[id_col].alias("_id"), text.alias("_text"))
+    digests = own.select("_uid", "_id", F.unhex(F.sha2("_text", 256)).alias("_sha"), F.octet_length("_text").alias("_bytes"), F.xxhash64("_text").alias("_check"))
+    rows = common.stage(digest_tree.with_run(digests), f"{work}/digests")
+    return digest_tree.merge_runs(rows, ["_sha", "_bytes", "_check"], "_id", work, keep=keep, fan_in=fan_in)
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", fan_in: int = 8) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: exactly one of each group.
+
+    Rows are told apart by a number of their own in a staged copy, so each text is hashed
+    once and repeated rows, equal ids and null ids need no other comparison. Null and empty
+    texts are one group; an empty table stays empty; other columns may have any names.
+    """
+    work = common.workspace(docs.sparkSession, "exact-dedup")
+    docs, uid = common.numbered(docs, f"{work}/docs")
+    merged = common.stage(_merged(docs, docs[uid], id_col, text_col, keep, fan_in, work).where(F.col("_uid") != F.col("_keep.uid")).select(F.col("_uid").alias(uid)), f"{work}/gone")
+    return docs.join(merged, uid, "left_anti").drop(uid)
