@@ -270,7 +270,17 @@ def frequent_words(texts: DataFrame, top: int, rare: float = 2e-6) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
     counted = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(top).collect()]
+    counted = common.stage(counted.withColumn("size", F.floor(F.log2("n") * 64).cast("int")), common.workspace(texts.sparkSession, "words"))
+    # how many words are how frequent (some thousand rows), then the words above the cut and
+    # of the words at the cut a share by their hash: about ``top`` reach the driver
+    room, cut, share = top, 0, 1.0
+    for size, words in sorted(((r["size"], r["count"]) for r in counted.groupBy("size").count().collect()), reverse=True):
+        cut, share = size, min(1.0, room / words)
+        room -= words
+        if room <= 0:
+            break
+    at_cut = (F.col("size") == cut) & (F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < int(share * 1_000_000))
+    return [r.word for r in counted.where((F.col("size") > cut) | at_cut).select("word", "n").collect()]
 
 
 def ship_lexicon(spark: SparkSession, tokenizer_path: str, words: list[str]) -> str:
