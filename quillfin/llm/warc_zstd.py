@@ -180,18 +180,24 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     Of records with equal payloads of at least ``least_bytes``, that with the largest id is
     the response and the others are revisits of it; equality is decided by a tree-merge of
     digest runs. Rows that repeat an id and payload get the same kind of record. Null
-    payloads are empty. The dictionary is trained on at most ``sample_pages`` pages.
+    payloads are empty, and records hold any number of bytes up to 2 GiB (readers refuse
+    longer ones). The dictionary is trained on the first 20,000 characters of about
+    ``sample_pages`` pages, chosen by a hash of their ids over the whole table, and of twice
+    as many at most. Other columns, whatever their names, are not read.
     """
     spark = pages.sparkSession
     common.prepare(spark)
     own = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[payload_col].cast("string"), F.lit("")).alias("body"))
     own = own.withColumn("sha1", F.sha1(F.col("body").cast("binary")))
-    digests = own.where(F.octet_length("body") >= least_bytes).select("id", "sha1", F.octet_length("body").alias("bytes"), F.xxhash64("body").alias("check"))
+    digests = own.where(F.octet_length("body") >= least_bytes).select(F.monotonically_increasing_id().alias("_uid"), "id", "sha1", F.octet_length("body").alias("bytes"), F.xxhash64("body").alias("check"))
     rows = common.stage(digest_tree.with_run(digests), f"{path}/digests")
     merged = digest_tree.merge_runs(rows, ["sha1", "bytes", "check"], "id", f"{path}/tree")
     again = merged.where(F.col("id") < F.col("_keep.id")).select(F.col("id").alias("own"), F.col("sha1").alias("own_sha1"), F.col("_keep.id").alias("refers_to")).distinct()
     marked = own.join(again, (F.col("id") == F.col("own")) & (F.col("sha1") == F.col("own_sha1")), "left").select("id", "url", "body", "sha1", "refers_to")
-    sample = own.select(F.substring("body", 1, 20_000).alias("body")).limit(sample_pages).toArrow().column(0).to_pylist()
+    # pages of the whole table by a hash, twice as many at most as wanted
+    share = min(1.0, sample_pages / max(1, own.count()))
+    chosen = own.where(F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    sample = chosen.select(F.substring("body", 1, 20_000).alias("body")).limit(2 * sample_pages).toArrow().column(0).to_pylist()
     trained = train_dictionary([s.encode() for s in sample])
 
     def write(batches):
@@ -227,7 +233,7 @@ def read_archives(paths: DataFrame, payloads: bool = False) -> DataFrame:
     """A row per response or revisit of the archives in column ``path``, each checked.
 
     With ``payloads``, also url and payload (binary; null for revisits). A damaged file or
-    record stops the read with its path and offset.
+    record, or one above 2 GiB, stops the read with its path and offset.
     """
     spark = paths.sparkSession
     common.prepare(spark)
