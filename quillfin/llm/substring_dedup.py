@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .word_hashes import hash_words, run_hashes, split_words
+from .word_hashes import hash_words_twice, run_hashes, split_words
 
 #: Fixed value: a perfect difference set modulo 13.
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -99,7 +99,7 @@ class _Outbox:
 
 
 def _answers(wide: bool):
-    """Per bucket: to each batch the (64-bit) hashes of its own that stand elsewhere too."""
+    """Per bucket: to each batch the hash records of its own that stand elsewhere too."""
 
     def reduce(table: pa.Table) -> pa.Table:
         batches = table.column("batch").to_pylist()
@@ -111,13 +111,15 @@ def _answers(wide: bool):
         h, g, owner = h[order], g[order] if wide else g, owner[order]
         same = _equal_to_last(h, g)
         repeated = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        h, owner = h[repeated], owner[repeated]
+        # records that a batch has twice stand next to each other, once is enough
+        first = np.concatenate(([True], ~(same & (owner[1:] == owner[:-1]))))
+        h, g, owner = h[repeated & first], g[repeated & first] if wide else g, owner[repeated & first]
         order = np.argsort(owner, kind="stable")
-        h, owner = h[order], owner[order]
+        h, g, owner = h[order], g[order] if wide else g, owner[order]
         cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.empty(0, np.int64)
         ends = np.append(cuts[1:], len(owner))
         return pa.table(
-            [pa.array(owner[cuts], pa.int64()), pa.array([np.unique(h[a:b]).tobytes() for a, b in zip(cuts.tolist(), ends.tolist())], pa.binary())], schema=_REPLY_PA
+            [pa.array(owner[cuts], pa.int64()), pa.array([_pack(h[a:b], g[a:b] if wide else g) for a, b in zip(cuts.tolist(), ends.tolist())], pa.binary())], schema=_REPLY_PA
         )
 
     return reduce
@@ -130,19 +132,45 @@ def _exchange(messages: DataFrame, wide: bool, path: str) -> str:
     return path
 
 
-def _load(path: str, batch: int) -> np.ndarray:
+def _load(path: str, batch: int, wide: bool) -> Record:
+    """The records answered to a batch, in ascending order."""
     fs, root = common.filesystem(f"{path}/batch={batch}")
     found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-    parts = [np.frombuffer(x.as_py(), np.uint64) for f in found if f.base_name.endswith(".parquet") for x in pq.read_table(f.path, filesystem=fs, columns=["hashes"]).column(0)]
-    return np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
-
-
-def _among(sorted_set: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if not len(sorted_set):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(sorted_set, values)
-    at[at == len(sorted_set)] = 0
-    return sorted_set[at] == values
+    parts = [_unpack(x.as_py(), wide) for f in found if f.base_name.endswith(".parquet") for x in pq.read_table(f.path, filesystem=fs, columns=["hashes"]).column(0)]
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.uint32)
+    h, g = (np.concatenate(x) for x in zip(*parts))
+    if not wide:
+        return np.sort(h), g
+    order = np.lexsort((g, h))
+    return h[order], g[order]
+
+
+def _among(known: Record, values: Record) -> np.ndarray:
+    """Which of ``values`` stand in the sorted ``known``; both parts must agree where there are two."""
+    (h, g), (x, y) = known, values
+    if not len(h):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(h, x)
+    inside = at < len(h)
+    found = np.zeros(len(x), bool)
+    todo = np.flatnonzero(inside)
+    todo = todo[h[at[todo]] == x[todo]]
+    if not len(g):
+        found[todo] = True
+        return found
+    while len(todo):  # more than one turn only where windows share their first part
+        same = g[at[todo]] == y[todo]
+        found[todo[same]] = True
+        todo = todo[~same]
+        at[todo] += 1
+        todo = todo[at[todo] < len(h)]
+        todo = todo[h[at[todo]] == x[todo]]
+    return found
+
+
+#: The second part of records that have none.
+_NONE = np.empty(0, np.uint32)
 
 
 class _Batch:
@@ -150,7 +178,7 @@ class _Batch:
 
     def __init__(self, texts: list[bytes], window: int):
         self.words = [split_words(t) for t in texts]
-        self.h, self.starts = hash_words(self.words)
+        self.h, self.second, self.starts = hash_words_twice(self.words)
         self.window, self.anchor = window, window - PERIOD + 1
         n = len(self.h)
         lengths = np.diff(self.starts)
@@ -165,23 +193,21 @@ class _Batch:
         at = np.flatnonzero(ok)
         return at, run_hashes(self.h, self.anchor)[at] if len(at) else np.empty(0, np.uint64)
 
-    def candidates(self, known: np.ndarray) -> np.ndarray:
+    def candidates(self, known: Record) -> np.ndarray:
         """Window starts with a repeated anchor within their first PERIOD positions."""
         at, hashes = self.anchors()
         if not len(at):
             return at
         n = len(self.h)
         total = np.zeros(n + 1, np.int64)
-        np.cumsum(np.bincount(at[_among(known, hashes)], minlength=n), out=total[1:])
+        np.cumsum(np.bincount(at[_among(known, (hashes, _NONE))], minlength=n), out=total[1:])
         starts = np.flatnonzero(self.left >= self.window)
         return starts[total[np.minimum(starts + PERIOD, n)] > total[starts]]
 
     def windows(self, at: np.ndarray) -> Record:
         if not len(at):
             return np.empty(0, np.uint64), np.empty(0, np.uint32)
-        second = (self.h ^ np.uint64(0xA0761D6478BD642F)) * np.uint64(0xE7037ED1A0B428DB)
-        second ^= second >> np.uint64(31)
-        return run_hashes(self.h, self.window)[at], (run_hashes(second, self.window)[at] >> np.uint64(32)).astype(np.uint32)
+        return run_hashes(self.h, self.window)[at], (run_hashes(self.second, self.window)[at] >> np.uint64(32)).astype(np.uint32)
 
 
 def _runs(batch_col: pa.Array):
@@ -200,8 +226,9 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Words are runs without ASCII white space, unchanged; null texts have none. Windows are
     judged on the input. Texts shorter than a window keep all. Repeated rows are texts like
-    any other, so they remove each other's windows; ids may be null. Exact but for
-    collisions of 96-bit hashes.
+    any other, so they remove each other's windows; ids may be null; an empty table gives an
+    empty result; other columns are not read. Exact but for collisions of 96-bit hashes of
+    windows, made of two independent hashes of each word.
     """
     if window < 2 * PERIOD:
         raise ValueError(f"windows of less than {2 * PERIOD} words need a cover of a smaller period")
@@ -237,14 +264,14 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return _Batch(texts, window).anchors()[1], np.empty(0, np.uint32)
 
     first = _exchange(rows.select("batch", "text").mapInArrow(send(anchor_records), MESSAGE), False, f"{path}/anchors")
-    anchors_of = _Loader(first)
+    anchors_of = _Loader(first, False)
 
     def window_records(batch, texts):
         b = _Batch(texts, window)
         return b.windows(b.candidates(anchors_of(batch)))
 
     second = _exchange(rows.select("batch", "text").mapInArrow(send(window_records), MESSAGE), True, f"{path}/windows")
-    windows_of = _Loader(second)
+    windows_of = _Loader(second, True)
 
     def remove(batches):
         for b in batches:
@@ -254,7 +281,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 for part in _parts(texts[first_row:end].to_pylist()):
                     own = _Batch(part, window)
                     at = own.candidates(anchors_of(batch))
-                    at = at[_among(windows_of(batch), own.windows(at)[0])]
+                    at = at[_among(windows_of(batch), own.windows(at))]
                     edge = np.zeros(len(own.h) + 1, np.int64)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + window, -1)
@@ -295,10 +322,10 @@ def _parts(texts: list[bytes], most: int = 2 << 20):
 class _Loader:
     """The answers to one batch, kept until another is asked for."""
 
-    def __init__(self, path: str):
-        self.path, self.batch, self.value = path, None, None
+    def __init__(self, path: str, wide: bool):
+        self.path, self.wide, self.batch, self.value = path, wide, None, None
 
-    def __call__(self, batch: int) -> np.ndarray:
+    def __call__(self, batch: int) -> Record:
         if batch != self.batch:
-            self.batch, self.value = batch, _load(self.path, batch)
+            self.batch, self.value = batch, _load(self.path, batch, self.wide)
         return self.value

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import xxhash
 
@@ -22,8 +24,33 @@ class _Memo(dict):
         return h
 
 
-_memo = _Memo()
-common.memo("words", _memo.clear)
+class _Pairs(dict):
+    """word -> number of two independent 64-bit hashes of it, bounded."""
+
+    def __init__(self):
+        self.high, self.low = array("Q"), array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_128_intdigest(word)
+        self.high.append(h >> 64)
+        self.low.append(h & 0xFFFFFFFFFFFFFFFF)
+        n = self[word] = len(self.high) - 1
+        return n
+
+    def forget(self) -> None:
+        self.clear()
+        self.high, self.low = array("Q"), array("Q")
+
+
+_memo, _pairs = _Memo(), _Pairs()
+
+
+def _forget() -> None:
+    _memo.clear()
+    _pairs.forget()
+
+
+common.memo("words", _forget)
 
 
 def split_words(text: bytes) -> list[bytes]:
@@ -44,6 +71,23 @@ def hash_words(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
+def hash_words_twice(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`hash_words`, with two arrays of hashes that are independent of each other."""
+    common.using("words")
+    starts = np.zeros(len(words) + 1, np.int64)
+    np.cumsum([len(w) for w in words], out=starts[1:])
+    if len(_pairs.high) > 300_000:
+        _pairs.forget()
+    look = _pairs.__getitem__
+    at = np.empty(int(starts[-1]), np.int64)
+    for w, a, b in zip(words, starts[:-1].tolist(), starts[1:].tolist()):
+        if b > a:
+            at[a:b] = np.fromiter(map(look, w), np.int64, b - a)
+    if not len(at):
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), starts
+    return np.frombuffer(_pairs.high, np.uint64)[at], np.frombuffer(_pairs.low, np.uint64)[at], starts
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """An order-sensitive hash of two hash arrays."""
     h = (a * _M1) ^ b

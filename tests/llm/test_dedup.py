@@ -257,3 +257,27 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for f in (exact_dedup.exact_dedup, near_dedup.near_duplicates, substring_dedup.substring_dedup, exact_dedup.deduplicated, near_dedup.deduplicated):
         assert f(empty).count() == 0
+
+
+def test_records_agree_in_both_parts():
+    import numpy as np
+
+    known = (np.array([3, 5, 5, 9], np.uint64), np.array([1, 2, 7, 4], np.uint32))
+    asked = (np.array([3, 3, 5, 5, 5, 9, 10], np.uint64), np.array([1, 2, 2, 7, 8, 4, 4], np.uint32))
+    assert substring_dedup._among(known, asked).tolist() == [True, False, True, True, False, True, False]
+
+
+def test_substring_very_long_text(spark):
+    rng = random.Random(2)
+    long = [f"w{rng.randrange(10**9)}" for _ in range(200_000)]
+    corpus = [(1, " ".join(long)), (2, "x " + " ".join(long[150_000:150_035]) + " y")]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(frame(spark, corpus)).collect()}
+    assert got == {1: (200_000, 35), 2: (37, 35)}
+
+
+def test_exact_repeated_rows_and_names(spark):
+    rows = [(1, "A", "p"), (1, "a", "q"), (1, "a", "q"), (None, "b", "r"), (None, "B", "s"), (2, "", "t"), (3, None, "u"), (7, "x " * 400_000, "v"), (8, "X " * 400_000, "w")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _uid string").repartition(3)
+    out = exact_dedup.deduplicated(d)
+    assert out.columns == d.columns
+    assert Counter((r.doc_id, lower(r.text)[:2]) for r in out.collect()) == Counter([(1, "a"), (None, "b"), (3, ""), (8, "x ")])
