@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import os
@@ -38,9 +39,27 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_scratch: list[list[str]] = []
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared one for one run of an operator."""
-    return f"{shared_dir(spark)}/quillfin/{name}-{uuid.uuid4().hex}"
+    made = f"{shared_dir(spark)}/quillfin/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(made)
+    return made
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Delete the workspaces made inside when the block is left: for callers that have
+    written the operators' results elsewhere by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for made in _scratch.pop():
+            drop_path(spark, made)
 
 
 #: Spark's own setting that deletes a plan's shuffle files when the plan has ended.

@@ -53,17 +53,16 @@ def masks_for(lengths: list[int]) -> list[tuple[str, int, int]]:
 
 
 def _windows(df: DataFrame, keep: list[str], words: str) -> DataFrame:
-    """A row per word position: ``keep``, pos, h0 .. h8 (word hashes, null past the end).
+    """A row per word position: ``keep``, pos, w0 .. w8 (null past the end).
 
     A long text is cut into chunks (with the words that the last windows reach into), so
     only a chunk's windows stand side by side.
     """
     n = F.size(words)
-    hashed = lambda s: F.transform(F.slice(words, s + 1, CHUNK + SPAN - 1), lambda w: F.xxhash64(w))
-    chunks = F.transform(F.sequence(F.lit(0), n - 1, F.lit(CHUNK)), lambda s: F.struct(s.alias("at"), hashed(s).alias("h")))
+    chunks = F.transform(F.sequence(F.lit(0), n - 1, F.lit(CHUNK)), lambda s: F.struct(s.alias("at"), F.slice(words, s + 1, CHUNK + SPAN - 1).alias("h")))
     cut = df.where(n > 0).select(*keep, F.inline(chunks))
     own = F.least(F.size("h"), F.lit(CHUNK))
-    shifted = [F.slice("h", k + 1, own).alias(f"h{k}") for k in range(SPAN)]
+    shifted = [F.slice("h", k + 1, own).alias(f"w{k}") for k in range(SPAN)]
     at = F.sequence(F.col("at"), F.col("at") + own - 1).alias("pos")
     return cut.select(*keep, F.inline(F.arrays_zip(at, *shifted))).where(F.col("pos").isNotNull())
 
@@ -72,12 +71,12 @@ def _seed(masks: list[tuple[str, int, int]], item_words: Column | None = None) -
     """A seed a mask; null where the window is cut by the text's end or the mask is not for the item."""
     out = []
     for number, (mask, least, most) in enumerate(masks):
-        used = [F.col(f"h{k}") for k, c in enumerate(mask) if c == "1"]
-        fits = F.col(f"h{len(mask) - 1}").isNotNull()
+        used = [F.col(f"w{k}") for k, c in enumerate(mask) if c == "1"]
+        fits = F.col(f"w{len(mask) - 1}").isNotNull()
         if item_words is not None:
             fits &= item_words.between(least, most)
         out.append(F.when(fits, F.xxhash64(F.lit(number), *used)))
-    return F.explode(F.array_compact(F.array(*out)))
+    return F.explode(F.array(*out))
 
 
 def _leaks(
@@ -103,7 +102,7 @@ def _leaks(
     lengths = [r[0] for r in items.where(F.col("item_words") < SHORT).select("item_words").distinct().collect()]  # at most 14 numbers
     masks = masks_for(lengths)
     ours = _windows(items, ["_item", "item_words"], "_words").select("_item", F.col("pos").alias("item_pos"), _seed(masks, F.col("item_words")).alias("seed"))
-    seeds = common.stage(ours.distinct(), f"{path}/seeds")
+    seeds = common.stage(ours.where(F.col("seed").isNotNull()).distinct(), f"{path}/seeds")
     small = seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds  # then there are no more items either
     maybe = F.broadcast if small else lambda df: df
 
@@ -157,5 +156,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFram
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     bad = _leaks(docs, benchmark, **options).select(*ROW).distinct()
+    # stored, so that its size is known: rows are shuffled only if it is too large to broadcast
+    bad = common.stage(bad, common.workspace(docs.sparkSession, "contaminated"))
     one, two = _row_key(docs[id_col], docs[text_col])
     return docs.join(bad, (one == bad[ROW[0]]) & (two == bad[ROW[1]]), "left_anti")

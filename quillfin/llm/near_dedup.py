@@ -47,7 +47,7 @@ SMALL = 24
 #: Up to so many classes outside the main component of a large node meet all its classes.
 OUTSIDERS = 8
 #: Classes and bytes of shingles that a block of a large node has on average at most.
-BLOCK, BLOCK_BYTES = 256, 4 << 20
+BLOCK, BLOCK_BYTES = 128, 4 << 20
 #: Trees whose pivots pass 1 links; its only aim is to join what is alike before pass 2,
 #: which goes through all trees.
 STAR_TREES = 3
@@ -160,7 +160,8 @@ def _members(involved: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str,
 
     One document of each class is read again for its set.
     """
-    wanted = reps.join(involved, "key").select(F.col("rep").alias("_rep")).distinct()
+    # stored, so that its size is known: texts are shuffled only if it is too large to broadcast
+    wanted = common.stage(reps.join(involved, "key").select(F.col("rep").alias("_rep")).distinct(), f"{path}/wanted")
     own = docs.select(docs[id_col].cast("long").alias("_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"))
     texts = own.join(wanted, common.same(F.col("_id"), F.col("_rep")), "left_semi").select("_text")
 
@@ -178,10 +179,12 @@ def _members(involved: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str,
     return found
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, words_each: int, percent: int, path: str) -> DataFrame:
-    """Links (a, b) among candidate pairs (a, b: set keys), confirmed on full sets."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    found = _members(involved, reps, docs, id_col, text_col, words_each, path)
+def _keys_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("key"))
+
+
+def _verified(pairs: DataFrame, found: DataFrame, percent: int, path: str) -> DataFrame:
+    """Links (a, b) among candidate pairs (a, b: set keys), confirmed on the full sets ``found``."""
     one = found.select(F.col("key").alias("a"), F.col("members").alias("ma"))
     two = found.select(F.col("key").alias("b"), F.col("members").alias("mb"))
 
@@ -318,6 +321,7 @@ _BLOCKED = ("path", "key", "n", "label", "main")
 
 def _text_components(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, words_each: int, percent: int, path: str) -> DataFrame:
     """(key, label), staged: each class with the least key that links reach from it."""
+    spark = docs.sparkSession
     classes = common.stage(
         signed.where(F.col("tokens").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("tokens").alias("tokens"), F.min("sketch").alias("sketch")),
         f"{path}/classes",
@@ -336,13 +340,18 @@ def _text_components(signed: DataFrame, docs: DataFrame, id_col: str, text_col:
     one, two = F.least("key", "p.key"), F.greatest("key", "p.key")
     pairs = common.stage(stars.select(one.alias("a"), two.alias("b")).distinct(), f"{path}/stars")
     pairs = common.stage(_promising(pairs, classes, percent), f"{path}/pairs1")
-    links = _verified(pairs, classes, docs, id_col, text_col, words_each, percent, f"{path}/pass1")
+    found = _members(common.stage(_keys_of(pairs).distinct(), f"{path}/keys1"), classes, docs, id_col, text_col, words_each, f"{path}/sets1")
+    links = _verified(pairs, found, percent, f"{path}/pass1")
+    common.drop_path(spark, f"{path}/sets1")
     first = _connect(links, f"{path}/connect1")
     labels = common.stage(classes.select("key").join(first, "key", "left").select("key", F.coalesce("label", "key").alias("label")), f"{path}/labels")
 
     # pass 2: what different components have in common
     level, pairs, blocks = 0, [], []
+    common.drop_path(spark, f"{path}/connect1")
     now = common.stage(_mixed(common.stage(nodes.join(labels, "key"), f"{path}/labelled")), f"{path}/mixed0")
+    for done in ("nodes", "labelled", "stars"):
+        common.drop_path(spark, f"{path}/{done}")
     while True:
         few = F.col("others") <= OUTSIDERS
         pairs += [_pairs_within(now.where(F.col("size") <= SMALL), percent), _pairs_across(now.where((F.col("size") > SMALL) & few), percent)]
@@ -354,6 +363,7 @@ def _text_components(signed: DataFrame, docs: DataFrame, id_col: str, text_col:
             break
         own = large if level else large.join(classes.select("key", "tokens"), "key")
         children = common.stage(_mixed(common.stage(_branched(own, level), f"{path}/children{level}")), f"{path}/below{level}")
+        common.drop_path(spark, f"{path}/children{level}")
         worth = common.stage(_worth_branching(large, children), f"{path}/worth{level}")
         blocks.append(common.spread_join(large, worth.where(~F.col("worth")), "path", "key").select(*_BLOCKED))
         level += 1
@@ -361,14 +371,19 @@ def _text_components(signed: DataFrame, docs: DataFrame, id_col: str, text_col:
         now = common.stage(now, f"{path}/mixed{level}")
     every = common.stage(functools.reduce(DataFrame.union, pairs).distinct(), f"{path}/met")
     promising = common.stage(_promising(every, classes, percent), f"{path}/pairs2")
-    links = _verified(promising, classes, docs, id_col, text_col, words_each, percent, f"{path}/pass2")
+    large = common.stage(functools.reduce(DataFrame.union, blocks), f"{path}/large") if blocks else None
+    involved = _keys_of(promising)
+    if large is not None:
+        involved = involved.union(large.select("key"))
+    found = _members(common.stage(involved.distinct(), f"{path}/keys2"), classes, docs, id_col, text_col, words_each, f"{path}/sets2")
+    links = _verified(promising, found, percent, f"{path}/pass2")
     told = common.spread_join(links, labels.select(F.col("key").alias("a"), F.col("label").alias("la")), "a", "b")
     across = common.spread_join(told, labels.select(F.col("key").alias("b"), F.col("label").alias("lb")), "b", "a")
     across = across.where(F.col("la") != F.col("lb")).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-    if blocks:
-        large = common.stage(functools.reduce(DataFrame.union, blocks), f"{path}/large/nodes")
-        found = _members(large.select("key").distinct(), classes, docs, id_col, text_col, words_each, f"{path}/large")
+    if large is not None:
         across = across.union(common.stage(_linked_in_blocks(large, found, percent).distinct(), f"{path}/blocks"))
+    across = common.stage(across, f"{path}/across")
+    common.drop_path(spark, f"{path}/sets2")
     return _merged(labels, across, f"{path}/connect2")
 
 
@@ -440,4 +455,5 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     rows = common.stage(common.spread_join(signed.select("uid", "doc_id", "key"), labels, "key", "uid"), f"{path}/rows")
     best = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "uid")).alias("best"))
     gone = common.spread_join(rows, best, "label", "uid").where(F.col("uid") != F.col("best.uid")).select(F.col("uid").alias(uid))
+    gone = common.stage(gone, f"{path}/gone")
     return docs.join(gone, uid, "left_anti").drop(uid)

@@ -41,3 +41,22 @@ def test_stages(spark):
     ids = {i: lib.encode(t, add_special_tokens=False).ids for i, t in rows(clean)}
     assert got == Counter((i, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()) for i, x in ids.items())
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect()) == got
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls, empties, repeats, clashing names and an empty table through every stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, _uid string, _r1 long"
+    text = "several sentences of plain prose, which are long enough to be judged as they are and kept by everything that follows here."
+    rows = [(1, None), (2, ""), (None, text), (4, text), (4, text), (4, text + " More."), (7, text.upper()), (7, "quite another text, on other matters " * 9), (8, None)]
+    odd = spark.createDataFrame([(i, t, "en", "web", 1, True, "x", 2) for i, t in rows], schema)
+    for docs in (odd, odd.limit(0)):
+        path = common.workspace(spark, "odd")
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = common.stage(stage(spark, docs, SF), f"{path}/{k}")
+            assert name == "tokens" or out.columns == odd.columns
+            if name == "exact":
+                assert out.count() == len({lower(r.text) for r in docs.collect()})
+            if name == "near":
+                assert {lower(r.text)[:9] for r in out.collect()} == {lower(r.text)[:9] for r in docs.collect()}
+            docs = out
+        assert docs.columns[0] == "doc_id"
