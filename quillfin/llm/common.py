@@ -115,6 +115,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Between phases of many jobs: let the driver forget the plans and broadcasts of the
+    last one, so that its memory does not grow with the number of jobs."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """pyarrow's file system for a URI of the shared folder, and the path in it."""
     if "://" not in uri and not uri.startswith("file:"):

@@ -12,7 +12,7 @@ children of it, each named by one more of its minwise tokens. Two sets of simila
 BRANCH * s children of a node they share, in expectation, so links at 0.75 survive at any
 depth (with probability 0.889) while classes that are less alike than 1 / BRANCH come apart.
 Nodes that branching would not make cheaper (their classes are alike throughout), and what
-is still large after LEVELS levels, are compared by blocks of full shingle sets, so no pair
+is left when little is left or LEVELS are done, are compared by blocks of full shingle sets, so no pair
 is given up. Every link is confirmed on full sets; components are connected by
 least-label rounds on stored tables. A hot node, pivot or component is never one join key:
 its rows are dealt into parts.
@@ -40,6 +40,9 @@ TOKENS = TREES * START + MORE
 BRANCH, CHOICES = 2, 7
 #: Levels of branching; beyond them nodes are compared by blocks.
 LEVELS = 7
+#: Comparisons left for each class of the table below which branching would cost more than
+#: it saves; the nodes left are then compared by blocks.
+STAKE = 32
 #: A node branches only if its children take at most so much of its own comparisons.
 GAIN = 0.75
 #: A node of at most so many classes is compared exhaustively.
@@ -347,8 +350,9 @@ def _text_components(signed: DataFrame, docs: DataFrame, id_col: str, text_col:
     labels = common.stage(classes.select("key").join(first, "key", "left").select("key", F.coalesce("label", "key").alias("label")), f"{path}/labels")
 
     # pass 2: what different components have in common
-    level, pairs, blocks = 0, [], []
+    level, pairs, blocks, known = 0, [], [], classes.count()
     common.drop_path(spark, f"{path}/connect1")
+    common.release(spark)
     now = common.stage(_mixed(common.stage(nodes.join(labels, "key"), f"{path}/labelled")), f"{path}/mixed0")
     for done in ("nodes", "labelled", "stars"):
         common.drop_path(spark, f"{path}/{done}")
@@ -356,9 +360,10 @@ def _text_components(signed: DataFrame, docs: DataFrame, id_col: str, text_col:
         few = F.col("others") <= OUTSIDERS
         pairs += [_pairs_within(now.where(F.col("size") <= SMALL), percent), _pairs_across(now.where((F.col("size") > SMALL) & few), percent)]
         large = now.where((F.col("size") > SMALL) & ~few)
-        if large.limit(1).count() == 0:
+        stake = large.groupBy("path").agg(F.min(F.col("size") * F.col("others")).alias("cost")).agg(F.sum("cost")).first()[0] or 0
+        if stake == 0:
             break
-        if level == LEVELS:
+        if level == LEVELS or stake <= STAKE * known:
             blocks.append(large.select(*_BLOCKED))
             break
         own = large if level else large.join(classes.select("key", "tokens"), "key")
@@ -370,6 +375,7 @@ def _text_components(signed: DataFrame, docs: DataFrame, id_col: str, text_col:
         now = common.spread_join(children, worth.where("worth").select(F.col("path").alias("parent")), "parent", "key")
         now = common.stage(now, f"{path}/mixed{level}")
     every = common.stage(functools.reduce(DataFrame.union, pairs).distinct(), f"{path}/met")
+    common.release(spark)
     promising = common.stage(_promising(every, classes, percent), f"{path}/pairs2")
     large = common.stage(functools.reduce(DataFrame.union, blocks), f"{path}/large") if blocks else None
     involved = _keys_of(promising)
