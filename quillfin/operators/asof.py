@@ -60,18 +60,26 @@ def asof_grid(events: DataFrame, clock: Clock) -> DataFrame:
     )
 
 
-def forward_match(rows: DataFrame, targets: DataFrame, time: str, low: int, high: int, columns: list[str], keys: list[str] | None = None) -> DataFrame:
+def forward_match(rows: DataFrame, targets: DataFrame, time: str, low: int, high: int | None, columns: list[str], keys: list[str] | None = None) -> DataFrame:
     """``rows`` with ``target`` = struct(timestamp_ms, sequence_id, *columns) of the first
-    target in [time + low, time + high] (equal times: the lowest sequence), null if none."""
+    target in [time + low, time + high] (equal times: the lowest sequence), null if none.
+    ``high`` None: however late.
+
+    One running window, from late to early: the last target met is the first one in time,
+    so a stream costs a sort and one pass, whatever the width of the range.
+    """
     keys = keys or stream_keys(rows.columns)
     names = rows.columns
-    left = rows.select(*keys, F.col(time).alias("_t"), F.struct(*names).alias("_row"), F.lit(None).cast(_struct_type(targets, columns)).alias("_target"))
+    left = rows.select(*keys, (F.col(time) + low).alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast("long").alias("_o"), F.struct(*names).alias("_row"), F.lit(None).cast(_struct_type(targets, columns)).alias("_target"))
     right = targets.select(
-        *keys, F.col("timestamp_ms").alias("_t"), F.lit(None).cast(rows.select(F.struct(*names).alias("s")).schema["s"].dataType).alias("_row"), F.struct("timestamp_ms", "sequence_id", *columns).alias("_target")
-    )
-    w = Window.partitionBy(*keys).orderBy("_t").rangeBetween(low, high)
-    found = left.unionByName(right).withColumn("target", F.min("_target").over(w))
-    return found.where(F.col("_row").isNotNull()).select("_row.*", "target")
+        *keys, F.col("timestamp_ms").alias("_t"), F.lit(0).alias("_k"), F.col("sequence_id").cast("long").alias("_o"),
+        F.lit(None).cast(rows.select(F.struct(*names).alias("s")).schema["s"].dataType).alias("_row"), F.struct("timestamp_ms", "sequence_id", *columns).alias("_target"),
+    )
+    w = Window.partitionBy(*keys).orderBy(F.desc("_t"), "_k", F.desc("_o")).rowsBetween(Window.unboundedPreceding, 0)
+    found = left.unionByName(right).withColumn("target", F.last("_target", ignorenulls=True).over(w)).where(F.col("_row").isNotNull())
+    if high is not None:
+        found = found.withColumn("target", F.when(F.col("target.timestamp_ms") <= F.col("_t") - low + high, F.col("target")))
+    return found.select("_row.*", "target")
 
 
 def _struct_type(df: DataFrame, columns: list[str]):

@@ -88,7 +88,12 @@ def regimes(df: DataFrame, volatility_median: Column, trend_band: Column) -> Col
 
 
 def pair_pivot(df: DataFrame, time: str, side: str, values: list[str]) -> DataFrame:
-    """UP and DOWN rows of one time side by side; times that lack a side are dropped."""
+    """UP and DOWN rows of one time side by side; times that lack a side are dropped.
+
+    Two rows of one time and side stop the job: no row could stand for both.
+    """
+    twice = F.raise_error(F.concat(F.lit("one time has a side twice: "), F.col(time).cast("string"))).cast("boolean")
     cols = [F.max(F.when(F.col(side) == s, F.col(v))).alias(f"{s.lower()}_{v}") for s in ("UP", "DOWN") for v in values]
     n = [F.count_if(F.col(side) == s).alias(f"n_{s.lower()}") for s in ("UP", "DOWN")]
-    return df.groupBy(time).agg(*cols, *n).where("n_up > 0 AND n_down > 0").drop("n_up", "n_down")
+    both = df.groupBy(time).agg(*cols, *n).where(F.when((F.col("n_up") > 1) | (F.col("n_down") > 1), twice).otherwise(F.lit(True)))
+    return both.where("n_up > 0 AND n_down > 0").drop("n_up", "n_down")

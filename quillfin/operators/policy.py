@@ -38,9 +38,10 @@ def trades(df: DataFrame, quotes: DataFrame, step: int, keys: list[str]) -> Data
 
 
 def masks(gate: Gate) -> dict[str, Column]:
+    # fixed values: the policies' names
     base = F.col("is_directional") & F.col("has_exit_quote")
     sure, tight, even = F.col("confidence") >= gate.confidence, F.col("scaled_spread") <= gate.spread, F.col("abs_scaled_imbalance") <= gate.imbalance
-    return {"0_mid": base, "1_unfiltered": base, "2_confidence": base & sure, "3_spread": base & tight, "4_imbalance": base & even, "5_combined": base & sure & tight & even}
+    return {"Policy_0_Mid_Counterfactual": base, "Policy_1_Unfiltered_Baseline": base, "Policy_2_Confidence_Gate": base & sure, "Policy_3_Spread_Gate": base & tight, "Policy_4_Depth_Imbalance_Gate": base & even, "Policy_5_Combined_Gate": base & sure & tight & even}
 
 
 def reasons(gate: Gate, age: Column, most_age: int, gap: Column, most_gap: int) -> Column:
@@ -82,8 +83,9 @@ def stress(df: DataFrame, gate: Gate) -> DataFrame:
     done = sure & F.col("has_exit_quote")
     open_ = sure & ~F.col("has_exit_quote")
     g, both, entry = F.col("gross_pnl"), F.col("entry_price") + F.col("exit_price"), F.col("entry_price")
-    cases = [("S0_baseline", F.when(done, g)), *[(f"S1_fee_{b}bps", F.when(done, g - both * (b / 10000.0))) for b in (5, 10, 15)]]
-    cases += [(f"S2_slip_{n}", F.when(done, g - 2.0 * (entry * (b / 10000.0)))) for n, b in (("half", 0.5), ("one", 1.0))]
-    cases += [("S3_one_tick", F.when(done, g - 0.01)), ("S5_missing_exit", F.when(done, g).when(open_, -0.01)), ("S6_compound", F.when(done, g - both * 0.001 - 2.0 * (entry * 0.00005)).when(open_, -0.015))]
+    # fixed values: the scenarios' names
+    cases = [("S0_Baseline_Top_of_Book_0bps", F.when(done, g)), *[(f"S1_Fee_Schedule_{b}bps", F.when(done, g - both * (b / 10000.0))) for b in (5, 10, 15)]]
+    cases += [(f"S2_Adverse_Slippage_{n}bps", F.when(done, g - 2.0 * (entry * (b / 10000.0)))) for n, b in (("0.5", 0.5), ("1.0", 1.0))]
+    cases += [("S3_Adverse_Entry_1Tick", F.when(done, g - 0.01)), ("S5_Missing_Exit_Forced_Liquidation_Penalty", F.when(done, g).when(open_, -0.01)), ("S6_Compounded_Multi_Stress", F.when(done, g - both * 0.001 - 2.0 * (entry * 0.00005)).when(open_, -0.015))]
     items = F.array(*[F.struct(F.lit(n).alias("scenario"), p.alias("pnl")) for n, p in cases])
     return df.withColumn("_s", F.explode(items)).select("*", "_s.scenario", "_s.pnl").drop("_s").where(F.col("pnl").isNotNull())

@@ -34,13 +34,14 @@ def gate(grid: DataFrame, labels: DataFrame, sequences: DataFrame, least_labels=
     g = grid.agg(F.round(F.avg(F.col("is_stale").cast("int")), 9).alias("stale"), F.count_distinct(mid()).alias("mids"))
     row = reduce(lambda a, b: a.join(F.broadcast(b)), [dup, moves, classes, g], one)  # each is one row
     c = F.col
+    # fixed values: the checks' names
     out = checks(row, [
         ("duplicate_sequence_endpoints", "pipeline_integrity", c("dup") == 0, c("dup")),
         ("labeled_observations_count", "data_quality", c("labels") >= least_labels, c("labels")),
         ("sequence_counts_sufficiency", "data_quality", (c("total") >= least[0]) & (c("train") >= least[1]) & (c("validation") >= least[2]) & (c("test") >= least[3]), c("total")),
-        ("unique_mid_prices", "data_quality", c("mids") >= least_mids, c("mids")),
+        ("price_diversity", "data_quality", c("mids") >= least_mids, c("mids")),
         ("directional_transitions", "data_quality", c("moves") >= least_transitions, c("moves")),
-        ("class_share", "data_quality", (c("classes") == 3) & (c("share") >= least_class), c("share")),
-        ("stale_share", "data_quality", c("stale") <= most_stale, c("stale")),
+        ("class_balance_minimum", "data_quality", (c("classes") == 3) & (c("share") >= least_class), c("share")),
+        ("staleness_threshold", "data_quality", c("stale") <= most_stale, c("stale")),
     ])
     return out.withColumn("training_ready", F.every(F.col("status") == "PASS").over(Window.partitionBy(F.lit(0))))

@@ -93,7 +93,7 @@ FROM (SELECT *, timestamp_ms + {HOURS.low} AS t FROM q) a ASOF LEFT JOIN candle
 def asof_forward_candle(spark, sf_dir):
     q = events(spark, sf_dir)
     c = candles(q).select("market_id", F.col("open_time_ms").alias("timestamp_ms"), F.col("open_time_ms").alias("sequence_id"), "open")
-    out = asof.forward_match(q.select("sequence_id", "market_id", "timestamp_ms"), c, "timestamp_ms", HOURS.low, 400 * _DAY, ["open"], keys=["market_id"])
+    out = asof.forward_match(q.select("sequence_id", "market_id", "timestamp_ms"), c, "timestamp_ms", HOURS.low, None, ["open"], keys=["market_id"])
     return out.select("sequence_id", "market_id", F.col("target.timestamp_ms").alias("next_open_time_ms"), F.col("target.open").alias("next_open"))
 
 

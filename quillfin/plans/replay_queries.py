@@ -127,7 +127,7 @@ def _event_sim(q, orders):
     fills = near.where(kind.isin("CONFIRMED_PRICE_THROUGH", "AMBIGUOUS_QUOTE_RETREAT")).groupBy("sequence_id").agg(F.min("t").alias("fill_timestamp_ms"))
     done = o.join(fills, "sequence_id", "left")
     filled = done.where(F.col("fill_timestamp_ms").isNotNull())
-    out = forward_match(filled, q, "fill_timestamp_ms", _X, 400 * 86_400_000, ["bid", "ask"], keys=STREAM)
+    out = forward_match(filled, q, "fill_timestamp_ms", _X, None, ["bid", "ask"], keys=STREAM)
     exits = out.select("sequence_id", F.when(F.col("side") == "BUY", F.col("target.bid")).otherwise(F.col("target.ask")).alias("exit_price"))
     every = done.join(exits, "sequence_id", "left")
     status = F.when(F.col("fill_timestamp_ms").isNull(), "CANCELLED_UNFILLED").when(F.col("exit_price").isNull(), "INCOMPLETE_MISSING_EXIT").otherwise("COMPLETED")
@@ -185,16 +185,16 @@ def stream_grid_parity(spark, sf_dir):
     import uuid
 
     from ..sources.quotes import from_events
-    from ..streaming.grid import grid_stream
+    from ..streaming.grid import OUT, grid_stream
 
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     rows = from_events(stream).withColumn("at", F.timestamp_millis("timestamp_ms"))
-    name = f"grid_{uuid.uuid4().hex}"
-    with tempfile.TemporaryDirectory() as checkpoint:
-        q = grid_stream(rows, HOURS, "0 seconds", most_waiting=10_000_000).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        q.awaitTermination()
-    return spark.table(name)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    path = f"{(shared or 'file://' + tempfile.mkdtemp(prefix='quillfin-')).rstrip('/')}/quillfin/grid-{uuid.uuid4().hex}"  # a local folder only where none is shared, as in tests
+    q = grid_stream(rows, HOURS, "0 seconds", most_waiting=10_000_000).writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{path}/rows")
 
 
 @query("baseline_models")

@@ -38,8 +38,8 @@ tr AS (SELECT *, prediction <> 1 AS is_directional, bid_exit IS NOT NULL AND ask
   CASE prediction WHEN 2 THEN bid_exit - ask WHEN 0 THEN bid - ask_exit ELSE 0.0 END AS gross_pnl,
   CASE prediction WHEN 2 THEN (bid_exit + ask_exit) / 2.0 - (bid + ask) / 2.0 WHEN 0 THEN (bid + ask) / 2.0 - (bid_exit + ask_exit) / 2.0 ELSE 0.0 END AS mid_pnl FROM tr0),
 mk AS (
-  SELECT *, UNNEST([{{'policy': '0_mid', 'ok': true}}, {{'policy': '1_unfiltered', 'ok': true}}, {{'policy': '2_confidence', 'ok': confidence >= 0.55}}, {{'policy': '3_spread', 'ok': scaled_spread <= 0.5}},
-    {{'policy': '4_imbalance', 'ok': abs_scaled_imbalance <= 1.2}}, {{'policy': '5_combined', 'ok': confidence >= 0.55 AND scaled_spread <= 0.5 AND abs_scaled_imbalance <= 1.2}}]) AS m FROM tr)"""
+  SELECT *, UNNEST([{{'policy': 'Policy_0_Mid_Counterfactual', 'ok': true}}, {{'policy': 'Policy_1_Unfiltered_Baseline', 'ok': true}}, {{'policy': 'Policy_2_Confidence_Gate', 'ok': confidence >= 0.55}}, {{'policy': 'Policy_3_Spread_Gate', 'ok': scaled_spread <= 0.5}},
+    {{'policy': 'Policy_4_Depth_Imbalance_Gate', 'ok': abs_scaled_imbalance <= 1.2}}, {{'policy': 'Policy_5_Combined_Gate', 'ok': confidence >= 0.55 AND scaled_spread <= 0.5 AND abs_scaled_imbalance <= 1.2}}]) AS m FROM tr)"""
 )
 
 
@@ -88,7 +88,7 @@ c2 AS (SELECT *, max(cum) OVER (PARTITION BY {key} ORDER BY grid_timestamp_ms, m
     with_(
         TRADES_SQL,
         """, fe AS (SELECT m.policy AS policy, b AS fee_bps, grid_timestamp_ms, market_id, asset_id,
-   CASE WHEN m.policy = '0_mid' THEN mid_pnl - ((bid + ask) / 2.0 + (bid_exit + ask_exit) / 2.0) * (b / 10000.0::DOUBLE) ELSE gross_pnl - (entry_price + exit_price) * (b / 10000.0::DOUBLE) END AS x
+   CASE WHEN m.policy = 'Policy_0_Mid_Counterfactual' THEN mid_pnl - ((bid + ask) / 2.0 + (bid_exit + ask_exit) / 2.0) * (b / 10000.0::DOUBLE) ELSE gross_pnl - (entry_price + exit_price) * (b / 10000.0::DOUBLE) END AS x
   FROM mk, (VALUES (0), (5), (10)) v(b) WHERE m.ok AND is_directional AND has_exit_quote),
 """
         + _cum("fe", "policy, fee_bps")
@@ -99,7 +99,7 @@ def policy_metrics(spark, sf_dir):
     """Six policies at three fees, charged on the true exit price."""
     d = by_policy(trade_rows(spark, sf_dir)).where("ok").withColumn("fee_bps", F.explode(F.array(F.lit(0), F.lit(5), F.lit(10))))
     fee = F.col("fee_bps") / F.lit(10000.0)
-    net = F.when(F.col("policy") == "0_mid", F.col("mid_pnl") - (F.col("mid_entry") + F.col("mid_exit")) * fee).otherwise(F.col("gross_pnl") - (F.col("entry_price") + F.col("exit_price")) * fee)
+    net = F.when(F.col("policy") == "Policy_0_Mid_Counterfactual", F.col("mid_pnl") - (F.col("mid_entry") + F.col("mid_exit")) * fee).otherwise(F.col("gross_pnl") - (F.col("entry_price") + F.col("exit_price")) * fee)
     out = policy.metrics(d.withColumn("net", net), "net", ["policy", "fee_bps"], _ORDER, F.floor(F.col("grid_timestamp_ms") / _DAY))
     return out.withColumns({c: F.round(c, 8) for c in _DOUBLES})
 
@@ -110,15 +110,15 @@ STRESS_SQL = (
 su AS (SELECT *, confidence >= 0.55 AND scaled_spread <= 0.5 AND abs_scaled_imbalance <= 1.2 AND is_directional AS sure FROM tr),
 st AS (
   SELECT s.scenario, s.x, grid_timestamp_ms, market_id, asset_id FROM (SELECT *, UNNEST([
-    {'scenario': 'S0_baseline', 'x': CASE WHEN has_exit_quote THEN gross_pnl END},
-    {'scenario': 'S1_fee_5bps', 'x': CASE WHEN has_exit_quote THEN gross_pnl - (entry_price + exit_price) * 0.0005::DOUBLE END},
-    {'scenario': 'S1_fee_10bps', 'x': CASE WHEN has_exit_quote THEN gross_pnl - (entry_price + exit_price) * 0.001::DOUBLE END},
-    {'scenario': 'S1_fee_15bps', 'x': CASE WHEN has_exit_quote THEN gross_pnl - (entry_price + exit_price) * 0.0015::DOUBLE END},
-    {'scenario': 'S2_slip_half', 'x': CASE WHEN has_exit_quote THEN gross_pnl - 2.0::DOUBLE * (entry_price * 0.00005::DOUBLE) END},
-    {'scenario': 'S2_slip_one', 'x': CASE WHEN has_exit_quote THEN gross_pnl - 2.0::DOUBLE * (entry_price * 0.0001::DOUBLE) END},
-    {'scenario': 'S3_one_tick', 'x': CASE WHEN has_exit_quote THEN gross_pnl - 0.01::DOUBLE END},
-    {'scenario': 'S5_missing_exit', 'x': CASE WHEN has_exit_quote THEN gross_pnl ELSE -0.01 END},
-    {'scenario': 'S6_compound', 'x': CASE WHEN has_exit_quote THEN gross_pnl - (entry_price + exit_price) * 0.001::DOUBLE - 2.0::DOUBLE * (entry_price * 0.00005::DOUBLE) ELSE -0.015 END}]) AS s FROM su WHERE sure) WHERE s.x IS NOT NULL
+    {'scenario': 'S0_Baseline_Top_of_Book_0bps', 'x': CASE WHEN has_exit_quote THEN gross_pnl END},
+    {'scenario': 'S1_Fee_Schedule_5bps', 'x': CASE WHEN has_exit_quote THEN gross_pnl - (entry_price + exit_price) * 0.0005::DOUBLE END},
+    {'scenario': 'S1_Fee_Schedule_10bps', 'x': CASE WHEN has_exit_quote THEN gross_pnl - (entry_price + exit_price) * 0.001::DOUBLE END},
+    {'scenario': 'S1_Fee_Schedule_15bps', 'x': CASE WHEN has_exit_quote THEN gross_pnl - (entry_price + exit_price) * 0.0015::DOUBLE END},
+    {'scenario': 'S2_Adverse_Slippage_0.5bps', 'x': CASE WHEN has_exit_quote THEN gross_pnl - 2.0::DOUBLE * (entry_price * 0.00005::DOUBLE) END},
+    {'scenario': 'S2_Adverse_Slippage_1.0bps', 'x': CASE WHEN has_exit_quote THEN gross_pnl - 2.0::DOUBLE * (entry_price * 0.0001::DOUBLE) END},
+    {'scenario': 'S3_Adverse_Entry_1Tick', 'x': CASE WHEN has_exit_quote THEN gross_pnl - 0.01::DOUBLE END},
+    {'scenario': 'S5_Missing_Exit_Forced_Liquidation_Penalty', 'x': CASE WHEN has_exit_quote THEN gross_pnl ELSE -0.01 END},
+    {'scenario': 'S6_Compounded_Multi_Stress', 'x': CASE WHEN has_exit_quote THEN gross_pnl - (entry_price + exit_price) * 0.001::DOUBLE - 2.0::DOUBLE * (entry_price * 0.00005::DOUBLE) ELSE -0.015 END}]) AS s FROM su WHERE sure) WHERE s.x IS NOT NULL
 )"""
 )
 
@@ -277,12 +277,12 @@ def n_eff(spark, sf_dir):
     "drawdown",
     with_(
         STRESS_SQL,
-        """, s0 AS (SELECT *, sum(x) OVER (ORDER BY grid_timestamp_ms, market_id, asset_id ROWS UNBOUNDED PRECEDING) AS cum FROM st WHERE scenario = 'S0_baseline')
+        """, s0 AS (SELECT *, sum(x) OVER (ORDER BY grid_timestamp_ms, market_id, asset_id ROWS UNBOUNDED PRECEDING) AS cum FROM st WHERE scenario = 'S0_Baseline_Top_of_Book_0bps')
 SELECT market_id, asset_id, grid_timestamp_ms, round(cum, 8) AS cum, round(max(cum) OVER (ORDER BY grid_timestamp_ms, market_id, asset_id ROWS UNBOUNDED PRECEDING), 8) AS peak FROM s0""",
     ),
 )
 def drawdown(spark, sf_dir):
-    d = policy.stress(trade_rows(spark, sf_dir), GATE).where("scenario = 'S0_baseline'")
+    d = policy.stress(trade_rows(spark, sf_dir), GATE).where("scenario = 'S0_Baseline_Top_of_Book_0bps'")
     out = running(d, F.col("pnl"), _ORDER, F.floor(F.col("grid_timestamp_ms") / _DAY))
     return out.select(*STREAM, "grid_timestamp_ms", F.round("cum", 8).alias("cum"), F.round("peak", 8).alias("peak"))
 

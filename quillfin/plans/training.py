@@ -269,10 +269,10 @@ c AS (
   SELECT 'duplicate_sequence_endpoints' AS name, 'pipeline_integrity' AS category, CASE WHEN d = 0 THEN 'PASS' ELSE 'FAIL' END AS status, d::DOUBLE AS observed FROM d
   UNION ALL SELECT 'labeled_observations_count', 'data_quality', CASE WHEN n >= 10000 THEN 'PASS' ELSE 'FAIL' END, n FROM lc
   UNION ALL SELECT 'sequence_counts_sufficiency', 'data_quality', CASE WHEN total >= 10000 AND tr >= 7000 AND va >= 1000 AND te >= 1000 THEN 'PASS' ELSE 'FAIL' END, total FROM n
-  UNION ALL SELECT 'unique_mid_prices', 'data_quality', CASE WHEN mids >= 25 THEN 'PASS' ELSE 'FAIL' END, mids FROM s
+  UNION ALL SELECT 'price_diversity', 'data_quality', CASE WHEN mids >= 25 THEN 'PASS' ELSE 'FAIL' END, mids FROM s
   UNION ALL SELECT 'directional_transitions', 'data_quality', CASE WHEN t >= 100 THEN 'PASS' ELSE 'FAIL' END, t FROM tr
-  UNION ALL SELECT 'class_share', 'data_quality', CASE WHEN n = 3 AND least >= 0.05 THEN 'PASS' ELSE 'FAIL' END, round(least, 9) FROM l
-  UNION ALL SELECT 'stale_share', 'data_quality', CASE WHEN stale <= 0.2 THEN 'PASS' ELSE 'FAIL' END, round(stale, 9) FROM s
+  UNION ALL SELECT 'class_balance_minimum', 'data_quality', CASE WHEN n = 3 AND least >= 0.05 THEN 'PASS' ELSE 'FAIL' END, round(least, 9) FROM l
+  UNION ALL SELECT 'staleness_threshold', 'data_quality', CASE WHEN stale <= 0.2 THEN 'PASS' ELSE 'FAIL' END, round(stale, 9) FROM s
 )
 SELECT name, category, status, observed, bool_and(status = 'PASS') OVER () AS training_ready FROM c""",
     ),

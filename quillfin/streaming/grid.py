@@ -26,11 +26,13 @@ def admit(events: DataFrame, receipt: str = "receipt_ms", source: str = "source_
     return events.withColumn("refused", F.when(r.isNull() | (r <= 0), "INVALID_TIMESTAMP").when(F.col(source) > r + tolerance, "FUTURE_DATED"))
 
 
-def grid_stream(events: DataFrame, clock: Clock, delay: str = "10 seconds", most_waiting: int = 20_000) -> DataFrame:
+def grid_stream(events: DataFrame, clock: Clock, delay: str = "10 seconds", most_waiting: int = 20_000, tolerance: int | None = 5000) -> DataFrame:
     """Grid rows per stream as soon as the watermark has passed their time (append mode).
 
     events: streaming, with ``at`` (timestamp of receipt) besides the quote columns. Late
-    but not too late events are put in order in the buffer; nothing is retracted. A stream
+    but not too late events are put in order in the buffer; nothing is retracted, and an event
+    older than the quote shown already changes nothing. Events without a receipt time, or whose
+    own time is more than ``tolerance`` ms beyond it, are refused (None: all are admitted). A stream
     holds at most ``most_waiting`` events; those beyond are dropped and counted, and the
     count shows that its book is degraded.
     """
@@ -57,7 +59,8 @@ def grid_stream(events: DataFrame, clock: Clock, delay: str = "10 seconds", most
                 k += 1
             if k:
                 e = waiting[k - 1]
-                last, last_ts, last_seq = list(e[2:]), e[0], e[1]
+                if last_ts is None or (e[0], e[1]) >= (last_ts, last_seq):
+                    last, last_ts, last_seq = list(e[2:]), e[0], e[1]
                 del waiting[:k]
             if last is not None:
                 out.append((*key, nxt, last_ts, last_seq, *last, nxt - last_ts, nxt - last_ts > stale, dropped))
@@ -69,6 +72,9 @@ def grid_stream(events: DataFrame, clock: Clock, delay: str = "10 seconds", most
             state.setTimeoutTimestamp(max(mark, (nxt or 0)) + 1)
         yield pd.DataFrame(out, columns=OUT.names)
 
+    if tolerance is not None:
+        receipt = events.withColumn("_receipt", F.unix_millis("at"))
+        events = admit(receipt, "_receipt", "timestamp_ms", tolerance).where(F.col("refused").isNull()).drop("refused", "_receipt")
     marked = events.withWatermark("at", delay)
     return marked.groupBy("market_id", "asset_id").applyInPandasWithState(advance, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
