@@ -115,7 +115,10 @@ def _leaks(
     # around each hit the words of its alignment, compared one by one
     aligned = hits.join(maybe(items), "_item").select(*ROW, "_doc", "_item", "item_id", "item_words", "diagonal", F.posexplode("_words").alias("item_pos", "item_word"))
     aligned = aligned.withColumn("pos", F.col("diagonal") + F.col("item_pos")).where("pos >= 0")
-    fetched = own.join(hits.select(*ROW).distinct(), ROW, "left_semi").select(*ROW, F.posexplode("_words").alias("pos", "word")).dropDuplicates([*ROW, "pos"])
+    # only documents with hits are cut into words again; stored keys have a known size
+    wanted = common.stage(hits.select(*ROW).distinct(), f"{path}/wanted")
+    raw = docs.select(*key, docs[text_col].alias("_text")).join(wanted, ROW, "left_semi").dropDuplicates(ROW)
+    fetched = raw.select(*ROW, F.posexplode(words_of(F.col("_text"))).alias("pos", "word"))
     equal = aligned.join(fetched, [*ROW, "pos"]).where(F.col("word") == F.col("item_word"))
     on = Window.partitionBy(*ROW, "_item", "diagonal").orderBy("item_pos")
     need = F.least(F.lit(least_words), F.ceil(F.col("item_words") * F.lit(least_share)))
