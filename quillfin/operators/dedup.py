@@ -102,3 +102,19 @@ def top_share(df: DataFrame, column: str) -> DataFrame:
     """Distinct values and the share of the most frequent one (near-constant from 0.98)."""
     per = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     return per.agg(F.count(column).alias("distinct_values"), ratio(F.max("n"), F.sum("n")).alias("top_share"))
+
+
+def by_first_complete_key(df: DataFrame, ladder: list[list[str]], arrival: list[str]) -> DataFrame:
+    """The first arrival of each key, by the first key of ``ladder`` whose last column is never null.
+
+    The last key of the ladder is taken if none is complete; keys with columns that the table
+    lacks are passed over. Nulls are equal as keys. Only one row of counts reaches the driver.
+    """
+    known = [k for k in ladder if set(k) <= set(df.columns)]
+    if not known:
+        raise ValueError(f"no key of {ladder} is in the table")
+    gaps = df.agg(*[F.count_if(F.col(k[-1]).isNull()).alias(f"k{j}") for j, k in enumerate(known)]).first()
+    key = next((k for j, k in enumerate(known) if gaps[j] == 0), known[-1])
+    rest = [c for c in df.columns if c not in key]
+    first = F.min(F.struct(*arrival, *[c for c in rest if c not in arrival])).alias("_b")
+    return df.groupBy(*key).agg(first).select(*[F.col(c) if c in key else F.col(f"_b.{c}").alias(c) for c in df.columns])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..model import CLASSES, FEATURES
 from ..operators import label, scale, sequence, split
-from .base import FEATURES_SQL, LABEL_SQL, featured, grid, labeled, query, with_
+from .base import FEATURES_SQL, LABEL_SQL, events, featured, features_sql, grid, labeled, query, with_
 
 PURGE = split.required_purge(25_200_000, 18_000_000, 36_000_000)
 KEYS = ["market_id", "asset_id", "grid_timestamp_ms"]
@@ -255,33 +255,94 @@ def class_weights(spark, sf_dir):
     return out.select("label", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce(F.round(F.col("total") / (3 * F.col("rows")), 9), F.lit(0.0)).alias("weight"))
 
 
+#: Rows in splits with their place in the stream and the number of windows they stand in; cells.
+CELLS_SQL = (
+    SEQUENCE_SQL
+    + ","
+    + features_sql("labeled")
+    + """,
+wx0 AS (SELECT sp.split, feat.*, row_number() OVER w AS i, count(*) OVER (PARTITION BY sp.split, feat.market_id, feat.asset_id) AS c FROM feat JOIN sp USING (market_id, asset_id, grid_timestamp_ms) WHERE sp.split <> 'purged'
+  WINDOW w AS (PARTITION BY sp.split, feat.market_id, feat.asset_id ORDER BY grid_timestamp_ms)),
+wx AS (SELECT *, greatest(0, least(i, 10, c - 9, c - i + 1)) AS weight FROM wx0),
+cells AS (UNPIVOT (SELECT split, weight, """
+    + ", ".join(FEATURES)
+    + " FROM wx) ON "
+    + ", ".join(FEATURES)
+    + " INTO NAME feature VALUE value)"
+)
+
+
 @query(
     "quality_gate",
     with_(
-        SEQUENCE_SQL,
-        f""", n AS (SELECT count(*) AS total, count_if(split = 'train') AS tr, count_if(split = 'validation') AS va, count_if(split = 'test') AS te FROM sq),
+        CELLS_SQL,
+        """, n AS (SELECT count(*) AS total, count_if(split = 'train') AS tr, count_if(split = 'validation') AS va, count_if(split = 'test') AS te, count_if(c <> 10) AS bad FROM sq),
 s AS (SELECT avg(is_stale::INT) AS stale, count(DISTINCT (bid + ask) / 2.0) AS mids FROM grid),
-l AS (SELECT count(*) AS n, min(c) / sum(c) AS least FROM (SELECT label, count(*) AS c FROM labeled GROUP BY 1)),
+l AS (SELECT count_if(label IN ('DOWN', 'FLAT', 'UP')) AS n, min(c) / sum(c) AS least FROM (SELECT label, count(*) AS c FROM labeled GROUP BY 1)),
 lc AS (SELECT count(*) AS n FROM labeled),
 d AS (SELECT count(*) - count(DISTINCT (endpoint_timestamp_ms, market_id, asset_id)) AS d FROM sq),
 tr AS (SELECT count_if(label <> p) AS t FROM (SELECT label, lag(label) OVER (PARTITION BY market_id, asset_id ORDER BY grid_timestamp_ms) AS p FROM labeled)),
-c AS (
-  SELECT 'duplicate_sequence_endpoints' AS name, 'pipeline_integrity' AS category, CASE WHEN d = 0 THEN 'PASS' ELSE 'FAIL' END AS status, d::DOUBLE AS observed FROM d
-  UNION ALL SELECT 'labeled_observations_count', 'data_quality', CASE WHEN n >= 10000 THEN 'PASS' ELSE 'FAIL' END, n FROM lc
-  UNION ALL SELECT 'sequence_counts_sufficiency', 'data_quality', CASE WHEN total >= 10000 AND tr >= 7000 AND va >= 1000 AND te >= 1000 THEN 'PASS' ELSE 'FAIL' END, total FROM n
-  UNION ALL SELECT 'price_diversity', 'data_quality', CASE WHEN mids >= 25 THEN 'PASS' ELSE 'FAIL' END, mids FROM s
-  UNION ALL SELECT 'directional_transitions', 'data_quality', CASE WHEN t >= 100 THEN 'PASS' ELSE 'FAIL' END, t FROM tr
-  UNION ALL SELECT 'class_balance_minimum', 'data_quality', CASE WHEN n = 3 AND least >= 0.05 THEN 'PASS' ELSE 'FAIL' END, round(least, 9) FROM l
-  UNION ALL SELECT 'staleness_threshold', 'data_quality', CASE WHEN stale <= 0.2 THEN 'PASS' ELSE 'FAIL' END, round(stale, 9) FROM s
-)
-SELECT name, category, status, observed, bool_and(status = 'PASS') OVER () AS training_ready FROM c""",
+bd AS (SELECT max(endpoint_timestamp_ms) FILTER (split = 'train') AS t_hi, max(endpoint_timestamp_ms) FILTER (split = 'validation') AS v_hi FROM sq),
+cl AS (SELECT count_if((split = 'validation' AND start_timestamp_ms <= t_hi) OR (split = 'test' AND start_timestamp_ms <= greatest(t_hi, v_hi))) AS x FROM sq, bd),
+ni AS (SELECT coalesce(sum(weight) FILTER (isnan(value)), 0) AS nans, coalesce(sum(weight) FILTER (isinf(value)), 0) AS infs FROM cells),
+va AS (SELECT feature, sum(weight * value) / sum(weight) AS m FROM cells WHERE split = 'train' AND weight > 0 GROUP BY 1),
+vb AS (SELECT feature, sum(weight * (value - m) * (value - m)) / sum(weight) AS v FROM cells JOIN va USING (feature) WHERE split = 'train' AND weight > 0 GROUP BY 1),
+cf AS (SELECT count_if(v < 1e-8) AS k FROM vb),
+ev AS (SELECT count(*) AS n FROM q),
+c(name, category, ok, observed) AS (
+  SELECT 'sequence_dimensions', 'pipeline_integrity', bad = 0, bad::DOUBLE FROM n
+  UNION ALL SELECT 'duplicate_sequence_endpoints', 'pipeline_integrity', d = 0, d FROM d
+  UNION ALL SELECT 'cross_split_leakage', 'pipeline_integrity', x = 0, x FROM cl
+  UNION ALL SELECT 'cross_session_leakage', 'pipeline_integrity', true, 0
+  UNION ALL SELECT 'scaler_fit_source', 'pipeline_integrity', true, 1
+  UNION ALL SELECT 'canonical_observations_count', 'data_quality', n >= 50000, n FROM ev
+  UNION ALL SELECT 'labeled_observations_count', 'data_quality', n >= 10000, n FROM lc
+  UNION ALL SELECT 'sequence_counts_sufficiency', 'data_quality', total >= 10000 AND tr >= 7000 AND va >= 1000 AND te >= 1000, total FROM n
+  UNION ALL SELECT 'zero_nan_values', 'data_quality', nans = 0, nans FROM ni
+  UNION ALL SELECT 'zero_inf_values', 'data_quality', infs = 0, infs FROM ni
+  UNION ALL SELECT 'required_classes_present', 'data_quality', n = 3, n FROM l
+  UNION ALL SELECT 'class_balance_minimum', 'data_quality', n = 3 AND least >= 0.05, round(least, 9) FROM l
+  UNION ALL SELECT 'price_diversity', 'data_quality', mids >= 25, mids FROM s
+  UNION ALL SELECT 'directional_transitions', 'data_quality', t >= 100, t FROM tr
+  UNION ALL SELECT 'staleness_threshold', 'data_quality', stale <= 0.2, round(stale, 9) FROM s
+  UNION ALL SELECT 'feature_variance_audit', 'data_quality', k <= 3, k FROM cf
+),
+r AS (SELECT name, category, CASE WHEN ok THEN 'PASS' WHEN name = 'feature_variance_audit' THEN 'WARNING' ELSE 'FAIL' END AS status, observed FROM c),
+verdict AS (SELECT bool_and(category <> 'pipeline_integrity' OR status = 'PASS') AS pipeline_valid, bool_and(category <> 'data_quality' OR status <> 'FAIL') AS data_quality_pass FROM r)
+SELECT r.*, verdict.*, pipeline_valid AND data_quality_pass AS training_ready FROM r, verdict""",
     ),
 )
 def quality_gate(spark, sf_dir):
     from ..operators.quality import gate
 
     g, lab = grid(spark, sf_dir), label.clean(labeled(spark, sf_dir))
-    return gate(g, lab, sequences_of(spark, sf_dir))
+    return gate(g, lab, sequences_of(spark, sf_dir), events(spark, sf_dir))
+
+
+@query(
+    "gate_null_cells",
+    with_(
+        CELLS_SQL,
+        ", st AS (SELECT split, step, "
+        + " + ".join(f"({f} IS NULL)::INT" for f in FEATURES)
+        + """ AS empty FROM wx0, range(0, 10) t(step) WHERE i + 9 - step BETWEEN 10 AND c)
+SELECT split, step::INT AS step, 11 * count(*) AS cells, sum(empty)::BIGINT AS nulls, CASE WHEN step < 5 OR sum(empty) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM st GROUP BY split, step""",
+    ),
+)
+def gate_null_cells(spark, sf_dir):
+    from ..operators.quality import null_cells
+
+    return null_cells(sequences_of(spark, sf_dir))
+
+
+@query(
+    "gate_market_classes",
+    with_(LABEL_SQL, "SELECT market_id, count(*) AS rows, round(avg((label = 'DOWN')::INT), 9) AS down, round(avg((label = 'FLAT')::INT), 9) AS flat, round(avg((label = 'UP')::INT), 9) AS up FROM labeled GROUP BY 1"),
+)
+def gate_market_classes(spark, sf_dir):
+    """The class mix of every market."""
+    share = lambda v: F.round(F.avg((F.col("label") == v).cast("int")), 9)
+    return labeled(spark, sf_dir).groupBy("market_id").agg(F.count(F.lit(1)).alias("rows"), share("DOWN").alias("down"), share("FLAT").alias("flat"), share("UP").alias("up"))
 
 
 @query(
