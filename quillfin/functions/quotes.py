@@ -100,18 +100,3 @@ def quotes_around(fair: Column, half_spread: Column | float, inventory: Column,
 def no_nan(c) -> Column:
     """NaN becomes null, as at every boundary of this engine."""
     return F.when(~F.isnan(_c(c)), _c(c))
-
-
-def unquotable(at: Column, updated: Column, bid: str = "bid", ask: str = "ask") -> Column:
-    """Every reason why no order can be placed on a book at ``at``, in this order; else empty."""
-    b, a = F.col(bid), F.col(ask)
-    dated = F.coalesce(updated > 0, F.lit(False))
-    # fixed values: the reasons
-    reasons = [
-        (F.coalesce(b <= 0, F.lit(True)), "MISSING_OR_NONPOSITIVE_BID"),
-        (F.coalesce(a <= 0, F.lit(True)), "MISSING_OR_NONPOSITIVE_ASK"),
-        (b >= a, "CROSSED_OR_LOCKED_QUOTES"),
-        (~dated, "INVALID_OR_MISSING_TIMESTAMP"),
-        (dated & (at < updated), "GRID_EARLIER_THAN_BOOK_UPDATE"),
-    ]
-    return F.array_compact(F.array(*[F.when(hit, reason) for hit, reason in reasons]))

@@ -37,13 +37,6 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*items)).alias("p")).select("p.*")
 
 
-def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, rows, mean, std (sample), low, q1, median, q3, high; nulls do not count."""
-    x, g = F.col("value"), df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value").groupBy("column")
-    out = g.agg(F.count(x).alias("rows"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("low"), F.percentile(x, [0.25, 0.5, 0.75]).alias("q"), F.max(x).alias("high"))
-    return out.select("column", "rows", "mean", "std", "low", F.get("q", 0).alias("q1"), F.get("q", 1).alias("median"), F.get("q", 2).alias("q3"), "high")
-
-
 def condition_number(df: DataFrame, columns: list[str]) -> float:
     """Of the correlation matrix (as small as the number of columns)."""
     import numpy as np

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.quotes import mid, ratio, unquotable
+from ..functions.quotes import mid, ratio
 from ..model import HOURS, STREAM
 from ..operators import dedup, stats
 from ..operators.quality import checks
@@ -341,52 +341,14 @@ def text_market_filter(spark, sf_dir):
 
 
 @query(
-    "unquotable_reasons",
-    with_(
-        QUOTES_SQL,
-        """, k AS (SELECT timestamp_ms AS grid_ms, CASE WHEN sequence_id % 97 = 0 THEN NULL WHEN sequence_id % 97 = 1 THEN 0.0 WHEN sequence_id % 97 = 2 THEN ask ELSE bid END AS bid, CASE WHEN sequence_id % 97 IN (0, 3) THEN NULL ELSE ask END AS ask,
-  CASE WHEN sequence_id % 97 = 4 THEN NULL WHEN sequence_id % 97 = 5 THEN 0 WHEN sequence_id % 97 IN (2, 6) THEN timestamp_ms + 1 ELSE timestamp_ms END AS updated FROM q),
-r AS (SELECT 'MISSING_OR_NONPOSITIVE_BID' AS reason FROM k WHERE bid IS NULL OR bid <= 0 UNION ALL SELECT 'MISSING_OR_NONPOSITIVE_ASK' FROM k WHERE ask IS NULL OR ask <= 0
-  UNION ALL SELECT 'CROSSED_OR_LOCKED_QUOTES' FROM k WHERE bid >= ask UNION ALL SELECT 'INVALID_OR_MISSING_TIMESTAMP' FROM k WHERE updated IS NULL OR updated <= 0
-  UNION ALL SELECT 'GRID_EARLIER_THAN_BOOK_UPDATE' FROM k WHERE updated > 0 AND grid_ms < updated)
-SELECT reason, count(*) AS rows FROM r GROUP BY 1""",
-    ),
-)
-def unquotable_reasons(spark, sf_dir):
-    """Reasons against quoting, counted over all quotes, some of them broken in every way."""
-    k, at = F.col("sequence_id") % 97, F.col("timestamp_ms")
-    rows = events(spark, sf_dir).select(
-        at.alias("at"),
-        F.when(k == 0, None).when(k == 1, 0.0).when(k == 2, F.col("ask")).otherwise(F.col("bid")).alias("bid"),
-        F.when(k.isin(0, 3), None).otherwise(F.col("ask")).alias("ask"),
-        F.when(k == 4, None).when(k == 5, 0).when(k.isin(2, 6), at + 1).otherwise(at).alias("updated"),
-    )
-    return rows.select(F.explode(unquotable(F.col("at"), F.col("updated"))).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
-
-
-@query(
-    "describe_quotes",
-    with_(
-        QUOTES_SQL,
-        """, l AS (UNPIVOT (SELECT bid::DOUBLE AS bid, ask::DOUBLE AS ask, bid_size::DOUBLE AS bid_size, ask_size::DOUBLE AS ask_size FROM q) ON bid, ask, bid_size, ask_size INTO NAME "column" VALUE value)
-SELECT "column", count(value) AS rows, round(avg(value), 8) AS mean, round(stddev_samp(value), 8) AS std, min(value) AS low, round(quantile_cont(value, 0.25), 8) AS q1, round(quantile_cont(value, 0.5), 8) AS median,
-  round(quantile_cont(value, 0.75), 8) AS q3, max(value) AS high FROM l GROUP BY 1""",
-    ),
-)
-def describe_quotes(spark, sf_dir):
-    d = stats.describe(events(spark, sf_dir), ["bid", "ask", "bid_size", "ask_size"])
-    return d.withColumns({c: F.round(c, 8) for c in ("mean", "std", "q1", "median", "q3")})
-
-
-@query(
-    "dedup_ladder",
+    "dedup_first_complete_key",
     with_(
         QUOTES_SQL,
         """, k AS (SELECT market_id, asset_id, CASE WHEN sequence_id % 7 = 0 THEN NULL ELSE sequence_id // 2 END AS record_id, timestamp_ms // 3600000 AS hour, sequence_id FROM q)
 SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY market_id, asset_id, hour ORDER BY sequence_id) = 1""",
     ),
 )
-def dedup_ladder(spark, sf_dir):
+def dedup_first_complete_key(spark, sf_dir):
     """Record ids have gaps here, so the rows are told apart by stream and hour instead."""
     k = F.col("sequence_id")
     rows = events(spark, sf_dir).select("market_id", "asset_id", F.when(k % 7 == 0, None).otherwise(F.floor(k / 2)).alias("record_id"), F.floor(F.col("timestamp_ms") / 3_600_000).alias("hour"), "sequence_id")
