@@ -262,5 +262,6 @@ def read_archives(paths: DataFrame, payloads: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     found = paths.select("path").distinct()
-    # a number of its own keeps adaptive execution from putting all these tiny rows into one task
-    return found.repartition(max(1, found.count()), "path").mapInArrow(read, schema)
+    # a number of its own keeps adaptive execution from putting all these tiny rows into one
+    # task; by range, as a hash of the path would be taken for the exchange of distinct() and dropped
+    return found.repartitionByRange(max(1, found.count()), "path").mapInArrow(read, schema)

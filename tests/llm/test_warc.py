@@ -5,6 +5,7 @@ import io
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from quillfin.llm import common, warc_zstd
 from quillfin.llm.warc_zstd import WarcError
@@ -93,3 +94,16 @@ def test_record_checks():
 def test_empty(spark):
     e = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc_zstd.read_archives(warc_zstd.write_archives(e, common.workspace(spark, "w"))).count() == 0
+
+
+def test_a_task_an_archive(spark):
+    many = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "repeat(concat('<p>', id), 100) AS html")
+    manifest = warc_zstd.write_archives(many.repartition(6), common.workspace(spark, "w"))
+    files, before = manifest.count(), spark.conf.get("spark.sql.shuffle.partitions")
+    assert files > 1
+    spark.conf.set("spark.sql.shuffle.partitions", str(files))  # as many as there are archives
+    try:
+        per_task = warc_zstd.read_archives(manifest).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(per_task) == files and sum(r[1] for r in per_task) == 400
