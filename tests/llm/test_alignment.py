@@ -44,8 +44,10 @@ class Plain:
         ea, eb = np.cumsum([len(x) for x in xa]), np.cumsum([len(x) for x in xb])
         groups, links = [], []
         both = sorted(set(ea.tolist()) & set(eb.tolist()))
-        for lo, hi in zip([0, *both], both):
-            groups.append(([i for i, e in zip(a, ea) if lo < e <= hi], [i for i, e in zip(b, eb) if lo < e <= hi]))
+        groups = [([], []) for _ in both]
+        for side, (ids, ends) in enumerate(((a, ea), (b, eb))):
+            for i, k in zip(ids, np.searchsorted(both, ends).tolist()):
+                groups[k][side].append(i)
         for k, (i, e) in enumerate(zip(a, ea)):
             first, last = np.searchsorted(eb, e - len(xa[k]), "right"), np.searchsorted(eb, e, "left")
             links += [(b[j], i) for j in range(first, last + 1)]
