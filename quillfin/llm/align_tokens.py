@@ -40,10 +40,11 @@ BLOCK_KEYS = 1 << 15
 #: Remembered chunks and their links at most.
 MEMO_CHUNKS, MEMO_LINKS = 400_000, 6_000_000
 
-#: White space after which chunks start (pieces of B may hold a carriage return inside).
-_CHUNK = re.compile(r"[ \t\n\x0b\x0c]*+[^ \t\n\x0b\x0c]+|[ \t\n\x0b\x0c]+")
+#: Chunks: white space and what follows it, or plain letters before punctuation (pieces of B
+#: may hold a carriage return inside).
+_CHUNK = re.compile(r"[ \t\n\x0b\x0c]*+(?:[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[ \t\n\x0b\x0c!-/:-@\[-`{-~]|\Z)|[^ \t\n\x0b\x0c]+)|[ \t\n\x0b\x0c]+")
 #: What makes texts be cut whole: white space beyond ASCII, controls, B's own space mark.
-_WHOLE = re.compile("[\r▁\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+_WHOLE = re.compile("[\r\u2581\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
 class Pieces:
@@ -57,8 +58,8 @@ class Pieces:
         names = [self.model.id_to_piece(i) for i in range(self.size)]
         self.bytes = [bytes([int(s[3:5], 16)]) if self.model.is_byte(i) else s.replace("▁", " ").encode() for i, s in enumerate(names)]
         # chunks are independent if no piece goes on across the start of one
-        space = set("▁ \t\n\x0b\x0c")
-        self.chunks = not any(a not in space and b in space for s in names for a, b in zip(s, s[1:]))
+        space, letter, mark = set("▁ \t\n\x0b\x0c"), re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff][!-/:-@\\[-`{-~]"), range(self.size)
+        self.chunks = not any(not self.model.is_byte(i) and (any(a not in space and b in space for a, b in zip(names[i], names[i][1:])) or letter.search(names[i])) for i in mark if not self.model.is_control(i) and not self.model.is_unknown(i))
         self.lead = self.model.encode("a")
 
     def of_chunks(self, chunks: list[str]) -> list[list[int]]:
@@ -69,76 +70,101 @@ class Pieces:
         return [self.model.encode("a ", num_threads=1)[n:] if c == " " else ids if c[0] == " " else ids[n:] for c, ids in zip(chunks, plain)]
 
 
-def two_cuts(a: list[int], a_bytes: list[bytes], b: list[int], b_bytes: list[bytes]) -> tuple[str, int, list[tuple[int, int]]]:
-    """Groups as text, their number, and links (b, a) of two cuts of the same bytes."""
-    groups, links, i, j, ga, gb = [], [], 0, 0, 0, 0
-    end_a, end_b = (len(a_bytes[a[0]]), len(b_bytes[b[0]])) if a else (0, 0)
-    while i < len(a):
-        links.append((b[j], a[i]))
-        if end_a == end_b:
-            i, j = i + 1, j + 1
-            groups.append(",".join(map(str, a[ga:i])) + "|" + ",".join(map(str, b[gb:j])))
-            ga, gb = i, j
-            if i < len(a):
-                end_a, end_b = end_a + len(a_bytes[a[i]]), end_b + len(b_bytes[b[j]])
-        elif end_a < end_b:
-            i += 1
-            end_a += len(a_bytes[a[i]])
-        else:
-            j += 1
-            end_b += len(b_bytes[b[j]])
-    return ";".join(groups), len(groups), links
+class Flat:
+    """Growing rows of numbers of different lengths."""
+
+    def __init__(self):
+        self.values, self.starts, self.sizes, self.used, self.rows = np.zeros(1024, np.int64), np.zeros(64, np.int64), np.zeros(64, np.int64), 0, 0
+
+    @staticmethod
+    def _room(x: np.ndarray, n: int) -> np.ndarray:
+        return x if n <= len(x) else np.concatenate((x, np.zeros(max(n, 2 * len(x)) - len(x), np.int64)))
+
+    def extend(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.values = self._room(self.values, self.used + len(values))
+        self.starts, self.sizes = (self._room(x, self.rows + len(sizes)) for x in (self.starts, self.sizes))
+        self.values[self.used : self.used + len(values)] = values
+        self.starts[self.rows : self.rows + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.rows : self.rows + len(sizes)] = sizes
+        self.used, self.rows = self.used + len(values), self.rows + len(sizes)
+
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[rows]
+        return self.values[np.repeat(self.starts[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
+def _counted(at: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(at, minlength=n).astype(np.int64)
 
 
 class Aligner:
-    """Aligned chunks: counts and groups by number, links (b * size of A + a) flat."""
+    """Aligned chunks: counts (A, B, groups), groups as text, links (b * size of A + a)."""
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = bpe.vocabulary(a_path), Pieces(b_path)
+        self.length_a, self.length_b = (np.array([len(x) for x in of], np.int64) for of in (self.a.token_bytes, self.b.bytes))
+        tables = [[f"{i}{mark}" for i in range(n)] for n, mark in ((self.a.size, ","), (self.a.size, "|"), (self.b.size, ","), (self.b.size, ";"))]
+        self.a_inner, self.a_last, self.b_inner, self.b_last = (np.array(t, object) for t in tables)
         self.forget()
 
     def forget(self) -> None:
         self.memo: dict[str, int] = {}
         self.groups: list[str] = []
-        self.counts: list[tuple[int, int, int, int]] = []
-        self.keys: list[np.ndarray] = []
-        self.links = 0
+        self.keys, self.counts = Flat(), Flat()
 
     def _a_ids(self, texts: list[str]) -> list[list[int]]:
-        split = [bpe._SPLIT.findall(t) for t in texts]
+        split = [[t] if (x := t[1:] if t[:1] == " " else t).isascii() and x.isalpha() else bpe._SPLIT.findall(t) for t in texts]
         words = list({w for s in split for w in s})
         ids = dict(zip(words, (np.frombuffer(x, self.a.dtype).tolist() for x in self.a.merge([w.encode() for w in words]))))
-        return [[i for w in s for i in ids[w]] for s in split]
-
-    def _add(self, text: str, a: list[int], b: list[int]) -> int:
-        """The number of a chunk (its first space included); -1 if the bytes differ."""
-        raw, ta, tb = text.encode(), self.a.token_bytes, self.b.bytes
-        if b"".join([ta[i] for i in a]) != raw or b"".join([tb[i] for i in b]) != raw:
-            return -1
-        groups, n, links = two_cuts(a, ta, b, tb)
-        self.groups.append(groups)
-        self.counts.append((len(a), len(b), n, len(links)))
-        flat = np.array(links, np.int64).reshape(-1, 2)
-        self.keys.append(flat[:, 0] * self.a.size + flat[:, 1])
-        self.links += len(links)
-        return len(self.groups) - 1
+        return [ids[s[0]] if len(s) == 1 else [i for w in s for i in ids[w]] for s in split]
+
+    def _add(self, texts: list[str], a: list[list[int]], b: list[list[int]]) -> list[int]:
+        """The numbers of texts (their first space included); -1 where bytes differ.
+
+        The texts that agree stand one behind the other as one text: an end of either
+        tokenizer ends a link, and an end of both ends a group.
+        """
+        ta, tb = self.a.token_bytes, self.b.bytes
+        same = [b"".join([ta[i] for i in x]) == (raw := t.encode()) and b"".join([tb[i] for i in y]) == raw for t, x, y in zip(texts, a, b)]
+        a, b = [x for x, s in zip(a, same) if s], [y for y, s in zip(b, same) if s]
+        n, first = len(a), len(self.groups)
+        numbers = iter(range(first, first + n))
+        if n:
+            na, nb = (np.fromiter(map(len, x), np.int64, n) for x in (a, b))
+            fa, fb = (np.fromiter((i for own in x for i in own), np.int64) for x in (a, b))
+            ends_a, ends_b = np.cumsum(self.length_a[fa]), np.cumsum(self.length_b[fb])
+            ends = np.union1d(ends_a, ends_b)
+            left, right = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+            own = np.repeat(np.arange(n), na)[left]
+            both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+            last_a, last_b = np.zeros(len(fa), bool), np.zeros(len(fb), bool)
+            last_a[np.searchsorted(ends_a, both)] = last_b[np.searchsorted(ends_b, both)] = True
+            # A's tokens of a group, then B's, as text
+            group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+            text = np.concatenate((np.where(last_a, self.a_last[fa], self.a_inner[fa]), np.where(last_b, self.b_last[fb], self.b_inner[fb])))
+            order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
+            text, cuts = text[order].tolist(), np.cumsum(na + nb).tolist()
+            self.groups += ["".join(text[i:j])[:-1] for i, j in zip([0, *cuts], cuts)]
+            n_groups = _counted(np.repeat(np.arange(n), na)[last_a], n)
+            self.keys.extend(fb[right] * self.a.size + fa[left], _counted(own, n))
+            self.counts.extend(np.column_stack((na, nb, n_groups)).ravel(), np.full(n, 3))
+        return [next(numbers) if s else -1 for s in same]
 
     def align(self, texts: list[str | None]) -> list[list[int]]:
         """Per text the numbers of its chunks; no numbers for texts without tokens."""
-        if len(self.groups) > MEMO_CHUNKS or self.links > MEMO_LINKS:
+        if len(self.groups) > MEMO_CHUNKS or self.keys.used > MEMO_LINKS:
             self.forget()
         memo = self.memo
         chunks = [None if not t or not self.b.chunks or _WHOLE.search(t) else _CHUNK.findall(" " + t) for t in texts]
         new = list({c for own in chunks if own for c in own if c not in memo})
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            for c, a, b in zip(part, self._a_ids(part), self.b.of_chunks(part)):
-                memo[c] = self._add(c, a, b)
+            memo.update(zip(part, self._add(part, self._a_ids(part), self.b.of_chunks(part))))
         out = []
         for t, own in zip(texts, chunks):
             numbers = [memo[c] for c in own] if own else None
             if t and (numbers is None or -1 in numbers):
-                number = self._add(" " + t, *self._a_ids([" " + t]), self.b.model.encode(t, num_threads=1))
+                number = self._add([" " + t], self._a_ids([" " + t]), [self.b.model.encode(t, num_threads=1)])[0]
                 numbers = [number] if number >= 0 else []
             out.append(numbers or [])
         return out
@@ -297,12 +323,11 @@ def write_runs(docs: DataFrame, a_path: str, b_path: str, path: str, *, id_col:
                 of = np.repeat(np.arange(len(numbers)), sizes)
                 counts = np.zeros((len(numbers), 4), np.int64)
                 if len(flat):
-                    own = np.array([aligner.counts[n] for n in np.unique(flat).tolist()], np.int64)
-                    per = own[np.searchsorted(np.unique(flat), flat)]
+                    links = aligner.keys.sizes[flat]
+                    per = np.column_stack((aligner.counts.take(flat).reshape(-1, 3), links))
                     firsts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
                     counts[of[firsts]] = np.add.reduceat(per, firsts)
-                    keys = np.concatenate([aligner.keys[n] for n in flat.tolist()])
-                    packed = keys << 16 | np.repeat(of + at, per[:, 3])
+                    packed = aligner.keys.take(flat) << 16 | np.repeat(of + at, links)
                     packed.sort()
                     new = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
                     gathered.append((packed[new], np.diff(np.append(new, len(packed)))))

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from quillfin.llm import align_tokens, bpe
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-ODD = st.text(alphabet=" abcXYZ's1é́ΣÅ漢🙂\n\t\r\x0b\x1c\x85\xa0 　​▁!?.,|<>;)}", max_size=40) | st.text(max_size=20)
+ODD = st.text(alphabet=" abcXYZ's1ééΣÅ漢\U0001f642\n\t\r\x0b\x1c\x85\xa0 　​▁!?.,|<>;)}'\"-", max_size=40) | st.text(max_size=20)
 DOCS = [
     (0, "Hello world, hello WORLD!! don't"), (1, None), (2, ""), (3, "<|endoftext|> a<s>b</s> <0x41>"), (4, "aaaa " * 500), (5, "é naïve Straße   x \t\n y"),
     (-7, "under▁score"), (9, "same text"), (9, "same text"), (10, "x" * 70000), (11, "  \n "), (None, "no id here"), (12, "if (a) {\r\n}\r\n  b();\r\n"), (13, " "), (14, "a "),
@@ -81,7 +81,7 @@ def test_cuts_equal_libraries(texts):
     for text, numbers in zip(texts, aligner.align(texts)):
         groups, links, *_ = plain.cut(text)
         assert ";".join(aligner.groups[n] for n in numbers) == text_of(groups)
-        got = Counter(k for n in numbers for k in aligner.keys[n].tolist())
+        got = Counter(aligner.keys.take(np.array(numbers, np.int64)).tolist())
         assert got == Counter(b * aligner.a.size + a for b, a in links)
 
 
