@@ -178,23 +178,96 @@ def feat_online(spark, sf_dir):
     return g.withColumns(r).select(*STREAM, "grid_timestamp_ms", "r1", "r3", "r5", (F.row_number().over(w) >= 10).alias("warm"))
 
 
-@query("stream_grid_parity")
-def stream_grid_parity(spark, sf_dir):
-    """The grid of the streaming operator over the stored events, replayed in order to the end."""
+def _shared(spark, name):
+    """A fresh folder in the shared one (a local one only where none is set, as in tests)."""
     import tempfile
     import uuid
 
-    from ..sources.quotes import from_events
-    from ..streaming.grid import OUT, grid_stream
-
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    rows = from_events(stream).withColumn("at", F.timestamp_millis("timestamp_ms"))
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    path = f"{(shared or 'file://' + tempfile.mkdtemp(prefix='quillfin-')).rstrip('/')}/quillfin/grid-{uuid.uuid4().hex}"  # a local folder only where none is shared, as in tests
-    q = grid_stream(rows, HOURS, "0 seconds", most_waiting=10_000_000).writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(OUT).parquet(f"{path}/rows")
+    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='quillfin-')).rstrip('/')}/quillfin/{name}-{uuid.uuid4().hex}"
+
+
+def _ran(stream, path):
+    """Run a stream over all its input; its rows."""
+    schema = stream.schema
+    stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(schema).parquet(f"{path}/rows")
+
+
+_END = "~end"
+
+
+def _stored(rows, path, time="timestamp_ms"):
+    """``rows`` as a stream from stored files, with a row of market ~end long after them
+    that moves the watermark past all others."""
+    late = rows.groupBy().agg(F.max(time).alias("_t"))
+    end = late.where(F.col("_t").isNotNull()).select(*[(F.col("_t") + 1_000 * 86_400_000 if c == time else F.lit(_END) if c == "market_id" else F.lit("") if c == "asset_id" else F.lit(0)).cast(t).alias(c) for c, t in rows.dtypes])
+    rows.unionByName(end).write.parquet(path)
+    spark = rows.sparkSession
+    return spark.readStream.schema(rows.schema).parquet(path).withColumn("at", F.timestamp_millis(time))
+
+
+@query("stream_grid_parity", with_(GRID_SQL, "SELECT *, false AS degraded FROM grid"))
+def stream_grid_parity(spark, sf_dir):
+    """The grid of the streaming operator over all events, replayed to the end."""
+    from ..streaming.grid import grid_stream
+
+    path = _shared(spark, "grid")
+    return _ran(grid_stream(_stored(events(spark, sf_dir), f"{path}/in"), HOURS, "0 seconds"), path).where(F.col("market_id") != _END)
+
+
+@query(
+    "settlement_stream",
+    with_(
+        QUOTES_SQL,
+        """, o AS (SELECT sequence_id AS position_id, market_id, asset_id, CASE WHEN sequence_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, timestamp_ms + 3600000 AS due FROM q),
+v AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY market_id, asset_id, timestamp_ms ORDER BY sequence_id) = 1),
+m AS (SELECT o.*, v.timestamp_ms AS t, v.bid, v.ask FROM o ASOF LEFT JOIN v ON o.market_id = v.market_id AND o.asset_id = v.asset_id AND o.due <= v.timestamp_ms)
+SELECT position_id, CASE WHEN t <= due + 14400000 THEN CASE WHEN side = 'BUY' THEN bid ELSE ask END END AS exit_price, CASE WHEN t <= due + 14400000 THEN t END AS settled_ms,
+  CASE WHEN t <= due + 14400000 THEN 'SETTLED' ELSE 'FORCED_INCOMPLETE' END AS outcome FROM m""",
+    ),
+)
+def settlement_stream(spark, sf_dir):
+    """Positions on every quote settled by a join of two streams with watermarks."""
+    from ..streaming.live import settle_stream
+
+    path = _shared(spark, "settle")
+    q = events(spark, sf_dir)
+    side = F.when(F.col("sequence_id") % 2 == 0, "BUY").otherwise("SELL")
+    o = q.select(F.col("sequence_id").alias("position_id"), *STREAM, side.alias("side"), F.col("timestamp_ms").alias("opened_ms"))
+    opened = _stored(o, f"{path}/positions", "opened_ms").withColumnRenamed("at", "opened_at").withColumn("position_id", F.when(F.col("market_id") != _END, F.col("position_id")))
+    out = settle_stream(opened, _stored(q, f"{path}/quotes"), 3_600_000, 14_400_000, "0 seconds")
+    return _ran(out, path).where(F.col("position_id").isNotNull())
+
+
+def live_events(q, slot_ms):
+    """Quotes as a live feed: a snapshot at every seventh quote of a market's token, a lost
+    frame at every 61st, changes otherwise, of which some report the exchange's best prices."""
+    k = F.col("sequence_id")
+    kind = F.when(k % 7 == 0, "book").when(k % 61 == 0, "overflow").otherwise("price_change")
+    buy = k % 2 == 0
+    price = F.when(buy, F.col("bid")).otherwise(F.col("ask"))
+    return q.select(
+        *STREAM, "timestamp_ms", k, kind.alias("kind"), F.array("bid", F.col("bid") - 0.01).alias("bid_prices"), F.array("bid_size", F.lit(5.0)).alias("bid_sizes"),
+        F.array("ask", F.col("ask") + 0.01).alias("ask_prices"), F.array("ask_size", F.lit(0.0)).alias("ask_sizes"), F.when(buy, "BUY").otherwise("SELL").alias("side"),
+        price.alias("price"), F.when(k % 5 == 0, 0.0).otherwise(F.col("bid_size")).alias("size"),
+        F.when(k % 3 == 0, F.col("bid")).alias("best_bid"), F.when(k % 4 == 0, F.col("ask")).alias("best_ask"),
+    )
+
+
+_SLOT = 7 * 86_400_000
+
+
+@query("live_book")
+def live_book(spark, sf_dir):
+    """Books of weekly slots over all events as a feed, with what the watchdog says."""
+    from ..streaming import live
+
+    path = _shared(spark, "book")
+    feed = live_events(events(spark, sf_dir), _SLOT)
+    feed.write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(feed.schema).parquet(f"{path}/in").withColumn("at", F.timestamp_millis("timestamp_ms"))
+    return _ran(live.live_book(stream, _SLOT, 3 * 86_400_000, 86_400_000, 3_600_000, "0 seconds"), path)
 
 
 @query("baseline_models")

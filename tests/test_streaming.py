@@ -3,21 +3,11 @@
 import json
 
 from conftest import SF
-from quillfin.plans.base import grid
-from quillfin.plans.registry import QUERIES
+
 from quillfin.sources.replay import ReplaySource
 from quillfin.streaming.grid import admit, append_new
 
 
-def test_grid_parity_with_batch(spark):
-    s = QUERIES["stream_grid_parity"](spark, SF)
-    cols = ["market_id", "asset_id", "grid_timestamp_ms", "source_timestamp_ms", "source_sequence_id", "bid", "ask", "event_age_ms", "is_stale"]
-    a, b = s.select(*cols), grid(spark, SF).select(*cols)
-    assert a.count() > 0 and a.exceptAll(b).count() == 0
-    # a stream's last grid times stay open until its watermark passes
-    assert b.exceptAll(a).count() <= 2 * b.select("market_id", "asset_id").distinct().count()
-
-
 def test_admission(spark):
     d = spark.createDataFrame([(1000, 1000), (1000, 6000), (1000, 6001), (None, 5), (0, 5)], "receipt_ms long, source_ms long")
     assert [r.refused for r in admit(d).collect()] == [None, None, "FUTURE_DATED", "INVALID_TIMESTAMP", "INVALID_TIMESTAMP"]
