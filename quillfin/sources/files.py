@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,9 +61,11 @@ def discover(spark: SparkSession, pattern: str, excluded: list[str], least_ms: i
 
 
 def with_sidecar(rows: DataFrame, sidecars: DataFrame, file: str = "file") -> DataFrame:
-    """``rows`` with ``meta``: the sidecar (rows of path and meta) whose path is the file's
-    without its endings and with .meta.json; null if there is none."""
-    stem = lambda c: F.regexp_replace(F.regexp_extract(c, r"([^/]+)$", 1), r"(\.meta\.json|\.[A-Za-z0-9]+)+$", "")
+    """``rows`` with ``meta``: the sidecar (rows of path and meta) whose path is the file's,
+    folder and all, without its endings and with .meta.json; null if there is none. A scheme
+    before a path (file:, s3:) and its authority count for nothing."""
+    bare = lambda c: F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    stem = lambda c: F.regexp_replace(bare(c), r"(\.meta\.json|\.[A-Za-z0-9]+)+$", "")
     side = sidecars.groupBy(stem(F.col("path")).alias("_stem")).agg(F.max("meta").alias("meta"))
     return rows.withColumn("_stem", stem(F.col(file))).join(side, "_stem", "left").drop("_stem")
 
@@ -125,10 +128,24 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def record_abort(spark: SparkSession, path: str, session_id: str, reason: str, at_ms: int) -> bool:
-    """Add a session's abort unless it has one; says whether it was added. Survives restarts."""
-    if ledger(spark, path).where(F.col("session_id") == session_id).limit(1).count():
+    """Add a session's abort unless it has one; says whether it was added. Survives restarts.
+
+    A session's entry is one file, named by a digest of its id and created exclusively, so of
+    two writers one adds it.
+    """
+    jvm, line = spark._jvm, json.dumps({"session_id": session_id, "reason": reason, "at_ms": at_ms}) + "\n"
+    at = jvm.org.apache.hadoop.fs.Path(path, hashlib.sha256(session_id.encode()).hexdigest() + ".json")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at):
+        return False
+    try:
+        out = fs.create(at, False)
+    except Exception as e:  # another writer was first
+        if "FileAlreadyExists" not in str(e):
+            raise
         return False
-    spark.createDataFrame([(session_id, reason, at_ms)], LEDGER).coalesce(1).write.mode("append").json(path)
+    out.write(bytearray(line.encode()))
+    out.close()
     return True
 
 

@@ -5,22 +5,31 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import EVENT
+from .book import Side
 
 NORMALIZED = T.StructType([*EVENT.fields]).add("change_idx", "long").add("reject_reason", "string")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, source_line (from 1), value; blank lines included.
+    """source_file, source_line (from 1), value; blank lines included, an empty file has none.
 
-    A file is read whole, so its line numbers are exact; use it for files of bounded size.
+    Files are read in splits, by as many tasks as their size asks for. Lines are counted per
+    split, splits are summed up in the order of their bytes, and a line adds its place in
+    its split: numbers are exact and no file goes through one task.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\r?\n\z", "").alias("value"), F.col("_metadata.file_name").alias("source_file"))
-    return whole.select("source_file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "value")).select("source_file", (F.col("pos") + 1).cast("long").alias("source_line"), "value")
+    text = spark.read.option("lineSep", "\n").text(path)
+    meta = [F.col(f"_metadata.{c}").alias(f"_{c}") for c in ("file_path", "file_block_start")]
+    # a split's lines are read one after the other by one task, so their ids follow each other
+    rows = text.select(F.regexp_replace("value", r"\r\z", "").alias("value"), F.col("_metadata.file_name").alias("source_file"), *meta, F.monotonically_increasing_id().alias("_id"))
+    splits = rows.groupBy("_file_path", "_file_block_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    ahead = Window.partitionBy("_file_path").orderBy("_file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    placed = splits.select("_file_path", "_file_block_start", "_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    return rows.join(placed, ["_file_path", "_file_block_start"]).select("source_file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("long").alias("source_line"), "value")
 
 
 def tolerant(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -62,29 +71,21 @@ class Book:
     """Price levels of one asset."""
 
     def __init__(self):
-        self.bids: dict[float, float] = {}
-        self.asks: dict[float, float] = {}
+        self.bids, self.asks = Side(True), Side(False)
 
     def snapshot(self, bids, asks) -> None:
         for side, levels in ((self.bids, bids), (self.asks, asks)):
-            side.clear()
-            for level in levels or []:
-                p, s = (_number(level.get(k)) for k in ("price", "size")) if isinstance(level, dict) else (None, None)
-                if p is not None and s is not None and p > 0 and s > 0:
-                    side[p] = s
+            found = [tuple(_number(level.get(k)) for k in ("price", "size")) for level in levels or [] if isinstance(level, dict)]
+            side.replace([(p, s) for p, s in found if p is not None and s is not None and p > 0 and s > 0])
 
     def change(self, side: str, price: float, size: float) -> None:
         levels = {"BUY": self.bids, "SELL": self.asks}.get(side)
         if levels is not None:
-            if size <= 0:
-                levels.pop(price, None)
-            else:
-                levels[price] = size
+            levels.put(price, size)
 
     def best(self):
-        b = max(self.bids) if self.bids else None
-        a = min(self.asks) if self.asks else None
-        return b, a, self.bids.get(b, 0.0), self.asks.get(a, 0.0)
+        b, a = self.bids.best(), self.asks.best()
+        return b, a, self.bids.levels.get(b, 0.0), self.asks.levels.get(a, 0.0)
 
 
 def _check(ts, market, asset, bid, ask, bid_size, ask_size, low, high, min_price, max_price) -> str | None:
@@ -124,17 +125,53 @@ def _first(event: dict, *names):
     return None
 
 
-def normalize(record_rows: DataFrame, target_asset: str | None = None, min_price: float = 0.0, max_price: float | None = 1.0, low: int = 1_577_836_800_000, high: int = 2_051_222_400_000) -> DataFrame:
+#: Lines of a file whose snapshots are counted by one task at a time.
+LINE_BLOCK = 10_000
+
+
+def segments(record_rows: DataFrame, line_block: int = LINE_BLOCK) -> DataFrame:
+    """Records once for each asset they touch (``route``), with ``segment``: how many
+    snapshots of it the file has had up to there.
+
+    A snapshot replaces an asset's book, so segments fold by themselves. Snapshots are counted
+    per block of lines, blocks are summed up in order, and a record adds those of its own
+    block. Records of no book have a null route and their block for a segment.
+    """
+    event, key = F.col("event"), F.get_json_object("event", "$.event_type")
+    changes = F.from_json(F.get_json_object("event", "$.price_changes"), "array<string>")
+    outer = F.coalesce("outer_asset_id", F.lit(""))
+    asset = F.when(F.array_contains(F.json_object_keys("event"), "asset_id"), F.coalesce(F.get_json_object("event", "$.asset_id"), F.lit(""))).otherwise(outer)
+    of_changes = F.array_distinct(F.transform(changes, lambda c: F.coalesce(F.get_json_object(c, "$.asset_id"), F.lit(""))))
+    none = F.array(F.lit(None).cast("string"))
+    known = F.col("problem").isNull() & event.isNotNull()
+    routes = F.when(known & (key == "book"), F.array(asset)).when(known & (key == "price_change") & (F.size(changes) > 0), of_changes).otherwise(none)
+    rows = record_rows.withColumns({"_block": F.floor(F.col("source_line") / line_block), "_book": F.when(known & (key == "book"), 1).otherwise(0)}).withColumn("route", F.explode(routes))
+    keys = ["source_file", "route"]
+    own = Window.partitionBy(*keys, "_block").orderBy("source_line", "source_record_idx").rowsBetween(Window.unboundedPreceding, 0)
+    per = rows.where("route IS NOT NULL").groupBy(*keys, "_block").agg(F.sum("_book").alias("_n"))
+    ahead = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select(*keys, "_block", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    counted = rows.withColumn("_in", F.sum("_book").over(own)).join(before, [*keys, "_block"], "left")
+    segment = F.when(F.col("route").isNull(), F.col("_block")).otherwise(F.col("_before") + F.col("_in"))
+    return counted.withColumn("segment", segment).drop("_block", "_book", "_in", "_before")
+
+
+def normalize(
+    record_rows: DataFrame, target_asset: str | None = None, min_price: float = 0.0, max_price: float | None = 1.0, low: int = 1_577_836_800_000, high: int = 2_051_222_400_000,
+    line_block: int = LINE_BLOCK,
+) -> DataFrame:
     """Canonical events and rejections (reject_reason) out of :func:`records`.
 
-    Book state is a true fold, so a file is a group, folded in order of line, record and
-    change; the book changes even when the quote it gives is rejected. A target asset
-    hides other assets' rows: of changes before the book is touched, of snapshots after.
+    Book state is a true fold in order of line, record and change; the book changes even
+    when the quote it gives is rejected. An asset's fold starts anew at each of its
+    snapshots, so a file is folded by many tasks, a segment each; without snapshots
+    an asset of a file is one segment. A target asset hides other assets' rows: of changes
+    before the book is touched, of snapshots after.
     """
 
     def fold(pdf):
-        books: dict[str, Book] = {}
-        out = []
+        book, out = Book(), []
+        route = pdf["route"].iloc[0]
         for row in pdf.sort_values(["source_line", "source_record_idx"], kind="stable").itertuples(index=False):
             line, idx, file = int(row.source_line), int(row.source_record_idx), row.source_file
 
@@ -168,15 +205,17 @@ def normalize(record_rows: DataFrame, target_asset: str | None = None, min_price
                 if not asset:
                     bad("MISSING_ASSET_ID")
                     continue
-                book = books.setdefault(asset, Book())
                 book.snapshot(event.get("bids"), event.get("asks"))
                 put(event.get("timestamp"), event.get("sequence_id"), event.get("market"), asset, *book.best(), 0)
             elif kind == "price_change":
-                changes = event.get("price_changes") or []
-                if not changes:
+                changes = event.get("price_changes")
+                if not isinstance(changes, list) or not changes:
                     bad("NON_QUOTE_EVENT")
+                    continue
                 for k, c in enumerate(changes):
-                    asset = c.get("asset_id")
+                    asset = c.get("asset_id") if isinstance(c, dict) else None
+                    if (str(asset) if asset else "") != route:
+                        continue
                     if not asset:
                         put(None, None, None, None, None, None, None, None, k, "MISSING_ASSET_ID")
                         continue
@@ -186,10 +225,9 @@ def normalize(record_rows: DataFrame, target_asset: str | None = None, min_price
                     if price is None or size is None:
                         put(None, None, None, None, None, None, None, None, k, "INVALID_PRICE")
                         continue
-                    book = books.setdefault(asset, Book())
                     book.change(str(c.get("side", "")).upper(), price, size)
                     put(event.get("timestamp"), c.get("sequence_id", line * 1000 + idx + k), event.get("market"), asset, *book.best(), k)
-            elif kind is None and _first(event, "bid", "best_bid") is not None or kind is None and ("bid" in event or "best_bid" in event):
+            elif kind is None and ("bid" in event or "best_bid" in event):
                 if "ask" not in event and "best_ask" not in event:
                     bad("NON_QUOTE_EVENT")
                     continue
@@ -204,7 +242,7 @@ def normalize(record_rows: DataFrame, target_asset: str | None = None, min_price
         frame = pd.DataFrame(out, columns=NORMALIZED.names)
         return frame.astype({c: "Int64" for c in ("timestamp_ms", "sequence_id", "source_line", "source_record_idx", "change_idx")})
 
-    return record_rows.groupBy("source_file").applyInPandas(fold, NORMALIZED)
+    return segments(record_rows, line_block).groupBy("source_file", "route", "segment").applyInPandas(fold, NORMALIZED)
 
 
 def canonical(normalized: DataFrame) -> DataFrame:

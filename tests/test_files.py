@@ -39,10 +39,13 @@ def test_discovery_sidecars_and_counts(spark, tmp_path):
     got = files.discover(spark, str(tmp_path / "d" / "*"), ["old_feed"], 60_000)
     assert got.count() == 2 and all("/long.parquet/" in r.file for r in got.collect())
     assert files.footer_rows(spark, str(tmp_path / "d" / "*")) == 8
-    (tmp_path / "x1.meta.json").write_text(json.dumps({"slug": "s1"}))
-    named = spark.createDataFrame([("/data/x1.jsonl",), ("/data/x2.jsonl",)], "file string")
-    meta = files.with_sidecar(named, files.sidecars(spark, str(tmp_path / "*.meta.json"))).select("file", F.get_json_object("meta", "$.slug").alias("slug"))
-    assert sorted(map(tuple, meta.collect()), key=str) == [("/data/x1.jsonl", "s1"), ("/data/x2.jsonl", None)]
+    for folder, slug in (("a", "s1"), ("b", "s2")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x1.meta.json").write_text(json.dumps({"slug": slug}))
+    a, b = (f"{tmp_path}/{folder}/x1.jsonl" for folder in "ab")
+    named = spark.createDataFrame([(f"file://{a}",), (b,), (f"{tmp_path}/a/x2.jsonl",)], "file string")
+    meta = files.with_sidecar(named, files.sidecars(spark, str(tmp_path / "*" / "*.meta.json"))).select("file", F.get_json_object("meta", "$.slug").alias("slug"))
+    assert {tuple(r) for r in meta.collect()} == {(f"file://{a}", "s1"), (b, "s2"), (f"{tmp_path}/a/x2.jsonl", None)}
     assert files.first_existing(spark, [str(tmp_path / "no"), str(tmp_path / "d")]) == str(tmp_path / "d")
 
 
