@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,39 +165,59 @@ class Languages:
         return names, scores
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4_000, bytes_each: int = 500_000, most_languages: int = 250) -> Languages:
+def fit(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    sample_rows: int = 4_000, bytes_each: int = 500_000, bytes_all: int = 125_000_000, most_languages: int = 10_000,
+) -> Languages:
     """Count contexts on a bounded sample of labelled training documents.
 
     sample_rows: about so many documents a language; bytes_each: at most so many bytes of
-    text a language, filled in the order of a hash of the id (a text that would pass the
-    bound is cut there, no other is); most_languages: the values of ``lang`` with the most
-    rows that are learned (the least name first among equals), so a column full of other
-    things stays bounded on the driver. Rows without text, lang or id teach nothing; repeated
-    rows count as often as they stand there; other columns, whatever their names, are not
-    read; an empty table gives no language.
+    text a language, filled in the order of a hash of id and text (a text that would pass
+    the bound is cut there, no other is); bytes_all: so many bytes over all languages, which
+    share it evenly where there are too many for bytes_each. Every value of ``lang`` with
+    text is learned; a column with more than most_languages values is no language column
+    and raises an error. Rows without text, lang or id teach nothing; repeated rows count
+    as often as they stand there, up to the bounds; other columns, whatever their names, are
+    not read; an empty table gives no language.
     """
     spark = docs.sparkSession
     common.prepare(spark)
     own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     own = own.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"), 3, 1))
     sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(F.least(F.octet_length("text"), F.lit(bytes_each))).alias("size"))
-    sizes = sizes.orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    sizes = sizes.limit(most_languages + 1).collect()
+    if len(sizes) > most_languages:
+        raise ValueError(f"{lang_col} has more than {most_languages} values")
     if not sizes:
         return Languages({})
+    bytes_each = min(bytes_each, max(1000, bytes_all // len(sizes)))
     # a share a language that gives enough bytes, but not many more
-    share = {r.lang: min(1.0, sample_rows / r.n, 2 * bytes_each / max(1.0, r.n * r["size"]) + 20 / r.n) for r in sizes}
-    cut = F.element_at(F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * 1_000_000) + 1)]), F.col("lang"))
-    by = F.pmod(F.xxhash64(F.lit(93), "id"), F.lit(1_000_000))
-    # other values of lang have no cut, and null is not less
-    picked = own.where(by < cut).select("lang", by.alias("by"), "id", F.substring("text", 1, bytes_each).alias("text")).toArrow()
-    samples: dict[str, list[bytes]] = {r.lang: [] for r in sizes}
-    room = dict.fromkeys(samples, bytes_each)
-    for row in sorted(picked.to_pylist(), key=lambda r: (r["lang"], r["by"], r["id"], r["text"])):
-        raw = row["text"].encode()[: room[row["lang"]]]
-        room[row["lang"]] -= len(raw)
+    cuts = [(r.lang, int(min(1.0, sample_rows / r.n, 2 * bytes_each / max(1.0, r.n * r["size"]) + 20 / r.n) * 1_000_000) + 1) for r in sizes]
+    told = spark.createDataFrame(cuts, "lang string, cut long")  # a row a language
+    by = F.pmod(F.xxhash64(F.lit(93), "id", "text"), F.lit(1_000_000))
+    rows = own.withColumn("by", by).join(F.broadcast(told), "lang")
+    picked = _within(rows.where(F.col("by") < F.col("cut")), bytes_each)
+    if missing := sorted({r.lang for r in sizes} - {lang for lang, _ in picked}):
+        # copies of one text share a hash: all in or all out; then one of them stands for them
+        first = rows.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min_by(F.struct("id", F.substring("text", 1, bytes_each).alias("text")), "by").alias("r"))
+        picked += [(r.lang, r.text) for r in first.select("lang", "r.text").collect()]
+    samples: dict[str, list[bytes]] = {}
+    room: dict[str, int] = {}
+    for lang, text in picked:
+        raw = text.encode()[: room.setdefault(lang, bytes_each)]
+        room[lang] -= len(raw)
         if raw:
-            samples[row["lang"]].append(raw)
-    return Languages({k: v for k, v in samples.items() if v})
+            samples.setdefault(lang, []).append(raw)
+    return Languages(dict(sorted(samples.items())))
+
+
+def _within(rows: DataFrame, bytes_each: int) -> list[tuple[str, str]]:
+    """(lang, text) of the rows that begin within ``bytes_each`` bytes of their language, in order of hash."""
+    order = Window.partitionBy("lang").orderBy("by", "id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    short = rows.select("lang", "by", "id", F.substring("text", 1, bytes_each).alias("text"))
+    kept = short.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(order), F.lit(0))).where(F.col("before") < bytes_each)
+    found = kept.select("lang", "before", "text").toArrow().to_pylist()
+    return [(r["lang"], r["text"]) for r in sorted(found, key=lambda r: (r["lang"], r["before"], r["text"]))]
 
 
 RESULT = T.StructType().add("doc_id", "long").add("lang_pred", "string").add("score", "double")

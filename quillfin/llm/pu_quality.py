@@ -7,9 +7,11 @@ risk; the class prior is estimated from the same two samples. Negative labels ar
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -144,33 +146,49 @@ def _sampled(df: DataFrame, id_col: str, rows: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", positives: int = 10_000, unlabelled: int = 20_000) -> Model:
     """Train on bounded samples of the training fold.
 
-    positives, unlabelled: the bounds of the samples (rows). An id with several labels is
-    a trusted positive only if all say 1.
+    positives, unlabelled: the most rows of each sample, however often ids repeat: about so
+    many ids are chosen by their hash, and of their rows the first by a hash of id and
+    text. Where that leaves a side without a row although there are some (one id holds
+    nearly all), its first rows stand in. An id with several labels is a trusted positive
+    only if all say 1. A side without any row gives a warning and a model that scores 0.5.
     """
     spark = docs.sparkSession
     common.prepare(spark)
     own = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     trusted = labels.select(labels[id_col].cast("long").alias("id"), labels["quality"].alias("q")).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
     trusted = trusted.groupBy("id").agg(F.min("q").alias("q")).where("q = 1").select("id")
-    ids = own.select("id").where(F.col("id").isNotNull() & ~held_out(F.col("id")))
-    chosen = _sampled(trusted, "id", positives).withColumn("kind", F.lit(1)).union(_sampled(ids, "id", unlabelled).distinct().withColumn("kind", F.lit(0)))
+    fold = own.where(F.col("id").isNotNull() & ~held_out(F.col("id")))
+    chosen = _sampled(trusted, "id", positives).withColumn("kind", F.lit(1)).union(_sampled(fold.select("id"), "id", unlabelled).distinct().withColumn("kind", F.lit(0)))
     # at most positives + unlabelled rows of 12 bytes, give or take the hash's chance
-    sample = own.join(F.broadcast(chosen), "id")
+    got = _measured(own.join(F.broadcast(chosen), "id"), positives, unlabelled)
+    sides = {k: got[k] if len(got[k]) else _measured(rows.withColumn("kind", F.lit(k)), positives, unlabelled)[k] for k, rows in ((1, fold.join(trusted, "id", "left_semi").limit(positives)), (0, fold.limit(unlabelled)))}
+    for k, x in sides.items():
+        if not len(x):
+            warnings.warn(f"no {'trusted positive' if k else 'unlabelled'} row to learn from: all texts will score 0.5", stacklevel=2)
+    return train(sides[1], sides[0])
+
+
+def _measured(sample: DataFrame, positives: int, unlabelled: int) -> dict[int, np.ndarray]:
+    """Features of the first rows of each kind by a hash of id and text, in an order of their own."""
 
     def measure(batches):
         for b in batches:
             at = 0
             for part in _parts(b.column("text").cast(pa.binary()).to_pylist()):
                 x = [r.astype("<f4").tobytes() for r in features(part)]
-                yield pa.RecordBatch.from_arrays([b.column("kind")[at : at + len(part)], pa.array(x, pa.binary())], names=["kind", "x"])
+                yield pa.RecordBatch.from_arrays([b.column("kind")[at : at + len(part)], b.column("by")[at : at + len(part)], pa.array(x, pa.binary())], names=["kind", "by", "x"])
                 at += len(part)
 
-    got = sample.select("kind", "text").mapInArrow(measure, "kind int, x binary").toArrow()
+    rows = sample.select("kind", F.xxhash64(F.lit(72), "id", "text").alias("by"), "text").mapInArrow(measure, "kind int, by long, x binary")
+    # each task passes on so many rows of a kind at most, of some hundred bytes
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy("by", "x"))
+    kept = rows.withColumn("nth", nth).where(F.col("nth") <= max(positives, unlabelled)).where(F.col("nth") <= F.when(F.col("kind") == 1, positives).otherwise(unlabelled))
+    got = kept.select("kind", "x").toArrow()
     kind = got.column("kind").to_numpy()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), "<f4").reshape(-1, WIDTH).astype(float)
     order = np.lexsort(x.T)  # whatever order the tasks ended in
     x, kind = x[order], kind[order]
-    return train(x[kind == 1], x[kind == 0])
+    return {1: x[kind == 1], 0: x[kind == 0]}
 
 
 def classify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

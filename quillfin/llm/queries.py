@@ -35,8 +35,8 @@ d AS (
   SELECT page_id, octet_length(encode(t)) AS n, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS top FROM p
 )
 SELECT page_id, n AS payload_bytes, h AS payload_digest,
-       CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+       CASE WHEN n >= 1000 AND (page_id < top OR page_id IS NULL AND top IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND (page_id < top OR page_id IS NULL AND top IS NOT NULL) THEN top END AS refers_to
 FROM d
 """
 

@@ -179,7 +179,9 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
 
     Of records with equal payloads of at least ``least_bytes``, that with the largest id is
     the response and the others are revisits of it; equality is decided by a tree-merge of
-    digest runs. Rows that repeat an id and payload get the same kind of record. Null
+    digest runs. Rows that repeat an id and payload get the same kind of record: a response
+    each, if theirs is the largest id. A row without an id revisits the one with the largest;
+    where no row has an id, all are responses. An empty table gives no archive. Null
     payloads are empty, and records hold any number of bytes up to 2 GiB (readers refuse
     longer ones). The dictionary is trained on the first 20,000 characters of about
     ``sample_pages`` pages, chosen by a hash of their ids over the whole table, and of twice
@@ -192,8 +194,8 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     digests = own.where(F.octet_length("body") >= least_bytes).select(F.monotonically_increasing_id().alias("_uid"), "id", "sha1", F.octet_length("body").alias("bytes"), F.xxhash64("body").alias("check"))
     rows = common.stage(digest_tree.with_run(digests), f"{path}/digests")
     merged = digest_tree.merge_runs(rows, ["sha1", "bytes", "check"], "id", f"{path}/tree")
-    again = merged.where(F.col("id") < F.col("_keep.id")).select(F.col("id").alias("own"), F.col("sha1").alias("own_sha1"), F.col("_keep.id").alias("refers_to")).distinct()
-    marked = own.join(again, (F.col("id") == F.col("own")) & (F.col("sha1") == F.col("own_sha1")), "left").select("id", "url", "body", "sha1", "refers_to")
+    again = merged.where((F.col("id") < F.col("_keep.id")) | F.col("id").isNull() & F.col("_keep.id").isNotNull()).select(F.col("id").alias("own"), F.col("sha1").alias("own_sha1"), F.col("_keep.id").alias("refers_to")).distinct()
+    marked = own.join(again, F.col("id").eqNullSafe(F.col("own")) & (F.col("sha1") == F.col("own_sha1")), "left").select("id", "url", "body", "sha1", "refers_to")
     # pages of the whole table by a hash, twice as many at most as wanted
     share = min(1.0, sample_pages / max(1, own.count()))
     chosen = own.where(F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)

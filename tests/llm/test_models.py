@@ -117,8 +117,10 @@ def test_slices_are_exact(monkeypatch):
 def test_languages_are_bounded_and_names_clash(spark):
     rows = [(k, "the and of that", "en", 1.0, "x", True) for k in range(40)] + [(100 + k, "noise", f"junk{k}", 1.0, "x", True) for k in range(30)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string, held_out boolean")
-    model = ppm_language.fit(d, most_languages=3)
-    assert "en" in model.names and len(model.names) <= 3
+    with pytest.raises(ValueError, match="more than 3"):  # it dropped the others once
+        ppm_language.fit(d, most_languages=3)
+    model = ppm_language.fit(d)
+    assert set(model.names) == {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1}
     got = ppm_language.identify(d, model)
     assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and got.count() == 70
 
@@ -179,3 +181,45 @@ def test_ppm_takes_picked_texts_whole(spark, monkeypatch):
     texts = seen["en"]
     assert sum(map(len, texts)) == 200_000 and all(len(t) == len(rows[0][1]) for t in texts[:-1])
     assert [t[:3] for t in texts] != sorted(t[:3] for t in texts)
+
+
+def test_quality_samples_are_bounded_by_row(spark):
+    """One id on thousands of rows, of one text or of many."""
+    for text in ("concat('Some plain words of row ', k, ' are here.')", "'always the same words'"):
+        docs = spark.range(5000).toDF("k").selectExpr("1L AS doc_id", f"{text} AS text")
+        labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+        own = docs.selectExpr("doc_id AS id", "text").crossJoin(spark.createDataFrame([(0,), (1,)], "kind int"))
+        got = pu_quality._measured(own, 10, 7)
+        assert len(got[1]) == 10 and len(got[0]) == 7
+        seen = []
+        train, pu_quality.train = pu_quality.train, lambda p, u: seen.append((len(p), len(u))) or train(p, u)
+        try:
+            pu_quality.fit(docs, labels, positives=10, unlabelled=10)
+        finally:
+            pu_quality.train = train
+        assert seen == [(10, 10)]
+
+
+def test_quality_without_labels_warns(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="trusted positive"):
+        model = pu_quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert [r.score for r in pu_quality.classify(docs, model).collect()] == [0.5]
+
+
+def test_languages_learn_from_one_id_and_within_bounds(spark):
+    one = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 3 != 1)
+    same = spark.range(4000).selectExpr(f"{one}L AS doc_id", "'the very same words' AS text", "'en' AS lang")
+    many = spark.range(4000).selectExpr(f"{one}L AS doc_id", "concat('mots du texte ', id) AS text", "'fr' AS lang")
+    learned = ppm_language.fit(same.union(many), bytes_each=500)
+    assert sorted(learned.names) == ["en", "fr"]
+    rows = many.selectExpr("doc_id AS id", "text", "lang", "pmod(hash(text), 100) AS by")
+    picked = ppm_language._within(rows, 500)
+    assert 500 <= sum(len(t) for _, t in picked) < 540
+
+
+def test_every_language_is_learned_or_an_error(spark):
+    docs = spark.range(900).selectExpr("id AS doc_id", "concat('text of language ', id % 300) AS text", "concat('l', id % 300) AS lang")
+    assert set(ppm_language.fit(docs).names) == {f"l{k % 300}" for k in range(900) if zlib.crc32(str(k).encode()) % 3 != 1}
+    with pytest.raises(ValueError, match="more than 5"):
+        ppm_language.fit(docs, most_languages=5)
