@@ -331,7 +331,9 @@ def _text_components(signed: DataFrame, docs: DataFrame, id_col: str, text_col:
     )
     roots = [F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.substring("tokens", 4 * START * t + 1, 4 * START)).alias("path")) for t in range(TREES)]
     nodes = classes.select("key", "n", F.explode(F.array(*roots)).alias("at")).select("at.tree", "at.path", "key", "n")
-    nodes = common.stage(nodes, f"{path}/nodes")
+    # a class alone in a node meets none there; what is left is joined, summed and stored below
+    shared = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("path")
+    nodes = common.stage(nodes.join(shared, "path", "left_semi"), f"{path}/nodes")
 
     # pass 1: pivots of the nodes of a few trees
     starred = nodes.where(F.col("tree") < STAR_TREES)
