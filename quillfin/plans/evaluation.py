@@ -255,17 +255,22 @@ def ablation_groups(spark, sf_dir):
     "feature_stats",
     with_(
         FEATURES_SQL,
-        " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS present, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS distinct_values, round(avg({c}), 8) AS mean, round(stddev_samp({c}), 8) AS std, round(min({c}), 9) AS min, round(max({c}), 9) AS max, coalesce(stddev_samp({c}) < 1e-12, true) AS constant FROM feat" for c in FEATURES if c != "mid_volatility_5s"),
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS feature, count({c}) AS present, count(*) - count({c}) AS missing, CAST(count_if(isnan({c})) AS BIGINT) AS nan, CAST(count_if(isinf({c})) AS BIGINT) AS infinite, count(DISTINCT round({c}, 8)) AS distinct_values, round(avg({c}), 8) AS mean, "
+            f"round(stddev_samp({c}), 8) AS std, round(min({c}), 9) AS min, round(max({c}), 9) AS max, coalesce(stddev_samp({c}) < 1e-12, true) AS constant, coalesce(stddev_samp({c}) < 1e-6, true) AS near_constant FROM feat"
+            for c in FEATURES
+        ),
     ),
 )
 def feature_stats(spark, sf_dir):
-    cols = [c for c in FEATURES if c != "mid_volatility_5s"]
-    df = featured(spark, sf_dir).select(*cols)
-    long = df.unpivot([], cols, "feature", "v")
-    v = F.col("v")
+    """All eleven features: what is there, missing, not a number or infinite, and how much varies."""
+    df = featured(spark, sf_dir).select(*FEATURES)
+    long = df.unpivot([], FEATURES, "feature", "v")
+    v, spread = F.col("v"), F.stddev_samp("v")
     return long.groupBy("feature").agg(
-        F.count(v).alias("present"), (F.count(F.lit(1)) - F.count(v)).alias("missing"), F.count_distinct(v).alias("distinct_values"), F.round(F.avg(v), 8).alias("mean"), F.round(F.stddev_samp(v), 8).alias("std"),
-        F.round(F.min(v), 9).alias("min"), F.round(F.max(v), 9).alias("max"), F.coalesce(F.stddev_samp(v) < 1e-12, F.lit(True)).alias("constant"),
+        F.count(v).alias("present"), (F.count(F.lit(1)) - F.count(v)).alias("missing"), F.count_if(F.isnan(v)).alias("nan"), F.count_if(F.abs(v) == float("inf")).alias("infinite"),
+        F.count_distinct(F.round(v, 8)).alias("distinct_values"), F.round(F.avg(v), 8).alias("mean"), F.round(spread, 8).alias("std"), F.round(F.min(v), 9).alias("min"), F.round(F.max(v), 9).alias("max"),
+        F.coalesce(spread < 1e-12, F.lit(True)).alias("constant"), F.coalesce(spread < 1e-6, F.lit(True)).alias("near_constant"),
     )
 
 

@@ -103,7 +103,7 @@ _FILL = "CASE WHEN side = 'BUY' THEN e.ask <= lim OR e.bid < lim ELSE e.bid >= l
 EVENT_SIM_SQL = (
     QUOTES_SQL
     + f""",
-od AS (SELECT *, CASE WHEN sequence_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, CASE WHEN sequence_id % 2 = 0 THEN bid ELSE ask END AS lim FROM q WHERE sequence_id % 5 = 0),
+od AS (SELECT *, CASE WHEN sequence_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, CASE WHEN sequence_id % 2 = 0 THEN bid ELSE ask END AS lim FROM q),
 fi AS (SELECT o.sequence_id, min((e.timestamp_ms, e.sequence_id)) AS f FROM od o JOIN q e ON o.market_id = e.market_id AND o.asset_id = e.asset_id AND e.timestamp_ms > o.timestamp_ms AND e.timestamp_ms <= o.timestamp_ms + {_T} WHERE {_FILL} GROUP BY 1),
 fx AS (SELECT o.*, f[1] AS fill_ms FROM od o LEFT JOIN fi USING (sequence_id)),
 v AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY market_id, asset_id, timestamp_ms ORDER BY sequence_id) = 1),
@@ -143,14 +143,7 @@ def _event_sim(q, orders):
     ),
 )
 def maker_event_sim(spark, sf_dir):
-    """Orders on every fifth quote, as in the SQL; maker_event_sim_all takes all."""
-    q = events(spark, sf_dir)
-    return _event_sim(q, q.where("sequence_id % 5 = 0"))
-
-
-@query("maker_event_sim_all")
-def maker_event_sim_all(spark, sf_dir):
-    """An order on every quote."""
+    """A passive order on every quote."""
     q = events(spark, sf_dir)
     return _event_sim(q, q)
 

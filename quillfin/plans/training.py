@@ -57,7 +57,7 @@ def split_invariants(spark, sf_dir):
 
 @query(
     "split_market_snap",
-    """WITH m AS (SELECT 'M' || lpad((extract('month' FROM o_orderdate) + 12 * extract('year' FROM o_orderdate))::VARCHAR, 6, '0') AS market_id, o_orderkey, epoch_us(o_orderdate::TIMESTAMP) // 1000 AS t FROM orders WHERE extract('day' FROM o_orderdate) <= 20),
+    """WITH m AS (SELECT 'M' || lpad((extract('month' FROM o_orderdate) + 12 * extract('year' FROM o_orderdate))::VARCHAR, 6, '0') AS market_id, o_orderkey, epoch_us(o_orderdate::TIMESTAMP) // 1000 + 864000000 * (extract('month' FROM o_orderdate) + 12 * extract('year' FROM o_orderdate)) AS t FROM orders),
 a AS (SELECT market_id, count(*) AS rows, min(t) AS lo, max(t) AS hi FROM m GROUP BY 1),
 b AS (SELECT *, row_number() OVER w - 1 AS k, sum(rows) OVER w - rows AS ahead, lo - lag(hi) OVER w AS gap, sum(rows) OVER () AS n FROM a WINDOW w AS (ORDER BY lo, market_id)),
 c AS (SELECT x.k AS k1, y.k AS k2, x.ahead AS a1, y.ahead AS a2, x.n AS n, abs(x.ahead::DOUBLE / x.n - 0.7) + abs((y.ahead - x.ahead)::DOUBLE / x.n - 0.15) + abs((x.n - y.ahead)::DOUBLE / x.n - 0.15) AS score
@@ -65,10 +65,10 @@ c AS (SELECT x.k AS k1, y.k AS k2, x.ahead AS a1, y.ahead AS a2, x.n AS n, abs(x
 SELECT k1, k2, a1::BIGINT AS train_rows, (a2 - a1)::BIGINT AS validation_rows, (n - a2)::BIGINT AS test_rows, round(score, 9) AS score FROM c ORDER BY c.score, k1, k2 LIMIT 1""",
 )
 def split_market_snap(spark, sf_dir):
-    """Months stand in for markets; the cut falls into gaps of five days or more."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.dayofmonth("o_orderdate") <= 20)
-    name = F.concat(F.lit("M"), F.lpad((F.month("o_orderdate") + 12 * F.year("o_orderdate")).cast("string"), 6, "0"))
-    rows = o.select(name.alias("market_id"), F.floor(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1000).cast("long").alias("t"))
+    """Months stand in for markets, moved ten days apart each; the cut falls into gaps of five days or more."""
+    month = F.month("o_orderdate") + 12 * F.year("o_orderdate")
+    at = F.floor(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1000).cast("long") + F.lit(864_000_000) * month.cast("long")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("M"), F.lpad(month.cast("string"), 6, "0")).alias("market_id"), at.alias("t"))
     return split.market_split(rows, 432_000_000, "t").withColumn("score", F.round("score", 9))
 
 
@@ -347,9 +347,9 @@ def gate_market_classes(spark, sf_dir):
 
 @query(
     "purge_requirement",
-    f"SELECT {PURGE}::BIGINT AS purge_ms, 22000::BIGINT AS live_purge_ms",
+    with_(LABEL_SQL, f"SELECT market_id, max(target_timestamp - grid_timestamp_ms) AS widest_label_ms, {PURGE}::BIGINT AS purge_ms, max(target_timestamp - grid_timestamp_ms) <= {PURGE} AS covered FROM labeled GROUP BY 1"),
 )
 def purge_requirement(spark, sf_dir):
-    return spark.range(1).select(F.lit(PURGE).cast("long").alias("purge_ms"), F.lit(split.required_purge()).cast("long").alias("live_purge_ms"))
-
-
+    """Whether the purge covers how far the labels of each market look ahead."""
+    widest = F.max(F.col("target.timestamp_ms") - F.col("grid_timestamp_ms"))
+    return labeled(spark, sf_dir).groupBy("market_id").agg(widest.alias("widest_label_ms"), F.lit(PURGE).cast("long").alias("purge_ms"), (widest <= PURGE).alias("covered"))

@@ -190,7 +190,7 @@ def test_quality_score_takes_all_events(spark):
     from quillfin.plans.base import events
     from quillfin.plans.registry import QUERIES
 
-    got = {tuple(r[:2]): r.samples for r in QUERIES["quality_score_all"](spark, SF).collect()}
+    got = {tuple(r[:2]): r.samples for r in QUERIES["quality_score"](spark, SF).collect()}
     q = events(spark, SF)
     assert got == {tuple(r[:2]): r[2] for r in q.groupBy("market_id", "asset_id").count().collect()} and sum(got.values()) == q.count()
 
@@ -213,5 +213,24 @@ def test_maker_event_sim_orders_on_every_quote(spark):
             x = None if fill is None else next((e for e in rows if e.timestamp_ms >= fill + _X), None)
             status = "CANCELLED_UNFILLED" if fill is None else "INCOMPLETE_MISSING_EXIT" if x is None else "COMPLETED"
             want[o.sequence_id] = ("BUY" if buy else "SELL", lim, fill, None if x is None else x.bid if buy else x.ask, status)
-    got = QUERIES["maker_event_sim_all"](spark, SF).collect()
+    got = QUERIES["maker_event_sim"](spark, SF).collect()
     assert len(got) == len(want) and {r[0]: (r.side, r.limit_price, r.fill_timestamp_ms, r.exit_price, r.outcome) for r in got} == want
+
+
+@pytest.mark.parametrize("few,bins", [(10_000, 1024), (5, 64)])
+def test_quantiles_are_exact_in_rounds(spark, few, bins):
+    """Against sorted repetition: ties, signs, far outliers, a constant, doubles next to each other."""
+    import numpy as np
+
+    from quillfin.operators import scale
+
+    rng = np.random.default_rng(4)
+    columns = {
+        "plain": rng.normal(size=400), "ties": rng.integers(0, 4, 400).astype(float), "far": np.concatenate((rng.normal(size=396), [1e300, -1e300, 1e-300, 0.0])),
+        "same": np.full(400, 0.3), "near": 1.0 + np.arange(400) * 2.0**-52, "one": np.array([7.0]),
+    }
+    rows = [(f, float(v), int(w)) for f, x in columns.items() for v, w in zip(x, rng.integers(1, 9, len(x)))]
+    got = scale.quantiles(spark.createDataFrame(rows, "feature string, value double, weight long").repartition(3), [0.25, 0.5, 0.75], few=few, bins=bins)
+    for f in columns:
+        long = np.sort(np.concatenate([np.full(w, v) for g, v, w in rows if g == f]))
+        assert got[f] == pytest.approx([np.quantile(long, q) for q in (0.25, 0.5, 0.75)], rel=1e-15, abs=1e-300)
