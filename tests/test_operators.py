@@ -21,9 +21,9 @@ def quotes(spark, rows):
 
 
 def test_grid_takes_last_event_at_or_before(spark):
-    g = asof.asof_grid(quotes(spark, [(12100, 1, 0.1), (12850, 2, 0.2), (13200, 3, 0.3), (14000, 4, 0.4)]), LIVE)
+    g = asof.asof_grid(quotes(spark, [(41_370, 1, 0.1), (41_910, 2, 0.2), (42_050, 3, 0.3), (43_000, 4, 0.4)]), LIVE)
     got = {r.grid_timestamp_ms: (r.source_timestamp_ms, r.bid) for r in g.collect()}
-    assert got == {13000: (12850, 0.2), 14000: (14000, 0.4)}
+    assert got == {42_000: (41_910, 0.2), 43_000: (43_000, 0.4)}
 
 
 def test_grid_ties_take_highest_sequence_and_stale_is_strict(spark):
