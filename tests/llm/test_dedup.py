@@ -128,7 +128,6 @@ def test_near_branching_recall(spark, monkeypatch):
     nodes that branch at least three times: links survive, and none is made up."""
     monkeypatch.setattr(near_dedup, "SMALL", 3)
     monkeypatch.setattr(near_dedup, "OUTSIDERS", 1)
-    monkeypatch.setattr(near_dedup, "STAKE", 0)
     rng = random.Random(23)
     passage = [f"p{k}" for k in range(100)]
     texts = []
