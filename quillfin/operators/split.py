@@ -75,6 +75,44 @@ def market_split(df: DataFrame, purge: int, time: str = "grid_timestamp_ms", rat
     return best.select("b.k1", "b.k2", F.col("b.a1").alias("train_rows"), (F.col("b.a2") - F.col("b.a1")).alias("validation_rows"), (F.col("b.n") - F.col("b.a2")).alias("test_rows"), "b.score")
 
 
+def snap_cuts(df: DataFrame, purge: int, time: str = "grid_timestamp_ms", ratios: tuple[float, float, float] = (0.7, 0.15, 0.15)) -> DataFrame:
+    """The best two cuts between markets as one row (from_validation, from_test: times; score), or none.
+
+    A cut lies where the next market begins at least ``purge`` after the end of all markets
+    before it, so markets that overlap stay together. For a first cut at share a of the rows
+    the score falls with the second up to min(a + validation, 1 - test) and never falls after
+    it: only the last cut before and the first from there on can be best. They are found by one
+    ordered pass over one row a market, not by pairing all cuts.
+    """
+    m = df.groupBy("market_id").agg(F.count(F.lit(1)).alias("rows"), F.min(time).alias("lo"), F.max(time).alias("hi"))
+    w = Window.orderBy("lo", "market_id")
+    end = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    m = m.select("lo", (F.sum("rows").over(w) - F.col("rows")).alias("ahead"), (F.col("lo") - end).alias("gap"), F.sum("rows").over(Window.partitionBy()).alias("n"))
+    cuts = m.where(F.col("gap") >= purge).select("lo", (F.col("ahead") / F.col("n")).alias("at"))
+    goal = F.least(F.col("at") + ratios[1], F.lit(1 - ratios[2]))
+    places = cuts.select(F.col("at").alias("x"), F.lit(0).alias("probe"), F.struct("at", "lo").alias("cut"))
+    asked = cuts.select(F.greatest(goal, "at").alias("x"), F.lit(1).alias("probe"), F.struct("at", "lo").alias("cut"))
+    # a cut at the very goal comes before the question, and so counts as the last one
+    along = Window.orderBy("x", "probe", "cut")
+    place = F.when(F.col("probe") == 0, F.col("cut"))
+    near = places.union(asked).select("probe", "cut", F.last(place, True).over(along).alias("b"), F.first(place, True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("f"))
+    pairs = near.where("probe = 1").select(F.col("cut").alias("one"), F.explode(F.array("b", "f")).alias("two")).where(F.col("two.at") > F.col("one.at"))
+    a, b = F.col("one.at"), F.col("two.at")
+    score = F.abs(a - ratios[0]) + F.abs(b - a - ratios[1]) + F.abs(1 - b - ratios[2])
+    best = pairs.agg(F.min(F.struct(F.round(score, 12).alias("score"), F.col("one.lo").alias("from_validation"), F.col("two.lo").alias("from_test"))).alias("b"))
+    return best.where("b IS NOT NULL").select("b.*")
+
+
+def snapped_split(df: DataFrame, purge: int, time: str = "grid_timestamp_ms", ratios: tuple[float, float, float] = (0.7, 0.15, 0.15), ties: list[str] | None = None) -> DataFrame:
+    """``df`` with column split: whole markets in each part where gaps between them allow
+    it (:func:`snap_cuts`); otherwise the purged split by rows (:func:`ratio_split`)."""
+    cut = snap_cuts(df, purge, time, ratios).first()  # one row
+    if cut is None:
+        return ratio_split(df, purge, time, ties, ratios).drop("row_index")
+    t = F.col(time)
+    return df.withColumn("split", F.when(t < cut.from_validation, "train").when(t < cut.from_test, "validation").otherwise("test"))
+
+
 def invariants(split: DataFrame, time: str = "grid_timestamp_ms", columns: list[str] | None = None) -> DataFrame:
     """Per pair of parts: the purge actually kept, shared times, shared rows."""
     columns = columns or [c for c in split.columns if c not in ("split", "row_index")]

@@ -85,3 +85,48 @@ def runs(df: DataFrame, same: Column, order: list[str], keys: list[str]) -> Data
 
 def share(part: Column, whole: Column) -> Column:
     return F.coalesce(ratio(part, whole), F.lit(0.0))
+
+
+def least_squares(df: DataFrame, y: str, xs: list[str], part: str) -> DataFrame:
+    """term, beta, r2_train, r2_validation, condition of an ordinary least-squares fit.
+
+    ``part`` tells 'train' from 'validation' rows; rows with a null in ``y`` or ``xs`` take no
+    part. Predictors are scaled by the mean and deviation of the training rows. One aggregate
+    gives both parts' covariances, so two rows reach the driver however large ``df``; residuals
+    follow from these. condition is that of the predictors' correlation matrix. A constant
+    predictor gets beta 0; without training rows the result is empty, without validation rows
+    r2_validation is null.
+    """
+    import numpy as np
+
+    names = [*xs, y]
+    whole = df.where(F.col(part).isin("train", "validation")).dropna(subset=names)
+    pairs = list(itertools.combinations_with_replacement(range(len(names)), 2))
+    sums = [F.avg(c).alias(f"m{k}") for k, c in enumerate(names)] + [F.covar_pop(names[a], names[b]).alias(f"c{a}_{b}") for a, b in pairs]
+    found = {r["_part"]: r for r in whole.groupBy(F.col(part).alias("_part")).agg(*sums).collect()}  # two rows
+    schema = "term string, beta double, r2_train double, r2_validation double, condition double"
+    if "train" not in found:
+        return df.sparkSession.createDataFrame([], schema)
+
+    def moments(row):
+        cov = np.empty((len(names), len(names)))
+        for a, b in pairs:
+            cov[a, b] = cov[b, a] = row[f"c{a}_{b}"]
+        return np.array([row[f"m{k}"] for k in range(len(names))]), cov
+
+    mean, cov = moments(found["train"])
+    dev = np.sqrt(np.maximum(np.diag(cov)[:-1], 0))
+    scale = np.divide(1.0, dev, out=np.zeros_like(dev), where=dev > 0)
+    corr = cov[:-1, :-1] * np.outer(scale, scale)
+    beta = np.linalg.lstsq(corr, cov[:-1, -1] * scale, rcond=None)[0]
+    slope = beta * scale
+
+    def r2(row):
+        m, v = moments(row)
+        off = m[-1] - mean[-1] - slope @ (m[:-1] - mean[:-1])
+        rest = v[-1, -1] - 2 * slope @ v[:-1, -1] + slope @ v[:-1, :-1] @ slope + off * off
+        return float(1 - rest / v[-1, -1]) if v[-1, -1] > 0 else None
+
+    tail = (r2(found["train"]), r2(found["validation"]) if "validation" in found else None, float(np.linalg.cond(corr)) if (dev > 0).all() else None)
+    rows = [("intercept", float(mean[-1]), *tail)] + [(x, float(b), *tail) for x, b in zip(xs, beta)]
+    return df.sparkSession.createDataFrame(rows, schema)
