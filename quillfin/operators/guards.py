@@ -85,6 +85,25 @@ def hard_stop(missing_rate: Column, mean_age: Column, losses: Column, drawdown:
     )
 
 
+def session_sums(cells: DataFrame, trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """keys, observations, missing_rate, mean_age, losses, drawdown, asymmetry: what the hard stops look at.
+
+    ``cells``: grid cells (event_age_ms, is_stale); stale ones have no quote, and ages are of
+    the others. ``trades``: side and pnl, in ``order`` within ``keys``: the longest run of losses,
+    the deepest fall of the running sum below its peak (which starts at nothing) and how far the
+    share of UP lies from a half. A session without trades has zeros; null results are no loss.
+    """
+    fresh = ~F.col("is_stale")
+    seen = cells.groupBy(*keys).agg(F.count_if(fresh).alias("observations"), F.avg(F.when(fresh, 0.0).otherwise(1.0)).alias("missing_rate"), F.coalesce(F.avg(F.when(fresh, F.col("event_age_ms"))), F.lit(0.0)).alias("mean_age"))
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    loss = F.coalesce(F.col("pnl") < 0, F.lit(False))
+    run = trades.select(*keys, *order, "side", loss.alias("_loss"), F.sum(F.coalesce("pnl", F.lit(0.0))).over(w).alias("_cum"), F.sum(F.when(loss, 0).otherwise(1)).over(w).alias("_run"))
+    run = run.withColumn("_peak", F.greatest(F.max("_cum").over(w), F.lit(0.0)))
+    per = run.groupBy(*keys, "_run").agg(F.count_if("_loss").alias("_n"), F.max(F.col("_peak") - F.col("_cum")).alias("_fall"), F.count_if(F.col("side") == "UP").alias("_up"), F.count(F.lit(1)).alias("_all"))
+    done = per.groupBy(*keys).agg(F.max("_n").alias("losses"), F.max("_fall").alias("drawdown"), F.abs(F.sum("_up") / F.sum("_all") - 0.5).alias("asymmetry"))
+    return seen.join(done, keys, "left").na.fill({"losses": 0, "drawdown": 0.0, "asymmetry": 0.0})
+
+
 def session_status(stop: Column, failed: Column, degraded: Column) -> Column:
     """COMPLETE, DEGRADED, ABORTED_HARD_STOP or FAILED (fixed values)."""
     return F.when(failed, "FAILED").when(stop.isNotNull(), "ABORTED_HARD_STOP").when(degraded, "DEGRADED").otherwise("COMPLETE")

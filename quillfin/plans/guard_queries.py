@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..model import STREAM
 from ..operators import guards
 from ..sources import files
-from .base import GRID_SQL, QUOTES_SQL, events, grid, query, table, with_
+from .base import GRID_SQL, LABEL_SQL, QUOTES_SQL, events, grid, labeled, query, table, with_
 
 
 @query(
@@ -145,38 +145,57 @@ def pending_settlement(spark, sf_dir):
     return guards.settled(o, q, 3_600_000, 14_400_000).select("position_id", "exit_price", "settled_ms", "outcome")
 
 
-_SESSION = """, s AS (SELECT sequence_id AS signal_id, market_id || '-' || (timestamp_ms // 604800000) AS session_id, timestamp_ms // 3600000 AS burst_id FROM q),
-st AS (SELECT DISTINCT session_id, CASE WHEN length(session_id) % 2 = 0 THEN 'COMPLETE' ELSE 'DEGRADED' END AS status FROM s)"""
+_DAY_MS = 86_400_000
+#: Cells and trades of a market's day; a trade follows the deeper side and pays the spread.
+_STOPS_SQL = """, hc AS (SELECT market_id || '-' || (grid_timestamp_ms // 86400000) AS session_id, count(*) FILTER (NOT is_stale) AS observations, avg(CASE WHEN is_stale THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS missing, coalesce(avg(event_age_ms) FILTER (NOT is_stale), 0) / 3600 AS age FROM grid GROUP BY 1),
+ht AS (SELECT market_id || '-' || (grid_timestamp_ms // 86400000) AS session_id, grid_timestamp_ms, asset_id, bid_size > ask_size AS up, round(CASE WHEN bid_size > ask_size THEN delta ELSE -delta END - (ask - bid), 9) AS pnl FROM labeled),
+h1 AS (SELECT *, sum(pnl) OVER w AS cum, sum(CASE WHEN pnl < 0 THEN 0 ELSE 1 END) OVER w AS run FROM ht WINDOW w AS (PARTITION BY session_id ORDER BY grid_timestamp_ms, asset_id ROWS UNBOUNDED PRECEDING)),
+h2 AS (SELECT *, greatest(0, max(cum) OVER (PARTITION BY session_id ORDER BY grid_timestamp_ms, asset_id ROWS UNBOUNDED PRECEDING)) - cum AS fall FROM h1),
+h3 AS (SELECT session_id, max(losses) AS losses FROM (SELECT session_id, run, count(*) FILTER (pnl < 0) AS losses FROM h1 GROUP BY ALL) GROUP BY 1),
+h4 AS (SELECT session_id, max(fall) AS drawdown, abs(avg(CASE WHEN up THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) - 0.5) AS asymmetry FROM h2 GROUP BY 1),
+h5 AS (SELECT session_id, observations, missing, age, coalesce(losses, 0) AS losses, coalesce(drawdown, 0) AS drawdown, coalesce(asymmetry, 0) AS asymmetry FROM hc LEFT JOIN h3 USING (session_id) LEFT JOIN h4 USING (session_id)),
+h6 AS (SELECT *, CASE WHEN missing > 0.25 THEN 'MISSING_QUOTE_RATE' WHEN observations >= 10 AND age > 2000 THEN 'QUOTE_AGE' WHEN losses >= 8 THEN 'CONSECUTIVE_LOSSES' WHEN drawdown >= 2.5 THEN 'DRAWDOWN' WHEN asymmetry > 0.40 THEN 'DIRECTIONAL_ASYMMETRY' END AS stop FROM h5),
+st AS (SELECT *, CASE WHEN observations < 5 THEN 'FAILED' WHEN stop IS NOT NULL THEN 'ABORTED_HARD_STOP' WHEN missing > 0.1 THEN 'DEGRADED' ELSE 'COMPLETE' END AS status FROM h6)"""
 
 
-@query("session_clusters", with_(QUOTES_SQL, _SESSION + " SELECT s.session_id, signal_id, burst_id, CAST(dense_rank() OVER (ORDER BY s.session_id, burst_id) - 1 AS BIGINT) AS cluster FROM s JOIN st USING (session_id) WHERE status = 'COMPLETE'"))
-def session_clusters(spark, sf_dir):
-    """Bursts of complete sessions, numbered across sessions without a global sort of signals."""
-    week = F.floor(F.col("timestamp_ms") / 604_800_000).cast("string")
-    s = events(spark, sf_dir).select(F.col("sequence_id").alias("signal_id"), F.concat_ws("-", "market_id", week).alias("session_id"), F.floor(F.col("timestamp_ms") / 3_600_000).alias("burst_id"))
-    status = s.select("session_id").distinct().withColumn("status", F.when(F.length("session_id") % 2 == 0, "COMPLETE").otherwise("DEGRADED"))
-    return guards.sessions(s, status)
+def _day(time):
+    return F.concat_ws("-", "market_id", F.floor(F.col(time) / _DAY_MS).cast("string"))
+
+
+def _session_states(spark, sf_dir):
+    """Sessions (a market's days) with their sums, first hard stop and status."""
+    c = F.col
+    cells = grid(spark, sf_dir).select(_day("grid_timestamp_ms").alias("session_id"), "event_age_ms", "is_stale")
+    up = c("bid_size") > c("ask_size")
+    pnl = F.round(F.when(up, c("delta")).otherwise(-c("delta")) - (c("ask") - c("bid")), 9)
+    trades = labeled(spark, sf_dir).select(_day("grid_timestamp_ms").alias("session_id"), "grid_timestamp_ms", "asset_id", F.when(up, "UP").otherwise("DOWN").alias("side"), pnl.alias("pnl"))
+    sums = guards.session_sums(cells, trades, ["session_id"], ["grid_timestamp_ms", "asset_id"])
+    # the driver's events are 3600 times as far apart as live ones
+    stop = guards.hard_stop(c("missing_rate"), c("mean_age") / 3600, c("losses"), c("drawdown"), c("asymmetry"), c("observations"))
+    out = sums.withColumn("stop", stop)
+    return out.withColumn("status", guards.session_status(c("stop"), c("observations") < 5, c("missing_rate") > 0.1))
 
 
 @query(
-    "hard_stops",
+    "session_clusters",
     with_(
-        QUOTES_SQL,
-        """, m AS (SELECT market_id, count(*) AS n, avg(CASE WHEN sequence_id % 4 = 0 THEN 1.0 ELSE 0.0 END) AS missing, avg(timestamp_ms % 4000) AS age, max(CAST(bid_size AS BIGINT)) % 12 AS losses, max(ask) * 3 AS drawdown, abs(avg(CASE WHEN asset_id = 'UP' THEN 1.0 ELSE 0.0 END) - 0.5) AS asym FROM q GROUP BY 1),
-h AS (SELECT *, CASE WHEN missing > 0.25 THEN 'MISSING_QUOTE_RATE' WHEN n >= 10 AND age > 2000 THEN 'QUOTE_AGE' WHEN losses >= 8 THEN 'CONSECUTIVE_LOSSES' WHEN drawdown >= 2.5 THEN 'DRAWDOWN' WHEN asym > 0.40 THEN 'DIRECTIONAL_ASYMMETRY' END AS stop FROM m)
-SELECT market_id, stop, CASE WHEN n < 5 THEN 'FAILED' WHEN stop IS NOT NULL THEN 'ABORTED_HARD_STOP' WHEN missing > 0.1 THEN 'DEGRADED' ELSE 'COMPLETE' END AS status FROM h""",
+        LABEL_SQL,
+        _STOPS_SQL
+        + """, sg AS (SELECT sequence_id AS signal_id, market_id || '-' || (timestamp_ms // 86400000) AS session_id, timestamp_ms // 3600000 AS burst_id FROM q)
+SELECT sg.session_id, signal_id, burst_id, CAST(dense_rank() OVER (ORDER BY sg.session_id, burst_id) - 1 AS BIGINT) AS cluster FROM sg JOIN st USING (session_id) WHERE status = 'COMPLETE'""",
     ),
 )
+def session_clusters(spark, sf_dir):
+    """Bursts of sessions that ended complete, numbered across sessions without a global sort of signals."""
+    s = events(spark, sf_dir).select(F.col("sequence_id").alias("signal_id"), _day("timestamp_ms").alias("session_id"), F.floor(F.col("timestamp_ms") / 3_600_000).alias("burst_id"))
+    return guards.sessions(s, _session_states(spark, sf_dir).select("session_id", "status"))
+
+
+@query("hard_stops", with_(LABEL_SQL, _STOPS_SQL + " SELECT session_id, observations, round(missing, 9) AS missing_rate, losses, round(drawdown, 6) AS drawdown, round(asymmetry, 9) AS asymmetry, stop, status FROM st"))
 def hard_stops(spark, sf_dir):
-    """All five stops and the status they give, on a market's sums."""
-    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    m = events(spark, sf_dir).groupBy("market_id").agg(
-        F.count(F.lit(1)).alias("n"), share(F.col("sequence_id") % 4 == 0).alias("missing"), F.avg(F.col("timestamp_ms") % 4000).alias("age"), (F.max(F.col("bid_size").cast("long")) % 12).alias("losses"),
-        (F.max("ask") * 3).alias("drawdown"), F.abs(share(F.col("asset_id") == "UP") - 0.5).alias("asym"),
-    )
-    c = F.col
-    m = m.withColumn("stop", guards.hard_stop(c("missing"), c("age"), c("losses"), c("drawdown"), c("asym"), c("n")))
-    return m.select("market_id", "stop", guards.session_status(c("stop"), c("n") < 5, c("missing") > 0.1).alias("status"))
+    """The sums of each session and what they lead to."""
+    out = _session_states(spark, sf_dir)
+    return out.select("session_id", "observations", F.round("missing_rate", 9).alias("missing_rate"), "losses", F.round("drawdown", 6).alias("drawdown"), F.round("asymmetry", 9).alias("asymmetry"), "stop", "status")
 
 
 @query(

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from quillfin.operators import rules, split, stats
+from quillfin.operators import guards, rules, split, stats
 
 
 def test_least_squares_against_numpy(spark):
@@ -77,3 +77,14 @@ def test_rules_on_nulls_and_empty_tables(spark):
     broken = {k: v for k, v in got.items() if v[1] != "PASS"}
     assert broken == {("s", "required_fields"): (1, "FAIL"), ("s", "duplicate_records"): (1, "FAIL"), ("s", "duplicate_timestamps"): (1, "FAIL")}
     assert len(got) == 18
+
+
+def test_session_sums_by_hand(spark):
+    cells = spark.createDataFrame([("s", 100, False), ("s", 300, False), ("s", 9000, True), ("s", 200, False), ("t", 9000, True)], "session_id string, event_age_ms long, is_stale boolean")
+    pnl = [1.0, -0.5, -0.5, None, -2.0, -0.25, -0.25, 3.0]
+    trades = spark.createDataFrame([("s", k, "UP" if k < 6 else "DOWN", p) for k, p in enumerate(pnl)], "session_id string, at long, side string, pnl double")
+    got = {r.session_id: r.asDict() for r in guards.session_sums(cells, trades, ["session_id"], ["at"]).collect()}
+    # from a peak of 1 down to -2.5; the run of three losses follows the null
+    assert got["s"] == {"session_id": "s", "observations": 3, "missing_rate": 0.25, "mean_age": 200.0, "losses": 3, "drawdown": 3.5, "asymmetry": 0.25}
+    assert got["t"] == {"session_id": "t", "observations": 0, "missing_rate": 1.0, "mean_age": 0.0, "losses": 0, "drawdown": 0.0, "asymmetry": 0.0}
+    assert not guards.session_sums(cells.limit(0), trades.limit(0), ["session_id"], ["at"]).collect()
