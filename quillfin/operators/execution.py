@@ -44,6 +44,42 @@ def maker_cohort(signals: DataFrame, quotes: DataFrame, step: int, hold: int, ke
     return out.withColumn("net_pnl", F.col("gross_pnl") - F.col("taker_fee")).drop("_k1", "_k2", "_b", "_a", *[f"{s}_{k}" for s in ("bid", "ask") for k in ("1", "2", "x1", "x2")])
 
 
+def first_fills(orders: DataFrame, quotes: DataFrame, timeout: int, keys: list[str], run: int = 64) -> DataFrame:
+    """(order_id, fill_timestamp_ms) of the orders that a later quote within ``timeout`` fills.
+
+    ``orders``: keys, order_id, timestamp_ms, side, limit_price; ``quotes``: keys,
+    timestamp_ms, sequence_id, bid, ask. A quote with 0 < bid < ask fills a BUY if its bid is
+    below the limit and a SELL if its ask is above it, by which it either trades through or
+    retreats; other quotes fill nothing, nor do quotes at the order's own time.
+
+    A search by first passage: the quotes of a stream and timeout's bucket are laid in runs of
+    ``run`` quotes with their lowest bid and highest ask. An order reads the runs' extremes and
+    picks at most two runs a bucket: the one that its own time cuts, and the first one after it
+    that can fill; only their quotes, an array of at most ``run``, are looked at one by one. So
+    three rows an order pass through shuffles, however dense the quotes are, and an order is
+    never joined to single quotes. Null prices, sides and times fill nothing; orders are told
+    apart by order_id, of equal ones the earliest fill is returned.
+    """
+    bucket = F.floor(F.col("timestamp_ms") / timeout)
+    good = quotes.where((F.col("bid") > 0) & (F.col("ask") > F.col("bid"))).select(*keys, bucket.alias("_b"), "timestamp_ms", "sequence_id", "bid", "ask")
+    at = Window.partitionBy(*keys, "_b").orderBy("timestamp_ms", "sequence_id")
+    runs = good.withColumn("_r", F.floor((F.row_number().over(at) - 1) / run)).groupBy(*keys, "_b", "_r").agg(
+        F.min("timestamp_ms").alias("from"), F.max("timestamp_ms").alias("to"), F.min("bid").alias("low"), F.max("ask").alias("high"),
+        F.collect_list(F.struct("timestamp_ms", "bid", "ask")).alias("_quotes"),
+    )
+    tops = runs.groupBy(*keys, "_b").agg(F.sort_array(F.collect_list(F.struct("_r", "from", "to", "low", "high"))).alias("_runs"))
+    t0, limit, buy = F.col("timestamp_ms"), F.col("limit_price"), F.col("side") == "BUY"
+    asked = orders.select(*keys, "order_id", "timestamp_ms", "side", "limit_price", F.explode(F.array(bucket, bucket + 1)).alias("_b"))
+    breaks = lambda low, high: F.when(buy, low < limit).otherwise(high > limit)
+    cut = F.filter("_runs", lambda x: (x["from"] <= t0) & (x["to"] > t0) & breaks(x["low"], x["high"]))
+    later = F.slice(F.filter("_runs", lambda x: (x["from"] > t0) & (x["from"] <= t0 + timeout) & breaks(x["low"], x["high"])), 1, 1)
+    picked = asked.join(tops, [*keys, "_b"]).select(*keys, "_b", "order_id", "timestamp_ms", "side", "limit_price", F.explode(F.concat(cut, later)).alias("_x"))
+    probed = picked.withColumn("_r", F.col("_x._r")).drop("_x").join(runs.select(*keys, "_b", "_r", "_quotes"), [*keys, "_b", "_r"])
+    hit = F.filter("_quotes", lambda x: (x["timestamp_ms"] > t0) & (x["timestamp_ms"] <= t0 + timeout) & breaks(x["bid"], x["ask"]))
+    first = F.array_min(F.transform(hit, lambda x: x["timestamp_ms"]))
+    return probed.select("order_id", first.alias("_t")).where("_t IS NOT NULL").groupBy("order_id").agg(F.min("_t").alias("fill_timestamp_ms"))
+
+
 def clustered(ledger: DataFrame, gap: int, keys: list[str]) -> DataFrame:
     """Adds burst_id per stream and cluster_id = (stream, burst)."""
     out = bursts(ledger, "grid_timestamp_ms", keys, gap, keys)

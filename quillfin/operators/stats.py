@@ -48,23 +48,47 @@ def condition_number(df: DataFrame, columns: list[str]) -> float:
     return float(np.linalg.cond(m))
 
 
-def block_bootstrap(df: DataFrame, value: str, order: list[str], replicates: int = 2000, block: int = 5, seed: int = 42) -> DataFrame:
+def block_bootstrap(df: DataFrame, value: str, order: list[str], replicates: int = 2000, block: int = 5, seed: int = 42, leaf: int = 4096) -> DataFrame:
     """lo, median, hi of the mean over circular block resamples.
 
-    A replicate draws ceil(n / block) block starts by a seeded hash; prefix sums over the
-    series make a block's sum one difference, so replicates never copy rows. The series is
-    summed up to block starts first.
+    A replicate draws ceil(n / block) block starts, each as likely. How many fall into a range
+    of starts is binomial, so the draws of all replicates are split down a tree of ranges; each
+    node's split is seeded by the node, so every leaf of ``leaf`` starts works its own counts
+    out from the root, and no draw is a row: a leaf (a group of ``leaf + block - 1`` values)
+    returns one array of ``replicates`` sums. Nulls take no part; an empty table gives no row.
     """
-    rows = row_index(df.select(value, *order), order[0], order[1:] or order, "i")
+    rows = row_index(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"), *order), order[0], order[1:] or order, "i")
     n = rows.count()
     if not n:
         return df.sparkSession.createDataFrame([], "lo double, median double, hi double, replicates long")
-    w = [F.col("i") - k for k in range(block)]
-    starts = rows.select(F.explode(F.array(*[F.pmod(x, F.lit(n)) for x in w])).alias("start"), value).groupBy("start").agg(F.sum(value).alias("block_sum"))
+    leaf = max(leaf, block)
     draws = -(-n // block)
-    spread = df.sparkSession.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    drawn = spread.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "replicate", "draw"), F.lit(n)))
-    means = drawn.join(starts, "start").groupBy("replicate").agg((F.sum("block_sum") / (draws * block)).alias("m"))
+    # past the end the series starts again; a value is needed by the block - 1 starts before it
+    places = F.transform(F.sequence(F.lit(0), F.lit((n + block - 2) // n)), lambda k: F.col("i") + k * n)
+    placed = rows.select("_v", F.explode(places).alias("p")).where(F.col("p") < n + block - 1)
+    first, last = F.floor(F.greatest(F.col("p") - (block - 1), F.lit(0)) / leaf), F.floor(F.least(F.col("p"), F.lit(n - 1)) / leaf)
+    dealt = placed.select("p", "_v", F.explode(F.sequence(first, last)).alias("leaf"))
+
+    def resample(key, group):
+        import numpy as np
+        import pandas as pd
+
+        at, lo, hi = int(key[0]), 0, -(-n // leaf)
+        counts = np.full(replicates, draws)
+        ends = lambda k: min(k * leaf, n)
+        while hi - lo > 1:
+            half = (lo + hi) // 2
+            left = np.random.default_rng([seed, lo, hi]).binomial(counts, (ends(half) - ends(lo)) / (ends(hi) - ends(lo)))
+            counts, lo, hi = (left, lo, half) if at < half else (counts - left, half, hi)
+        size = ends(at + 1) - ends(at)
+        before = np.concatenate([[0.0], np.cumsum(group.sort_values("p")["_v"].to_numpy())])
+        blocks = before[block : block + size] - before[:size]
+        rng = np.random.default_rng([seed, n, lo, hi])
+        sums = [float(blocks[rng.integers(0, size, c)].sum()) for c in counts]
+        return pd.DataFrame({"sums": [sums]})
+
+    partial = dealt.groupBy("leaf").applyInPandas(resample, "sums array<double>")
+    means = partial.select(F.posexplode("sums").alias("replicate", "s")).groupBy("replicate").agg((F.sum("s") / (draws * block)).alias("m"))
     q = F.percentile("m", [0.025, 0.5, 0.975])
     return means.agg(q.alias("q"), F.count(F.lit(1)).alias("replicates")).select(F.get("q", 0).alias("lo"), F.get("q", 1).alias("median"), F.get("q", 2).alias("hi"), "replicates")
 

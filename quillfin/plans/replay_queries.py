@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.quotes import book_imbalance, fill_class, mid
+from ..functions.quotes import book_imbalance, mid
 from ..model import FEATURES, HOURS, STREAM
-from ..operators import label, learn, split
+from ..operators import execution, label, learn, split
 from ..sources import jsonl
 from .base import GRID_SQL, LABEL_SQL, QUOTES_SQL, events, featured, grid, labeled, query, table, with_
 
@@ -113,18 +113,13 @@ xx AS (SELECT fx.sequence_id, side, lim, fill_ms, x.bid AS xb, x.ask AS xa FROM
 
 def _event_sim(q, orders):
     """Event-driven passive orders: the first later quote in time that fills, then the first
-    quote after the holding time. The range join runs on time buckets of the timeout."""
+    quote after the holding time."""
     from ..operators.asof import forward_match
 
     even = F.col("sequence_id") % 2 == 0
     o = orders.withColumns({"side": F.when(even, "BUY").otherwise("SELL"), "limit_price": F.when(even, F.col("bid")).otherwise(F.col("ask"))})
     o = o.select("sequence_id", *STREAM, "timestamp_ms", "side", "limit_price")
-    bucket = F.floor(F.col("timestamp_ms") / _T)
-    left = o.withColumn("b", F.explode(F.array(bucket, bucket + 1)))
-    right = q.select(*STREAM, bucket.alias("b"), F.col("timestamp_ms").alias("t"), F.col("sequence_id").alias("s"), F.col("bid").alias("eb"), F.col("ask").alias("ea"))
-    near = left.join(right, [*STREAM, "b"]).where((F.col("t") > F.col("timestamp_ms")) & (F.col("t") <= F.col("timestamp_ms") + _T))
-    kind = fill_class(F.col("side"), F.col("limit_price"), F.col("eb"), F.col("ea"))
-    fills = near.where(kind.isin("CONFIRMED_PRICE_THROUGH", "AMBIGUOUS_QUOTE_RETREAT")).groupBy("sequence_id").agg(F.min("t").alias("fill_timestamp_ms"))
+    fills = execution.first_fills(o.withColumnRenamed("sequence_id", "order_id"), q, _T, STREAM).withColumnRenamed("order_id", "sequence_id")
     done = o.join(fills, "sequence_id", "left")
     filled = done.where(F.col("fill_timestamp_ms").isNotNull())
     out = forward_match(filled, q, "fill_timestamp_ms", _X, None, ["bid", "ask"], keys=STREAM)

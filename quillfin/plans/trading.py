@@ -31,9 +31,13 @@ TRADES_SQL = (
     PREDICT_SQL
     + f""",
 tr0 AS (SELECT p.*, (p.ask - p.bid - 0.03::DOUBLE) / 0.015::DOUBLE AS scaled_spread, abs((p.bid_size - p.ask_size) / (p.bid_size + p.ask_size)) * 2.0::DOUBLE AS abs_scaled_imbalance,
-   x.bid AS bid_exit, x.ask AS ask_exit
-  FROM pred p LEFT JOIN grid x ON p.market_id = x.market_id AND p.asset_id = x.asset_id AND x.grid_timestamp_ms = p.target_timestamp // {HOURS.step} * {HOURS.step}),
+   x.bid AS bid_exit, x.ask AS ask_exit, e1.bid AS bid_entry_delay, e1.ask AS ask_entry_delay, x1.bid AS bid_exit_delay, x1.ask AS ask_exit_delay
+  FROM pred p LEFT JOIN grid x ON p.market_id = x.market_id AND p.asset_id = x.asset_id AND x.grid_timestamp_ms = p.target_timestamp // {HOURS.step} * {HOURS.step}
+  LEFT JOIN grid e1 ON p.market_id = e1.market_id AND p.asset_id = e1.asset_id AND e1.grid_timestamp_ms = p.grid_timestamp_ms + {HOURS.step}
+  LEFT JOIN grid x1 ON p.market_id = x1.market_id AND p.asset_id = x1.asset_id AND x1.grid_timestamp_ms = p.target_timestamp // {HOURS.step} * {HOURS.step} + {HOURS.step}),
 tr AS (SELECT *, prediction <> 1 AS is_directional, bid_exit IS NOT NULL AND ask_exit IS NOT NULL AS has_exit_quote,
+  bid_entry_delay IS NOT NULL AND ask_entry_delay IS NOT NULL AND bid_exit_delay IS NOT NULL AND ask_exit_delay IS NOT NULL AS has_delay_quotes,
+  CASE WHEN prediction = 2 THEN bid_exit_delay - ask_entry_delay ELSE bid_entry_delay - ask_exit_delay END AS delayed_pnl,
   CASE WHEN prediction = 2 THEN ask ELSE bid END AS entry_price, CASE WHEN prediction = 2 THEN bid_exit ELSE ask_exit END AS exit_price,
   CASE prediction WHEN 2 THEN bid_exit - ask WHEN 0 THEN bid - ask_exit ELSE 0.0 END AS gross_pnl,
   CASE prediction WHEN 2 THEN (bid_exit + ask_exit) / 2.0 - (bid + ask) / 2.0 WHEN 0 THEN (bid + ask) / 2.0 - (bid_exit + ask_exit) / 2.0 ELSE 0.0 END AS mid_pnl FROM tr0),
@@ -45,10 +49,10 @@ mk AS (
 
 @query(
     "trade_dataset",
-    with_(TRADES_SQL, "SELECT market_id, asset_id, grid_timestamp_ms, prediction, confidence, is_directional, has_exit_quote, entry_price, exit_price, gross_pnl, mid_pnl FROM tr"),
+    with_(TRADES_SQL, "SELECT market_id, asset_id, grid_timestamp_ms, prediction, confidence, is_directional, has_exit_quote, has_delay_quotes, entry_price, exit_price, gross_pnl, mid_pnl, delayed_pnl FROM tr"),
 )
 def trade_dataset(spark, sf_dir):
-    return trade_rows(spark, sf_dir).select("market_id", "asset_id", "grid_timestamp_ms", "prediction", "confidence", "is_directional", "has_exit_quote", "entry_price", "exit_price", "gross_pnl", "mid_pnl")
+    return trade_rows(spark, sf_dir).select("market_id", "asset_id", "grid_timestamp_ms", "prediction", "confidence", "is_directional", "has_exit_quote", "has_delay_quotes", "entry_price", "exit_price", "gross_pnl", "mid_pnl", "delayed_pnl")
 
 
 def by_policy(df):
@@ -107,18 +111,19 @@ def policy_metrics(spark, sf_dir):
 STRESS_SQL = (
     TRADES_SQL
     + """,
-su AS (SELECT *, confidence >= 0.55 AND scaled_spread <= 0.5 AND abs_scaled_imbalance <= 1.2 AND is_directional AS sure FROM tr),
+su AS (SELECT *, confidence >= 0.55 AND scaled_spread <= 0.5 AND abs_scaled_imbalance <= 1.2 AS passed FROM tr),
 st AS (
   SELECT s.scenario, s.x, grid_timestamp_ms, market_id, asset_id FROM (SELECT *, UNNEST([
-    {'scenario': 'S0_Baseline_Top_of_Book_0bps', 'x': CASE WHEN has_exit_quote THEN gross_pnl END},
-    {'scenario': 'S1_Fee_Schedule_5bps', 'x': CASE WHEN has_exit_quote THEN gross_pnl - (entry_price + exit_price) * 0.0005::DOUBLE END},
-    {'scenario': 'S1_Fee_Schedule_10bps', 'x': CASE WHEN has_exit_quote THEN gross_pnl - (entry_price + exit_price) * 0.001::DOUBLE END},
-    {'scenario': 'S1_Fee_Schedule_15bps', 'x': CASE WHEN has_exit_quote THEN gross_pnl - (entry_price + exit_price) * 0.0015::DOUBLE END},
-    {'scenario': 'S2_Adverse_Slippage_0.5bps', 'x': CASE WHEN has_exit_quote THEN gross_pnl - 2.0::DOUBLE * (entry_price * 0.00005::DOUBLE) END},
-    {'scenario': 'S2_Adverse_Slippage_1.0bps', 'x': CASE WHEN has_exit_quote THEN gross_pnl - 2.0::DOUBLE * (entry_price * 0.0001::DOUBLE) END},
-    {'scenario': 'S3_Adverse_Entry_1Tick', 'x': CASE WHEN has_exit_quote THEN gross_pnl - 0.01::DOUBLE END},
-    {'scenario': 'S5_Missing_Exit_Forced_Liquidation_Penalty', 'x': CASE WHEN has_exit_quote THEN gross_pnl ELSE -0.01 END},
-    {'scenario': 'S6_Compounded_Multi_Stress', 'x': CASE WHEN has_exit_quote THEN gross_pnl - (entry_price + exit_price) * 0.001::DOUBLE - 2.0::DOUBLE * (entry_price * 0.00005::DOUBLE) ELSE -0.015 END}]) AS s FROM su WHERE sure) WHERE s.x IS NOT NULL
+    {'scenario': 'S0_Baseline_Top_of_Book_0bps', 'x': CASE WHEN NOT is_directional THEN NULL WHEN has_exit_quote THEN gross_pnl END},
+    {'scenario': 'S1_Fee_Schedule_5bps', 'x': CASE WHEN NOT is_directional THEN NULL WHEN has_exit_quote THEN gross_pnl - (entry_price + exit_price) * 0.0005::DOUBLE END},
+    {'scenario': 'S1_Fee_Schedule_10bps', 'x': CASE WHEN NOT is_directional THEN NULL WHEN has_exit_quote THEN gross_pnl - (entry_price + exit_price) * 0.001::DOUBLE END},
+    {'scenario': 'S1_Fee_Schedule_15bps', 'x': CASE WHEN NOT is_directional THEN NULL WHEN has_exit_quote THEN gross_pnl - (entry_price + exit_price) * 0.0015::DOUBLE END},
+    {'scenario': 'S2_Adverse_Slippage_0.5bps', 'x': CASE WHEN NOT is_directional THEN NULL WHEN has_exit_quote THEN gross_pnl - 2.0::DOUBLE * (entry_price * 0.00005::DOUBLE) END},
+    {'scenario': 'S2_Adverse_Slippage_1.0bps', 'x': CASE WHEN NOT is_directional THEN NULL WHEN has_exit_quote THEN gross_pnl - 2.0::DOUBLE * (entry_price * 0.0001::DOUBLE) END},
+    {'scenario': 'S3_Adverse_Entry_1Tick', 'x': CASE WHEN NOT is_directional THEN NULL WHEN has_exit_quote THEN gross_pnl - 0.01::DOUBLE END},
+    {'scenario': 'S4_Execution_Latency_1000ms', 'x': CASE WHEN has_delay_quotes THEN delayed_pnl END},
+    {'scenario': 'S5_Missing_Exit_Forced_Liquidation_Penalty', 'x': CASE WHEN NOT is_directional THEN NULL WHEN has_exit_quote THEN gross_pnl ELSE -0.01 END},
+    {'scenario': 'S6_Compounded_Multi_Stress', 'x': CASE WHEN NOT is_directional THEN NULL WHEN has_exit_quote THEN gross_pnl - (entry_price + exit_price) * 0.001::DOUBLE - 2.0::DOUBLE * (entry_price * 0.00005::DOUBLE) ELSE -0.015 END}]) AS s FROM su WHERE passed) WHERE s.x IS NOT NULL
 )"""
 )
 

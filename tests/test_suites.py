@@ -88,3 +88,77 @@ def test_session_sums_by_hand(spark):
     assert got["s"] == {"session_id": "s", "observations": 3, "missing_rate": 0.25, "mean_age": 200.0, "losses": 3, "drawdown": 3.5, "asymmetry": 0.25}
     assert got["t"] == {"session_id": "t", "observations": 0, "missing_rate": 1.0, "mean_age": 0.0, "losses": 0, "drawdown": 0.0, "asymmetry": 0.0}
     assert not guards.session_sums(cells.limit(0), trades.limit(0), ["session_id"], ["at"]).collect()
+
+
+def test_depth_rows_of_odd_books(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from quillfin.operators import depth
+
+    lv = lambda *x: [{"price": p, "size": s} for p, s in x]
+    rows = [
+        ("book", "1", lv(("0.40", "3"), ("0.45", "1"), ("0.40", "7"), ("0.1", "0"), ("-1", "2"), ("x", "2")), lv(("0.6", "5"), ("0.5", "2")), "m", "2024-01-01 00:00:01"),
+        ("book", "2", [], lv(("0.6", "5")), "m", "2024-01-01 00:00:02"),
+        ("book", "3", None, None, "m", "2024-01-01 00:00:03"),
+        ("price_change", "4", None, None, "m", "2024-01-01 00:00:04"),
+    ]
+    side = "array<struct<price:string,size:string>>"
+    feed = spark.createDataFrame(rows, f"event_type string, timestamp string, bids {side}, asks {side}, market string, at string").withColumn("received_at", F.to_timestamp("at"))
+    snaps = depth.from_book_events(feed, "S")
+    again = snaps.withColumns({"received_at": F.col("received_at") + F.expr("interval 1 hour"), "bids": F.array().cast(side)})
+    a, b, c = depth.depth_rows(snaps.unionByName(again)).orderBy("last_update_id").collect()
+    assert (a.best_bid, a.best_ask, a.bid_depth_total, a.ask_depth_total) == (0.45, 0.5, 8.0, 7.0)
+    assert json.loads(a.top_bids_json) == [[0.45, 1.0], [0.4, 7.0]] and json.loads(a.top_asks_json) == [[0.5, 2.0], [0.6, 5.0]]
+    assert abs(a.microprice_5 - (8 * 0.5 + 7 * 0.45) / 15) < 1e-12 and abs(a.order_book_imbalance_5 - 1 / 15) < 1e-12
+    assert (b.best_bid, b.best_ask, b.mid_price, b.order_book_imbalance_5) == (None, 0.6, None, -1.0)
+    assert (c.best_bid, c.best_ask, c.microprice_5, c.order_book_imbalance_5, c.top_bids_json) == (None, None, None, 0.0, "[]")
+    books = snaps.select(F.col("last_update_id").alias("timestamp"), F.lit("m").alias("market_id"), F.lit("a").alias("asset_id"), "bids", "asks")
+    got = {r.timestamp: r for r in depth.snapshot_rows(books).collect()}
+    x = got[a.last_update_id]
+    assert (x.best_bid_size, x.best_ask_size) == (1.0, 2.0) and abs(x.microprice - (0.5 * 1 + 0.45 * 2) / 3) < 1e-12
+    assert (got[b.last_update_id].best_bid_size, got[c.last_update_id].imbalance) == (0.0, None)
+
+
+def test_first_fills_against_plain_search(spark):
+    """Dense and sparse stretches, ties in time, invalid quotes and runs of a few quotes."""
+    from quillfin.operators import execution
+
+    rng = random.Random(8)
+    quotes, t = [], 0
+    for n in range(500):
+        t += rng.choice([0, 0, 1, 1, 3, 40])
+        bid = rng.randint(20, 60)
+        quotes.append((rng.choice("ab"), t, n, None if n % 31 == 0 else bid / 100, (bid + rng.choice([-1, 0, 1, 2])) / 100))
+    orders = [(rng.choice("ab"), k, rng.randint(-5, t + 5), rng.choice(["BUY", "SELL"]), rng.randint(15, 65) / 100) for k in range(400)] + [("a", 900, None, "BUY", 0.5), ("a", 901, 5, "BUY", None), ("c", 902, 5, "BUY", 0.5)]
+    want = {}
+    for m, k, at, side, lim in orders:
+        if at is None or lim is None:
+            continue
+        hits = [q[1] for q in quotes if q[0] == m and at < q[1] <= at + 50 and q[3] and 0 < q[3] < q[4] and (q[3] < lim if side == "BUY" else q[4] > lim)]
+        if hits:
+            want[k] = min(hits)
+    o = spark.createDataFrame(orders, "m string, order_id long, timestamp_ms long, side string, limit_price double")
+    q = spark.createDataFrame(quotes, "m string, timestamp_ms long, sequence_id long, bid double, ask double")
+    for run in (4, 64):
+        assert {r.order_id: r.fill_timestamp_ms for r in execution.first_fills(o, q, 50, ["m"], run).collect()} == want
+    assert len(want) > 100 and not execution.first_fills(o.limit(0), q, 50, ["m"]).collect()
+
+
+def test_bootstrap_over_many_leaves(spark):
+    """Quantiles of a plain bootstrap of blocks, within Monte Carlo error; ends and odd tables."""
+    rng = np.random.default_rng(12)
+    v = np.cumsum(rng.normal(size=300)) * 0.1 + rng.normal(size=300)
+    d = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)] + [(7, None)], "i long, v double")
+    (r,) = stats.block_bootstrap(d, "v", ["i"], leaf=16).collect()
+    around = np.concatenate([v, v[:4]])
+    starts = rng.integers(0, 300, (20_000, 60))
+    q = np.quantile(sum(around[starts + k] for k in range(5)).sum(axis=1) / 300, [0.025, 0.5, 0.975])
+    width = q[2] - q[0]
+    assert r.replicates == 2000 and np.all(np.abs(np.array([r.lo, r.median, r.hi]) - q) < 0.06 * width)
+    one = stats.block_bootstrap(spark.createDataFrame([(1, 2.5)], "i long, v double"), "v", ["i"], replicates=20).first()
+    assert (one.lo, one.hi, one.replicates) == (2.5, 2.5, 20)
+    two = stats.block_bootstrap(spark.createDataFrame([(1, 2.0), (2, 4.0)], "i long, v double"), "v", ["i"], replicates=20, leaf=1).first()
+    assert 2.0 <= two.lo <= two.hi <= 4.0
+    assert stats.block_bootstrap(d.limit(0), "v", ["i"]).first() is None
