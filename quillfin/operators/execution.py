@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.quotes import fill_class, slipped
-from .stats import bursts
+from .running import running
+from .stats import bursts, cluster_robust
 
 
 def maker_cohort(signals: DataFrame, quotes: DataFrame, step: int, hold: int, keys: list[str], conservative: bool = False, fee_bps: float = 5.0, penalty: float = -0.01) -> DataFrame:
@@ -44,6 +47,62 @@ def maker_cohort(signals: DataFrame, quotes: DataFrame, step: int, hold: int, ke
     return out.withColumn("net_pnl", F.col("gross_pnl") - F.col("taker_fee")).drop("_k1", "_k2", "_b", "_a", *[f"{s}_{k}" for s in ("bid", "ask") for k in ("1", "2", "x1", "x2")])
 
 
+@dataclass(frozen=True)
+class Protocol:
+    """Hurdles of the two cohorts and conditions for calling a trial complete."""
+
+    itt_mean: float = 0.0025
+    filled_mean: float = 0.0030
+    profit_factor: float = 1.25
+    profit_factor_target: float = 1.30
+    decisive_win_rate: float = 0.50
+    win_rate: float = 0.48
+    asymmetry: float = 0.35
+    t: float = 2.0
+    filled: int = 400
+    signals: int = 600
+    bursts: int = 50
+    sessions: int = 5
+
+
+def cohort_verdict(ledger: DataFrame, order: list[str], block: Column, protocol: Protocol = Protocol(), sessions: int = 1, hard_stop: bool = False) -> DataFrame:
+    """One row on a clustered ledger of signals: all of them (intention to treat, unfilled ones
+    at 0), the filled ones, and all with only trades through the limit counted as filled.
+
+    Means come with cluster-robust t; every hurdle and completion condition is a column of its
+    own, and ``protocol_accepted`` needs all but the profit factor's target. A ledger without
+    signals gives no row. Without filled trades their figures are 0. ``order`` and ``block``
+    are as for running sums.
+    """
+    net, filled, sure = F.col("net_pnl"), F.col("is_filled"), F.col("fill_certainty") == "CONFIRMED_PRICE_THROUGH"
+    cases = F.array(*[F.struct(F.lit(n).alias("cohort"), x.alias("v")) for n, x in (("itt", net), ("filled", F.when(filled, net)), ("conservative", F.when(filled & sure, net).otherwise(0.0)))])
+    long = ledger.select("cluster_id", F.inline(cases)).where("v IS NOT NULL")
+    wide = cluster_robust(long, "v", "cluster_id", ["cohort"]).groupBy().agg(*[F.max(F.when(F.col("cohort") == n, F.col(c))).alias(f"{n}_{c}") for n in ("itt", "filled", "conservative") for c in ("mean", "se", "t", "n_eff", "clusters")])
+    win, loss = filled & (net > 1e-6), filled & (net < -1e-6)
+    gain, lost = F.coalesce(F.sum(F.when(win, net)), F.lit(0.0)), F.coalesce(F.sum(F.when(loss, -net)), F.lit(0.0))
+    counts = ledger.agg(
+        F.count(F.lit(1)).alias("signals"), F.count_if(filled).alias("filled"), F.count_if(filled & sure).alias("confirmed"), F.count_if(filled & ~sure).alias("ambiguous"), F.count_if(win).alias("wins"), F.count_if(loss).alias("losses"),
+        F.when(lost > 0, gain / F.nullif(lost, F.lit(0.0))).when(gain > 0, 999.0).otherwise(0.0).alias("profit_factor"), F.count_if(F.col("side") == "BUY").alias("up"), F.count_if(F.col("side") == "SELL").alias("down"),
+    )
+    fall = running(ledger.where(filled), net, order, block).agg(F.coalesce(F.max("drawdown"), F.lit(0.0)).alias("max_drawdown"))
+    one = counts.join(wide).join(fall).where("signals > 0")  # a row each
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    c, p = F.col, protocol
+    one = one.withColumns({f"filled_{k}": F.coalesce(f"filled_{k}", F.lit(0.0)) for k in ("mean", "se", "t", "n_eff")})
+    one = one.withColumns({
+        "fill_rate": share(c("filled"), c("signals")), "win_rate": share(c("wins"), c("filled")), "loss_rate": share(c("losses"), c("filled")), "scratch_rate": share(c("filled") - c("wins") - c("losses"), c("filled")),
+        "decisive_win_rate": share(c("wins"), c("wins") + c("losses")), "asymmetry": share(F.abs(c("up") - c("down")), c("up") + c("down")), "balance_ratio": F.coalesce(F.try_divide(F.least("up", "down"), F.greatest("up", "down")), F.lit(1.0)),
+    })
+    hurdles = {
+        "itt_hurdle": c("itt_mean") >= p.itt_mean, "filled_hurdle": c("filled_mean") >= p.filled_mean, "profit_factor_floor": c("profit_factor") >= p.profit_factor, "decisive_wins": c("decisive_win_rate") >= p.decisive_win_rate,
+        "overall_wins": c("win_rate") >= p.win_rate, "balanced": c("asymmetry") <= p.asymmetry, "t_passed": c("filled_t") >= p.t,
+    }
+    complete = {"enough_filled": c("filled") >= p.filled, "enough_signals": c("signals") >= p.signals, "enough_bursts": c("itt_clusters") >= p.bursts, "enough_sessions": F.lit(sessions >= p.sessions), "no_hard_stop": F.lit(not hard_stop)}
+    one = one.withColumns({**hurdles, **complete, "profit_factor_target": c("profit_factor") >= p.profit_factor_target})
+    both = lambda names: F.forall(F.array(*names), lambda x: x)
+    return one.withColumn("complete", both(complete)).withColumn("protocol_accepted", both([*hurdles, "complete"]))
+
+
 def first_fills(orders: DataFrame, quotes: DataFrame, timeout: int, keys: list[str], run: int = 64) -> DataFrame:
     """(order_id, fill_timestamp_ms) of the orders that a later quote within ``timeout`` fills.
 

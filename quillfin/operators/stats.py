@@ -11,21 +11,23 @@ from ..functions.quotes import ratio
 from .running import row_index
 
 
-def cluster_robust(df: DataFrame, value: str, cluster: str) -> DataFrame:
-    """mean, se, t, clusters, n_eff of a mean whose rows depend on each other in clusters.
+def cluster_robust(df: DataFrame, value: str, cluster: str, by: list[str] | None = None) -> DataFrame:
+    """mean, se, t, clusters, n_eff of a mean whose rows depend on each other in clusters;
+    a row for each value of ``by``, if given.
 
     Two sums a cluster are enough: the score S_c = sum(x) - n_c * mean.
     """
-    per = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"), F.sum(F.col(value) * F.col(value)).alias("ss"))
-    total = per.agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"), F.sum("ss").alias("all_ss"), F.count(F.lit(1)).alias("all_c"))
+    by = by or []
+    per = df.groupBy(*by, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"), F.sum(F.col(value) * F.col(value)).alias("ss"))
+    total = per.groupBy(*by).agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"), F.sum("ss").alias("all_ss"), F.count(F.lit(1)).alias("all_c"))
     score = F.col("s") - F.col("n") * F.col("all_s") / F.col("all_n")
-    both = per.join(F.broadcast(total))  # one row
-    sums = both.groupBy("all_s", "all_n", "all_ss", "all_c").agg(F.sum(F.pow(score, F.lit(2.0))).alias("s2"), F.sum(F.pow(score, F.lit(4.0))).alias("s4"))
+    both = per.join(total, by) if by else per.join(F.broadcast(total))  # one row
+    sums = both.groupBy(*by, "all_s", "all_n", "all_ss", "all_c").agg(F.sum(F.pow(score, F.lit(2.0))).alias("s2"), F.sum(F.pow(score, F.lit(4.0))).alias("s4"))
     mean, n, c = F.col("all_s") / F.col("all_n"), F.col("all_n"), F.col("all_c")
     iid = F.when(n > 1, F.sqrt(F.greatest((F.col("all_ss") - n * mean * mean) / (n - 1), F.lit(0.0)) / n)).otherwise(F.lit(0.0))
     se = F.when(c <= 1, iid).otherwise(F.sqrt(c / F.nullif(c - 1, F.lit(0)) * F.col("s2") / (n * n)))
     n_eff = F.when((c <= 1) | (F.col("s4") <= 1e-12), c.cast("double")).otherwise(F.least(F.col("s2") * F.col("s2") / F.nullif(F.col("s4"), F.lit(0.0)), c.cast("double")))
-    out = sums.select(mean.alias("mean"), se.alias("se"), c.alias("clusters"), n_eff.alias("n_eff"), n.alias("rows"))
+    out = sums.select(*by, mean.alias("mean"), se.alias("se"), c.alias("clusters"), n_eff.alias("n_eff"), n.alias("rows"))
     return out.withColumn("t", F.when(F.col("se") > 1e-12, F.col("mean") / F.col("se")).otherwise(0.0))
 
 

@@ -1,4 +1,4 @@
-"""Depth rows and first-generation snapshots of order books laid out from the events."""
+"""Depth rows, first-generation snapshots and the audit of raw files laid out from the events."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..model import STREAM
 from ..operators import depth
+from ..sources import audit
 from .base import QUOTES_SQL, events, query, with_
 
 _DAY = 86_400_000
@@ -68,3 +69,30 @@ def book_snapshots(spark, sf_dir):
     """The first generation's snapshot of each book."""
     s = depth.snapshot_rows(books(spark, sf_dir).withColumnRenamed("timestamp_ms", "timestamp"))
     return s.withColumns({c: F.round(c, 9) for c in ("mid_price", "spread", "imbalance", "microprice")})
+
+
+@query(
+    "raw_file_audit",
+    with_(
+        QUOTES_SQL,
+        f""", n AS (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY timestamp_ms, sequence_id) AS n FROM q),
+r AS (SELECT strftime(epoch_ms(timestamp_ms), '%Y-%m-%d') || '/' || market_id || '.jsonl' AS source_file, market_id AS slug, timestamp_ms // {_DAY} AS day, n, n % 97 <> 0 AS sound, timestamp_ms, asset_id FROM n),
+g AS (SELECT source_file, max(timestamp_ms - p) AS gap FROM (SELECT *, lag(timestamp_ms) OVER (PARTITION BY source_file ORDER BY n) AS p FROM r WHERE sound) GROUP BY 1),
+f AS (SELECT source_file, slug, day, count(*) AS lines, count_if(NOT sound) AS malformed, count_if(sound) AS quotes, min(timestamp_ms) FILTER (sound) AS first_ms, max(timestamp_ms) FILTER (sound) AS last_ms,
+  count(DISTINCT asset_id) FILTER (sound) AS assets, coalesce(bool_or(asset_id = 'UP' AND day % 3 <> 0) FILTER (sound), false) AS up_represented, coalesce(bool_or(asset_id = 'DOWN' AND day % 3 <> 0) FILTER (sound), false) AS down_represented FROM r GROUP BY ALL),
+c AS (SELECT *, coalesce(last_ms - first_ms, 0) AS duration_ms FROM f),
+k AS (SELECT *, CASE WHEN quotes = 0 THEN 'DEGENERATE_EMPTY' WHEN NOT (up_represented AND down_represented) THEN 'ONE_SIDED_OR_INCOMPLETE' WHEN duration_ms >= 72000000 THEN 'COMPLETE' WHEN duration_ms >= 18000000 THEN 'TRUNCATED' ELSE 'MINIMAL_TRUNCATED' END AS classification FROM c)
+SELECT source_file, slug, count(*) OVER (PARTITION BY slug) AS files_of_slug, lines, malformed, quotes, assets, up_represented, down_represented, first_ms, last_ms, duration_ms, coalesce(gap, 0) AS max_gap_ms, classification,
+  classification IN ('COMPLETE', 'TRUNCATED') AS usable FROM k LEFT JOIN g USING (source_file)""",
+    ),
+)
+def raw_file_audit(spark, sf_dir):
+    """A file a market and day; every 97th line of a market is cut, every third day lacks its tokens."""
+    from .replay_queries import raw_records
+
+    ms = F.get_json_object("event", "$.timestamp").cast("long")
+    file = F.concat(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd"), F.lit("/"), "source_file", F.lit(".jsonl"))
+    whole = F.concat(F.lit('{"event":'), "event", F.lit("}"))
+    lines = raw_records(spark, sf_dir).select(file.alias("source_file"), F.floor(ms / _DAY).alias("day"), "source_line", F.when(F.col("source_line") % 97 == 0, F.substring(whole, 1, 20)).otherwise(whole).alias("value"))
+    tokens = lines.where(F.col("day") % 3 != 0).select("source_file").distinct().select("source_file", F.lit("UP").alias("up_token"), F.lit("DOWN").alias("down_token"))
+    return audit.audit(lines, tokens, 72_000_000, 18_000_000).drop("event_types", "markets")

@@ -262,6 +262,42 @@ def dual_cohort(spark, sf_dir):
     )
 
 
+_VERDICT = ["itt_mean", "itt_se", "itt_t", "filled_mean", "filled_se", "filled_t", "conservative_mean", "conservative_t", "profit_factor", "max_drawdown", "fill_rate", "win_rate", "loss_rate", "scratch_rate", "decisive_win_rate", "asymmetry", "balance_ratio"]
+
+
+@query(
+    "cohort_verdict",
+    with_(
+        MAKER_SQL,
+        f""", b0 AS (SELECT *, fill_timestamp_ms IS NOT NULL AS fi, gross_pnl - taker_fee AS net, CASE WHEN grid_timestamp_ms - lag(grid_timestamp_ms) OVER (PARTITION BY market_id, asset_id ORDER BY grid_timestamp_ms) > {HOURS.burst} THEN 1 ELSE 0 END AS nb FROM mc),
+b1 AS (SELECT *, market_id || '|' || asset_id || '|' || (sum(nb) OVER (PARTITION BY market_id, asset_id ORDER BY grid_timestamp_ms ROWS UNBOUNDED PRECEDING))::BIGINT AS c FROM b0),
+co AS (SELECT 'i' AS k, c, net AS v FROM b1 UNION ALL SELECT 'f', c, net FROM b1 WHERE fi UNION ALL SELECT 'c', c, CASE WHEN fi AND fill_certainty = 'CONFIRMED_PRICE_THROUGH' THEN net ELSE 0 END FROM b1),
+p AS (SELECT k, c, sum(v) AS s, count(*) AS n FROM co GROUP BY k, c), t AS (SELECT k, sum(s) AS s, sum(n)::DOUBLE AS n, count(*) AS c FROM p GROUP BY k),
+z AS (SELECT k, t.s / t.n AS mean, t.c, sqrt(t.c / (t.c - 1.0) * sum(pow(p.s - p.n * (t.s / t.n), 2)) / (t.n * t.n)) AS se FROM p JOIN t USING (k) GROUP BY k, t.s, t.n, t.c),
+zz AS (SELECT max(mean) FILTER (k = 'i') AS itt_mean, max(se) FILTER (k = 'i') AS itt_se, max(c) FILTER (k = 'i') AS itt_clusters, max(mean) FILTER (k = 'f') AS filled_mean, max(se) FILTER (k = 'f') AS filled_se,
+  max(mean) FILTER (k = 'c') AS conservative_mean, max(se) FILTER (k = 'c') AS conservative_se FROM z),
+dr AS (SELECT max(pk - cum) AS max_drawdown FROM (SELECT cum, max(cum) OVER (ORDER BY grid_timestamp_ms, market_id, asset_id ROWS UNBOUNDED PRECEDING) AS pk, grid_timestamp_ms, market_id, asset_id FROM
+  (SELECT *, sum(net) OVER (ORDER BY grid_timestamp_ms, market_id, asset_id ROWS UNBOUNDED PRECEDING) AS cum FROM b1 WHERE fi))),
+n AS (SELECT count(*) AS signals, count_if(fi) AS filled, count_if(fi AND fill_certainty = 'CONFIRMED_PRICE_THROUGH') AS confirmed, count_if(fi AND fill_certainty <> 'CONFIRMED_PRICE_THROUGH') AS ambiguous, count_if(fi AND net > 1e-6) AS w, count_if(fi AND net < -1e-6) AS l,
+  sum(CASE WHEN fi AND net > 1e-6 THEN net ELSE 0 END) / sum(CASE WHEN fi AND net < -1e-6 THEN -net ELSE 0 END) AS profit_factor, count_if(side = 'BUY') AS up, count_if(side = 'SELL') AS down FROM b1),
+a AS (SELECT *, w::DOUBLE / filled AS win_rate, w::DOUBLE / (w + l) AS decisive_win_rate, abs(up - down)::DOUBLE / (up + down) AS asymmetry, filled_mean / filled_se AS filled_t FROM n, zz, dr)
+SELECT signals, filled, confirmed, ambiguous, up, down, itt_clusters, round(itt_mean, 9) AS itt_mean, round(itt_se, 9) AS itt_se, round(itt_mean / itt_se, 6) AS itt_t, round(filled_mean, 9) AS filled_mean, round(filled_se, 9) AS filled_se, round(filled_t, 6) AS filled_t,
+  round(conservative_mean, 9) AS conservative_mean, round(conservative_mean / conservative_se, 6) AS conservative_t, round(profit_factor, 6) AS profit_factor, round(max_drawdown, 6) AS max_drawdown,
+  round(filled::DOUBLE / signals, 9) AS fill_rate, round(win_rate, 9) AS win_rate, round(l::DOUBLE / filled, 9) AS loss_rate, round((filled - w - l)::DOUBLE / filled, 9) AS scratch_rate, round(decisive_win_rate, 9) AS decisive_win_rate, round(asymmetry, 9) AS asymmetry,
+  round(least(up, down)::DOUBLE / greatest(up, down), 9) AS balance_ratio, itt_mean >= 0.0025 AS itt_hurdle, filled_mean >= 0.003 AS filled_hurdle, profit_factor >= 1.25 AS profit_factor_floor, profit_factor >= 1.3 AS profit_factor_target,
+  decisive_win_rate >= 0.5 AS decisive_wins, win_rate >= 0.48 AS overall_wins, asymmetry <= 0.35 AS balanced, filled_t >= 2 AS t_passed, filled >= 400 AS enough_filled, signals >= 600 AS enough_signals, itt_clusters >= 50 AS enough_bursts,
+  filled >= 400 AND signals >= 600 AND itt_clusters >= 50 AS complete,
+  filled >= 400 AND signals >= 600 AND itt_clusters >= 50 AND itt_mean >= 0.0025 AND filled_mean >= 0.003 AND profit_factor >= 1.25 AND decisive_win_rate >= 0.5 AND win_rate >= 0.48 AND asymmetry <= 0.35 AND filled_t >= 2 AS protocol_accepted FROM a""",
+    ),
+)
+def cohort_verdict(spark, sf_dir):
+    """Both cohorts against the protocol; a trial of five sessions without a hard stop is supposed."""
+    d = execution.clustered(ledger(spark, sf_dir), HOURS.burst, STREAM)
+    out = execution.cohort_verdict(d, _ORDER, F.floor(F.col("grid_timestamp_ms") / _DAY), sessions=5)
+    out = out.withColumns({c: F.round(c, 6 if c[-2:] == "_t" or c in ("profit_factor", "max_drawdown") else 9) for c in _VERDICT})
+    return out.drop("itt_n_eff", "filled_n_eff", "conservative_n_eff", "conservative_se", "filled_clusters", "conservative_clusters", "wins", "losses", "enough_sessions", "no_hard_stop")
+
+
 @query(
     "n_eff",
     with_(

@@ -162,3 +162,65 @@ def test_bootstrap_over_many_leaves(spark):
     two = stats.block_bootstrap(spark.createDataFrame([(1, 2.0), (2, 4.0)], "i long, v double"), "v", ["i"], replicates=20, leaf=1).first()
     assert 2.0 <= two.lo <= two.hi <= 4.0
     assert stats.block_bootstrap(d.limit(0), "v", ["i"]).first() is None
+
+
+def test_raw_file_audit_of_odd_files(spark, tmp_path):
+    import hashlib
+    import json
+
+    from quillfin.sources import audit, jsonl
+
+    event = lambda kind, ts, **more: json.dumps({"received_at": f"2024-01-01T00:00:{more.pop('s', 0):02d}Z", "event": {"event_type": kind, "market": "m", "timestamp": ts, **more}})
+    change = lambda ts, *assets: event("price_change", ts, price_changes=[{"asset_id": a} for a in assets])
+    texts = {
+        "a/one.jsonl": [event("book", "1000", asset_id="u"), "broken", change("90000", "d"), change("80000", "u"), change(300_000, "u", "d"), "[1]"],
+        "b/one.jsonl": [event("book", "5", asset_id="u"), change("70005", "u")],
+        "b/two.jsonl": [event("book", None, asset_id="u", s=1), event("tick", None, asset_id="d", s=59)],
+        "b/none.jsonl": [event("tick", "5")],
+    }
+    for name, lines in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    from pyspark.sql import functions as F
+
+    rows = [(n, k + 1, v) for n, lines in texts.items() for k, v in enumerate(lines)]
+    tokens = spark.createDataFrame([(n, "u", "d") for n in texts], "source_file string, up_token string, down_token string")
+    raw = spark.createDataFrame(rows, "source_file string, source_line long, value string")
+    for block in (2, 100_000):
+        got = {r.source_file: r for r in audit.audit(raw, tokens, block=block).collect()}
+        a, b, two, none = (got[n] for n in texts)
+        assert (a.lines, a.malformed, a.quotes, a.assets, a.max_gap_ms, a.duration_ms, a.classification, a.files_of_slug) == (6, 2, 4, 2, 220_000, 299_000, "COMPLETE", 2)
+        assert (b.classification, b.usable, b.slug, b.down_represented) == ("ONE_SIDED_OR_INCOMPLETE", False, "one", False)
+        assert (two.duration_ms, two.classification, two.usable, two.max_gap_ms) == (58_000, "TRUNCATED", True, 0)
+        assert (none.classification, none.event_types) == ("DEGENERATE_EMPTY", ["tick"])
+    assert not audit.audit(raw.limit(0), tokens).collect()
+    digest = {r.source_file.rsplit("/", 1)[1]: r.sha256 for r in audit.digests(spark, str(tmp_path / "b")).collect()}
+    assert digest["two.jsonl"] == hashlib.sha256((tmp_path / "b/two.jsonl").read_bytes()).hexdigest()
+    assert jsonl.lines(spark, str(tmp_path / "a")).where(F.col("value") == "broken").first().source_line == 2
+
+
+def test_cohort_verdict_against_plain_figures(spark):
+    from pyspark.sql import functions as F
+
+    from quillfin.operators import execution
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(300):
+        kind = rng.choice(["UNFILLED", "CONFIRMED_PRICE_THROUGH", "AMBIGUOUS_QUOTE_RETREAT"])
+        rows.append((k, f"c{k // 7}", str(rng.choice(["BUY", "SELL"])), bool(kind != "UNFILLED"), str(kind), 0.0 if kind == "UNFILLED" else float(rng.normal(0.01, 0.02))))
+    schema = "t long, cluster_id string, side string, is_filled boolean, fill_certainty string, net_pnl double"
+    small = execution.Protocol(filled=100, signals=200, bursts=20)
+    run = lambda d, **o: execution.cohort_verdict(d, ["t"], F.floor(F.col("t") / 50), small, **o)
+    d = spark.createDataFrame(rows, schema)
+    r = run(d, sessions=5).first()
+    x = np.array([v[5] for v in rows if v[3]])
+    cum = np.cumsum(x)
+    assert (r.signals, r.filled) == (300, len(x)) and np.isclose(r.itt_mean, x.sum() / 300) and np.isclose(r.filled_mean, x.mean())
+    assert np.isclose(r.max_drawdown, (np.maximum.accumulate(cum) - cum).max()) and np.isclose(r.profit_factor, x[x > 1e-6].sum() / -x[x < -1e-6].sum())
+    assert np.isclose(r.conservative_mean, sum(v[5] for v in rows if v[4] == "CONFIRMED_PRICE_THROUGH") / 300) and r.protocol_accepted
+    stopped = run(d, sessions=5, hard_stop=True).first()
+    assert not stopped.no_hard_stop and not stopped.complete and not stopped.protocol_accepted and not run(d).first().enough_sessions
+    bare = run(d.where("NOT is_filled")).first()
+    assert (bare.filled, bare.filled_mean, bare.profit_factor, bare.max_drawdown, bare.filled_hurdle) == (0, 0.0, 0.0, 0.0, False)
+    assert run(d.limit(0)).first() is None
