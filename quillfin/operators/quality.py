@@ -53,6 +53,38 @@ def null_cells(sequences: DataFrame, usable_from: int = 5) -> DataFrame:
     return out.withColumn("status", F.when((F.col("step") < usable_from) | (F.col("nulls") == 0), "PASS").otherwise("FAIL"))
 
 
+def null_features(sequences: DataFrame, names: list[str] = FEATURES) -> DataFrame:
+    """cells and nulls (or NaN) per split, step and feature."""
+    steps = sequences.select("split", F.posexplode("feature_matrix").alias("step", "x"))
+    empty = [F.count_if(F.get("x", F.lit(j)).isNull() | F.isnan(F.get("x", F.lit(j)))).alias(f"n{j}") for j in range(len(names))]
+    # one row a split and step comes out of the aggregate; only that is turned into rows by feature
+    per = steps.groupBy("split", "step").agg(F.count(F.lit(1)).alias("cells"), *empty)
+    return per.select("split", "step", "cells", F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"n{j}").alias("nulls")) for j, n in enumerate(names)])))
+
+
+def microstructure(features: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key, the share of rows in percent that keep to each bound: a positive spread, mid and
+    microprice between bid and ask, an imbalance within [-1, 1]. Rows with a null in question do
+    not keep to it. ``passed``: all shares are 100."""
+    c = F.col
+    bounds = {
+        "spread_positive_pct": c("spread") > 0, "bid_mid_ask_pct": c("mid_price").between(c("bid"), c("ask")), "bid_micro_ask_pct": c("microprice").between(c("bid"), c("ask")),
+        "depth_imbalance_valid_pct": c("depth_imbalance").between(-1.0, 1.0),
+    }
+    held = {n: F.count_if(F.coalesce(ok, F.lit(False))) for n, ok in bounds.items()}
+    rows = F.count(F.lit(1))
+    out = features.groupBy(*keys).agg(rows.alias("rows"), F.count_distinct("mid_price").alias("unique_mid_prices"), *[(k / rows * 100.0).alias(n) for n, k in held.items()], F.least(*held.values()).alias("_held"))
+    return out.withColumn("passed", c("_held") == c("rows")).drop("_held")
+
+
+def purge_gaps(sequences: DataFrame, least: int) -> DataFrame:
+    """after, before, gap_ms, passed: from the last endpoint of one part to the first window's
+    start of the next; a missing part gives a null gap, which does not pass."""
+    ends = sequences.groupBy().agg(*[f(F.when(F.col("split") == p, F.col(c))).alias(f"{p}_{c[0]}") for p in ("train", "validation", "test") for f, c in ((F.min, "start_timestamp_ms"), (F.max, "endpoint_timestamp_ms"))])
+    pairs = [F.struct(F.lit(a).alias("after"), F.lit(b).alias("before"), (F.col(f"{b}_s") - F.col(f"{a}_e")).alias("gap_ms")) for a, b in (("train", "validation"), ("validation", "test"))]
+    return ends.select(F.inline(F.array(*pairs))).withColumn("passed", F.coalesce(F.col("gap_ms") >= least, F.lit(False)))
+
+
 def gate(
     grid: DataFrame, labels: DataFrame, sequences: DataFrame, canonical: DataFrame, cross_session: int = 0, scaler_split: str = "train", scaler_valid: bool = True, length: int = 10, width: int = len(FEATURES),
     least_events=50_000, least_labels=10_000, least=(10_000, 7_000, 1_000, 1_000), least_mids=25, least_transitions=100, least_class=0.05, most_stale=0.2, most_constant=3, strict_variance=False,

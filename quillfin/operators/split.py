@@ -43,12 +43,13 @@ def ratio_split(df: DataFrame, purge: int, time: str = "grid_timestamp_ms", ties
         raise ValueError("too few rows after the first purge")
     n_val = max(least, round(max(2 * least, rest[0] - per_purge) * ratios[1] / (ratios[1] + ratios[2])))
     n_val = min(n_val, rest[0] - least)
-    while True:
-        val_end = per.where((t >= train_end + purge) & (before < rest[1] + n_val)).agg(F.max(t)).first()[0]
-        n_test = per.where(t >= val_end + purge).agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
-        if n_test >= least or n_val <= least:
-            break
-        n_val -= 1
+    # rows of the validation part may reach the last time that leaves enough rows for a test;
+    # the first time beyond says how many there are before it
+    latest = per.where(F.lit(at.n) - before >= least).agg(F.max(t)).first()[0]
+    beyond = per.where((t >= train_end + purge) & (t > latest - purge)).agg(F.min(before)).first()[0]
+    n_val = n_val if beyond is None else max(least, min(n_val, beyond - rest[1]))
+    val_end = per.where((t >= train_end + purge) & (before < rest[1] + n_val)).agg(F.max(t)).first()[0]
+    n_test = per.where(t >= val_end + purge).agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     if n_test < least:
         raise ValueError("too few rows after the second purge")
     rows = row_index(df, time, ties, per=per)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..model import CLASSES, FEATURES
+from ..model import CLASSES, FEATURES, STREAM
 from ..operators import label, scale, sequence, split
 from .base import FEATURES_SQL, LABEL_SQL, events, featured, features_sql, grid, labeled, query, with_
 
@@ -335,6 +335,59 @@ def gate_null_cells(spark, sf_dir):
     return null_cells(sequences_of(spark, sf_dir))
 
 
+@query(
+    "gate_null_features",
+    with_(
+        CELLS_SQL,
+        ", st AS (SELECT split, step, "
+        + ", ".join(FEATURES)
+        + """ FROM wx0, range(0, 10) t(step) WHERE i + 9 - step BETWEEN 10 AND c)
+SELECT split, step::INT AS step, f.feature, count(*) AS cells, count_if(f.empty) AS nulls FROM (SELECT split, step, unnest(["""
+        + ", ".join(f"{{'feature': '{f}', 'empty': {f} IS NULL}}" for f in FEATURES)
+        + "]) AS f FROM st) GROUP BY ALL",
+    ),
+)
+def gate_null_features(spark, sf_dir):
+    from ..operators.quality import null_features
+
+    return null_features(sequences_of(spark, sf_dir))
+
+
+_HELD = {"spread_positive_pct": "spread > 0", "bid_mid_ask_pct": "mid_price BETWEEN bid AND ask", "bid_micro_ask_pct": "microprice BETWEEN bid AND ask", "depth_imbalance_valid_pct": "depth_imbalance BETWEEN -1 AND 1"}
+
+
+@query(
+    "gate_microstructure",
+    with_(
+        FEATURES_SQL,
+        "SELECT market_id, asset_id, count(*) AS rows, count(DISTINCT mid_price) AS unique_mid_prices, "
+        + ", ".join(f"round(avg(coalesce({c}, false)::INT) * 100.0, 6) AS {n}" for n, c in _HELD.items())
+        + ", bool_and("
+        + " AND ".join(f"coalesce({c}, false)" for c in _HELD.values())
+        + ") AS passed FROM feat GROUP BY 1, 2",
+    ),
+)
+def gate_microstructure(spark, sf_dir):
+    """Bounds that hold in every sound book, a row a stream."""
+    from ..operators.quality import microstructure
+
+    return microstructure(featured(spark, sf_dir), STREAM).withColumns({n: F.round(n, 6) for n in _HELD})
+
+
+@query(
+    "gate_purge_gaps",
+    with_(
+        SEQUENCE_SQL,
+        f""", pg AS (SELECT max(endpoint_timestamp_ms) FILTER (split = 'train') AS t, min(start_timestamp_ms) FILTER (split = 'validation') AS v0, max(endpoint_timestamp_ms) FILTER (split = 'validation') AS v, min(start_timestamp_ms) FILTER (split = 'test') AS e0 FROM sq)
+SELECT 'train' AS after, 'validation' AS before, v0 - t AS gap_ms, v0 - t >= {PURGE} AS passed FROM pg UNION ALL SELECT 'validation', 'test', e0 - v, e0 - v >= {PURGE} FROM pg""",
+    ),
+)
+def gate_purge_gaps(spark, sf_dir):
+    from ..operators.quality import purge_gaps
+
+    return purge_gaps(sequences_of(spark, sf_dir), PURGE)
+
+
 @query(
     "gate_market_classes",
     with_(LABEL_SQL, "SELECT market_id, count(*) AS rows, round(avg((label = 'DOWN')::INT), 9) AS down, round(avg((label = 'FLAT')::INT), 9) AS flat, round(avg((label = 'UP')::INT), 9) AS up FROM labeled GROUP BY 1"),

@@ -91,8 +91,12 @@ def overwrite_parquet(df: DataFrame, path: str, *, by: list[str] | None = None,
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
-def report(df: DataFrame, path: str, kind: str) -> None:
-    """A small table as one CSV or JSON file in a folder, or a Markdown table as text."""
+def report(df: DataFrame, path: str, kind: str, most: int = 100_000) -> None:
+    """A table of at most ``most`` rows as one CSV or JSON file in a folder, or a Markdown table
+    as text. A larger one is refused with an error before anything is written: that is a table
+    for ``overwrite_parquet``."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a report has at most {most} rows")
     one = df.coalesce(1)
     if kind == "csv":
         one.write.mode("overwrite").option("header", True).csv(path)
@@ -102,20 +106,29 @@ def report(df: DataFrame, path: str, kind: str) -> None:
         line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
         head = "| " + " | ".join(df.columns) + " |\n|" + "-|" * len(df.columns)
         body = one.select(line([F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]).alias("line"))
-        body.agg(F.concat_ws("\n", F.lit(head), F.array_join(F.collect_list("line"), "\n")).alias("value")).write.mode("overwrite").text(path)  # a report is small
+        body.agg(F.concat_ws("\n", F.lit(head), F.array_join(F.collect_list("line"), "\n")).alias("value")).write.mode("overwrite").text(path)
     else:
         raise ValueError(f"no such report: {kind}")
 
 
-def decision_log(decisions: DataFrame, path: str, order: list[str]) -> DataFrame:
-    """Append decisions as JSON lines with a digest each, and return the manifest:
-    decisions, first and last of ``order[0]``, digest of all digests (in any order)."""
+def decision_log(decisions: DataFrame, path: str, order: list[str], epoch: str) -> DataFrame:
+    """Write an epoch's decisions as JSON lines, and return the manifest of what is stored:
+    epoch, decisions, first and last of ``order[0]``, digest of all lines' digests (in any order).
+
+    An epoch (a session, a batch) is a folder of its own: a retry replaces its lines instead
+    of adding them again, other epochs stay. The manifest reads the stored lines, so it cannot
+    tell of others than these, however often the plan behind ``decisions`` runs.
+    """
+    first = order[0]
+    at = f"{path.rstrip('/')}/epoch={epoch}"
     line = F.to_json(F.struct(*sorted(decisions.columns)), {"ignoreNullFields": "false"})
-    rows = decisions.select(*order, line.alias("value")).withColumn("sha256", F.sha2("value", 256))
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("append").text(path)
+    rows = decisions.select(*order, line.alias("value"))
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(at)
+    kind = decisions.schema[first].dataType
+    stored = decisions.sparkSession.read.schema("value string").text(at).select(F.sha2("value", 256).alias("sha256"), F.get_json_object("value", f"$['{first}']").cast(kind).alias("at"))
     part = lambda k: F.conv(F.substring("sha256", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")
-    return rows.agg(
-        F.count(F.lit(1)).alias("decisions"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.sha2(F.concat_ws(":", F.sum(part(0)), F.sum(part(1)), F.sum(part(2)), F.sum(part(3))), 256).alias("digest")
+    return stored.agg(
+        F.lit(epoch).alias("epoch"), F.count(F.lit(1)).alias("decisions"), F.min("at").alias("first"), F.max("at").alias("last"), F.sha2(F.concat_ws(":", F.sum(part(0)), F.sum(part(1)), F.sum(part(2)), F.sum(part(3))), 256).alias("digest")
     )
 
 

@@ -60,10 +60,15 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 10 and spark.read.json(str(tmp_path / "json")).count() == 10
     lines = [r.value for r in spark.read.text(str(tmp_path / "markdown")).collect()]
     assert lines[:2] == ["| g | t | name |", "|-|-|-|"] and len(lines) == 12
-    a = files.decision_log(d, str(tmp_path / "log"), ["t"]).first()
-    b = files.decision_log(d.repartition(3), str(tmp_path / "log2"), ["t"]).first()
+    a = files.decision_log(d, str(tmp_path / "log"), ["t"], "s1").first()
+    b = files.decision_log(d.repartition(3), str(tmp_path / "log2"), ["t"], "s1").first()
+    again = files.decision_log(d.repartition(2), str(tmp_path / "log"), ["t"], "s1").first()
+    files.decision_log(d.limit(3), str(tmp_path / "log"), ["t"], "s2")
+    assert a == again and spark.read.text(str(tmp_path / "log")).groupBy("epoch").count().orderBy("epoch").collect() == [("s1", 10), ("s2", 3)]
+    with pytest.raises(ValueError):
+        files.report(d, str(tmp_path / "large"), "csv", most=9)
     assert a == b and a.decisions == 10 and (a["first"], a["last"]) == (0, 9)
-    assert files.decision_log(d.where("t > 0"), str(tmp_path / "log3"), ["t"]).first().digest != a.digest
+    assert files.decision_log(d.where("t > 0"), str(tmp_path / "log3"), ["t"], "s1").first().digest != a.digest
     assert files.record_abort(spark, str(tmp_path / "ledger"), "s1", "DRAWDOWN", 5)
     assert not files.record_abort(spark, str(tmp_path / "ledger"), "s1", "QUOTE_AGE", 6)
     assert files.record_abort(spark, str(tmp_path / "ledger"), "s2", "QUOTE_AGE", 7) and files.ledger(spark, str(tmp_path / "ledger")).count() == 2

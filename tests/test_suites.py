@@ -224,3 +224,47 @@ def test_cohort_verdict_against_plain_figures(spark):
     bare = run(d.where("NOT is_filled")).first()
     assert (bare.filled, bare.filled_mean, bare.profit_factor, bare.max_drawdown, bare.filled_hurdle) == (0, 0.0, 0.0, 0.0, False)
     assert run(d.limit(0)).first() is None
+
+
+def test_ratio_split_with_a_sparse_end(spark):
+    """Cuts by stepping back one row at a time, as a plain loop would."""
+    import math
+
+    rng = random.Random(2)
+    for case in range(4):
+        times = sorted(rng.choices(range(0, 2_000, 3), k=200) + [rng.randint(2_000, 9_000) for _ in range(rng.choice([0, 25, 60]))])
+        purge, least, n = 120, 10, len(times)
+        lo, hi = times[0], times[-1]
+        per_purge = max(1, math.ceil(purge / max(1.0, (hi - lo) / (n - 1))))
+        allowed = n - (2 * least + 2 * per_purge)
+        n_train = max(least, round(max(3 * least, n - 2 * per_purge) * 0.7))
+        n_train = min(n_train, allowed) if allowed >= least else n_train
+        end = times[n_train - 1]
+        rest = [k for k, t in enumerate(times) if t >= end + purge]
+        n_val = min(max(least, round(max(2 * least, len(rest) - per_purge) * 0.5)), len(rest) - least)
+        while True:
+            val_end = max(t for k, t in enumerate(times) if t >= end + purge and times.index(t) < rest[0] + n_val)
+            n_test = sum(t >= val_end + purge for t in times)
+            if n_test >= least or n_val <= least:
+                break
+            n_val -= 1
+        d = spark.createDataFrame([(t, "m", "a", k) for k, t in enumerate(times)], "grid_timestamp_ms long, market_id string, asset_id string, k long")
+        if n_test < least:
+            try:
+                split.ratio_split(d, purge, least=least)
+                raise AssertionError("too few rows for a test were let through")
+            except ValueError:
+                continue
+        got = {r.k: r.split for r in split.ratio_split(d, purge, ties=["k"], least=least).collect()}
+        want = {k: "train" if k < n_train else "validation" if t >= end + purge and k < rest[0] + n_val else "test" if t >= val_end + purge else "purged" for k, t in enumerate(times)}
+        assert got == want
+
+
+def test_rows_before_a_time_over_many_spans(spark, monkeypatch):
+    from quillfin.operators import running
+
+    monkeypatch.setattr(running, "SPAN", 10)
+    rng = random.Random(3)
+    times = [rng.randint(-50, 50) for _ in range(300)] + [None, None]
+    got = {r.t: (r._n, r._before) for r in running.per_time(spark.createDataFrame([(t,) for t in times], "t long"), "t").collect()}
+    assert got == {t: (times.count(t), 0 if t is None else 2 + sum(x is not None and x < t for x in times)) for t in set(times)}
