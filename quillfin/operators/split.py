@@ -41,7 +41,7 @@ def ratio_split(df: DataFrame, purge: int, time: str = "grid_timestamp_ms", ties
     rest = per.where(t >= train_end + purge).agg(F.coalesce(F.sum(n), F.lit(0)), F.min(before)).first()
     if rest[0] < 2 * least:
         raise ValueError("too few rows after the first purge")
-    n_val = max(least, round(max(2 * least, rest[0] - per_purge) * ratios[1] / (ratios[1] + ratios[2])))
+    n_val = max(least, round(max(2 * least, rest[0] - per_purge) * (ratios[1] / (ratios[1] + ratios[2]))))
     n_val = min(n_val, rest[0] - least)
     # rows of the validation part may reach the last time that leaves enough rows for a test;
     # the first time beyond says how many there are before it

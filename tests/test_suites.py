@@ -268,3 +268,12 @@ def test_rows_before_a_time_over_many_spans(spark, monkeypatch):
     times = [rng.randint(-50, 50) for _ in range(300)] + [None, None]
     got = {r.t: (r._n, r._before) for r in running.per_time(spark.createDataFrame([(t,) for t in times], "t long"), "t").collect()}
     assert got == {t: (times.count(t), 0 if t is None else 2 + sum(x is not None and x < t for x in times)) for t in set(times)}
+
+
+def test_ratio_split_rounds_the_share_of_the_rest(spark):
+    """The validation's share of the rest is one number, 0.5: half of 31 rows is 16, not 15."""
+    from pyspark.sql import functions as F
+
+    d = spark.range(103).select(F.col("id").alias("grid_timestamp_ms"), F.lit("m").alias("market_id"), F.lit("a").alias("asset_id"))
+    parts = {r.split: r["count"] for r in split.ratio_split(d, 2).groupBy("split").count().collect()}
+    assert (parts["train"], parts["validation"]) == (69, 16)
