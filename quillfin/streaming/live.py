@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -116,22 +118,81 @@ def live_book(events: DataFrame, slot_ms: int = 300_000, watchdog_ms: int = 5000
     return rows.withColumn("blackout", F.col("slot") + slot_ms - F.col("timestamp_ms") <= blackout_ms)
 
 
+_ASKED = ["is_quote", "micros", "ts", "seq", "bid", "ask", "position_id", "side"]
+_SETTLED = "position_id string, exit_price double, settled_ms long, outcome string"
+#: Stands for a missing number where state and pandas have only plain longs; it sorts first, as null does.
+_NONE = -(2**63)
+
+
+class _Settle(StatefulProcessor):
+    """Quotes and due positions of a span of ``width``, and the quotes of the span after it.
+
+    A position waits no longer than a span, so its quotes are the last ones of its own span from
+    its due time on and the first ones of the next up to its end: the least quote of either
+    is a running minimum, and no position is paired with the quotes it might take.
+    """
+
+    def __init__(self, wait: int, width: int):
+        self.wait, self.width = wait, width
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "rows binary")  # a batch's rows as an Arrow stream
+
+    def handleInputRows(self, key, rows, timerValues):
+        if not self.held.exists():
+            self.handle.registerTimer(-(-(int(key[2]) + 2) * self.width // 1000))
+        for f in rows:
+            batch, sink = pa.RecordBatch.from_pandas(f[_ASKED], preserve_index=False), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            self.held.appendValue((sink.getvalue().to_pybytes(),))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        f = pd.concat([pa.ipc.open_stream(bytes(x[0])).read_pandas() for x in self.held.get()])
+        self.held.clear()
+        p = f[~f["is_quote"]].drop_duplicates(["micros", "position_id", "side"])
+        q = f[f["is_quote"]].sort_values(["ts", "seq", "bid", "ask"], na_position="first")
+        n, end, due = len(q), (int(key[2]) + 1) * self.width, p["micros"].to_numpy()
+        rank = np.argsort(q["micros"].to_numpy(), kind="stable")  # places among the quotes by time of receipt
+        at = q["micros"].to_numpy()[rank]
+        cut = np.searchsorted(at, end)
+        own = np.append(np.minimum.accumulate(rank[:cut][::-1])[::-1], n)
+        following = np.append(n, np.minimum.accumulate(rank[cut:]))
+        best = np.minimum(own[np.searchsorted(at[:cut], due)], following[np.searchsorted(at[cut:], due + self.wait, "right")])
+        took = q[["ts", "bid", "ask"]].reset_index(drop=True).astype({"ts": "Int64"}).reindex(best)
+        price = np.where(p["side"] == "BUY", took["bid"], took["ask"])
+        outcome = np.where(best < n, "SETTLED", "FORCED_INCOMPLETE")
+        yield pd.DataFrame({"position_id": p["position_id"].to_numpy(), "exit_price": price, "settled_ms": took["ts"].array, "outcome": outcome})
+
+    def close(self) -> None:
+        pass
+
+
 def settle_stream(positions: DataFrame, quotes: DataFrame, hold_ms: int = 5000, wait_ms: int = 2000, delay: str = "10 seconds") -> DataFrame:
     """Open positions settled by the first quote in time, as streams (append mode).
 
     positions: position_id, market_id, asset_id, side, ``opened_at``; quotes: market_id,
     asset_id, timestamp_ms, sequence_id, bid, ask, ``at``. A position waits for the first quote from
     ``hold_ms`` to ``hold_ms + wait_ms`` after it was opened; when the watermark shows that
-    none will come, it leaves as FORCED_INCOMPLETE. Both sides' state ends with that range.
+    none will come, it leaves as FORCED_INCOMPLETE. State is held a stream and span of ``wait_ms``
+    and ends with the next span, so a row meets the rows of two spans at most, a quote in two
+    of them: work grows with the rows, not with the quotes a position could take.
     Columns as of the batch operator: position_id, exit_price, settled_ms, outcome.
     """
-    after = lambda ms: F.expr(f"INTERVAL {ms} MILLISECONDS")
-    p = positions.select("position_id", "market_id", "asset_id", "side", "opened_at").withWatermark("opened_at", delay)
-    q = quotes.select(F.col("market_id").alias("_m"), F.col("asset_id").alias("_a"), "at", F.struct("timestamp_ms", "sequence_id", "bid", "ask").alias("quote")).withWatermark("at", delay)
-    due = F.col("opened_at") + after(hold_ms)
-    within = (F.col("market_id") == F.col("_m")) & (F.col("asset_id") == F.col("_a")) & (F.col("at") >= due) & (F.col("at") <= F.col("opened_at") + after(hold_ms + wait_ms))
-    met = p.join(q, within, "leftOuter").drop("at", "_m", "_a")
-    first = met.groupBy("opened_at", "position_id", "side").agg(F.min("quote").alias("quote"))
-    price = F.when(F.col("side") == "BUY", F.col("quote.bid")).otherwise(F.col("quote.ask"))
-    outcome = F.when(F.col("quote").isNull(), "FORCED_INCOMPLETE").otherwise("SETTLED")
-    return first.select("position_id", price.alias("exit_price"), F.col("quote.timestamp_ms").alias("settled_ms"), outcome.alias("outcome"))
+    with_rocks(positions.sparkSession)
+    wait = wait_ms * 1000
+    width, kind = max(wait, 1), positions.schema["position_id"].dataType
+    span = lambda t: ((t - F.pmod(t, F.lit(width))) / width).cast("long")
+    no_number, no_text, no_price = F.lit(_NONE), F.lit(None).cast("string"), F.lit(None).cast("double")
+    known = lambda c: F.coalesce(F.col(c), no_number).alias
+    p = positions.select("market_id", "asset_id", F.col("opened_at").alias("at"), F.col("position_id").cast("string").alias("position_id"), "side").where("at IS NOT NULL").withWatermark("at", delay)
+    due = F.unix_micros("at") + hold_ms * 1000
+    p = p.select("market_id", "asset_id", span(due).alias("span"), "at", F.lit(False).alias("is_quote"), due.alias("micros"), no_number.alias("ts"), no_number.alias("seq"), no_price.alias("bid"), no_price.alias("ask"), "position_id", "side")
+    q = quotes.where("market_id IS NOT NULL AND asset_id IS NOT NULL AND at IS NOT NULL").withWatermark("at", delay)
+    t = F.unix_micros("at")
+    spans = F.array_distinct(F.array(span(t - wait), span(t)))
+    q = q.select("market_id", "asset_id", F.explode(spans).alias("span"), "at", F.lit(True).alias("is_quote"), t.alias("micros"), known("timestamp_ms")("ts"), known("sequence_id")("seq"), "bid", "ask", no_text.alias("position_id"), no_text.alias("side"))
+    met = p.unionByName(q).groupBy("market_id", "asset_id", "span").transformWithStateInPandas(_Settle(wait, width), _SETTLED, "Append", "EventTime")
+    return met.select(F.col("position_id").cast(kind).alias("position_id"), "exit_price", F.nullif("settled_ms", no_number).alias("settled_ms"), "outcome")

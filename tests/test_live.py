@@ -182,3 +182,26 @@ def test_settlement_equals_batch(spark, tmp_path, batches):
         quotes = spark.readStream.schema(q.schema).parquet(str(tmp_path / "q")).withColumn("at", F.timestamp_millis("timestamp_ms"))
         got = run(live.settle_stream(opened, quotes, 3_600_000, 86_400_000, "0 seconds"), tmp_path / "out")
     assert sorted(got.where("position_id >= 0").collect()) == sorted(want) and len(want) > 50
+
+
+def test_settlement_pairs_no_position_with_all_its_quotes(spark, tmp_path):
+    """30,000 quotes that each of 30,000 positions could take: 9e8 pairs, which no join ends in time."""
+    n = 30_000
+    q = spark.range(n).select(F.lit("m").alias("market_id"), F.lit("a").alias("asset_id"), (10_000 + F.col("id") % 4000).alias("timestamp_ms"), F.col("id").alias("sequence_id"), (F.col("id") / 1e6).alias("bid"), F.lit(0.5).alias("ask"))
+    o = spark.range(n).select(F.col("id").alias("position_id"), F.lit("m").alias("market_id"), F.lit("a").alias("asset_id"), F.lit("BUY").alias("side"), (3_000 + F.col("id") % 8000).alias("opened_ms"))
+    q.unionByName(q.limit(1).withColumns({"timestamp_ms": F.lit(10**6).cast("long"), "market_id": F.lit("end")})).write.parquet(str(tmp_path / "q"))
+    o.unionByName(o.limit(1).withColumns({"opened_ms": F.lit(10**6).cast("long"), "market_id": F.lit(None).cast("string"), "position_id": F.lit(None).cast("long")})).write.parquet(str(tmp_path / "o"))
+    opened = spark.readStream.schema(o.schema).parquet(str(tmp_path / "o")).withColumn("opened_at", F.timestamp_millis("opened_ms"))
+    quotes = spark.readStream.schema(q.schema).parquet(str(tmp_path / "q")).withColumn("at", F.timestamp_millis("timestamp_ms"))
+    stream = live.settle_stream(opened, quotes, 5_000, 2_000, "0 seconds")
+    running = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    ended = running.awaitTermination(120)
+    running.stop()
+    assert ended
+    got = {r.position_id: (r.exit_price, r.settled_ms, r.outcome) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    for k in range(0, n, 97):
+        due = 8_000 + k % 8000
+        t = max(due, 10_000)  # a quote every millisecond from 10,000 to 13,999; due 8,000 still reaches the first
+        want = ((t - 10_000) / 1e6, t, "SETTLED") if t < 14_000 and t <= due + 2_000 else (None, None, "FORCED_INCOMPLETE")
+        assert got[k] == want, k
+    assert len(got) == n
