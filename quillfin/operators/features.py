@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.quotes import depth_imbalance, microprice, mid, ratio, spread, spread_bps
 from ..model import FEATURES, QUOTE, stream_keys
@@ -48,10 +49,30 @@ def first_generation(df: DataFrame, order: list[str], keys: list[str]) -> DataFr
     })
 
 
-def time_range_volatility(df: DataFrame, value: Column, time: str, span: int, keys: list[str], least: int = 3) -> Column:
-    """Sample deviation over (time - span, time], null below ``least`` values."""
-    w = Window.partitionBy(*keys).orderBy(time).rangeBetween(-(span - 1), 0)
-    return F.when(F.count(value).over(w) >= least, F.stddev_samp(value).over(w))
+def time_range_volatility(df: DataFrame, value: Column, time: str, span: int, keys: list[str], least: int = 3) -> DataFrame:
+    """Adds values (how many over (time - span, time]) and volatility, their sample deviation,
+    null below ``least`` values.
+
+    A range is the end of one bucket of ``span`` and the start of the next. Both are running
+    counts, means and squares from the buckets' common bound outwards, so work does not grow
+    with the rows in a range; the two are put together without differences of sums.
+    """
+    moments = lambda w, name: {f"_n{name}": F.count("_v").over(w), f"_m{name}": F.coalesce(F.avg("_v").over(w), F.lit(0.0)), f"_q{name}": F.coalesce(F.var_pop("_v").over(w), F.lit(0.0))}
+    t = F.col(time)
+    rows = df.withColumns({"_v": value, "_b": (t - F.pmod(t, F.lit(span))) / span})
+    start = Window.partitionBy(*keys, "_b").orderBy(time).rangeBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns(moments(start, 1))
+    held = rows.select(*keys, "_b", t.alias("_t"), F.lit(False).alias("_asks"), "_v", F.lit(None).cast(T.StructType(rows.schema.fields)).alias("_row"))
+    asks = rows.select(*keys, (F.col("_b") - 1).alias("_b"), (t - span + 1).alias("_t"), F.lit(True).alias("_asks"), F.lit(None).cast("double").alias("_v"), F.struct(*rows.columns).alias("_row"))
+    # from the bucket's end backwards; a row at the very start of a range comes before the question
+    end = Window.partitionBy(*keys, "_b").orderBy(F.col("_t").desc(), "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    both = held.unionByName(asks).withColumns(moments(end, 2)).where("_asks")
+    none = F.col("_t").isNull()  # rows without a time are each other's range
+    both = both.select("_row.*", *[F.when(none, F.lit(0)).otherwise(F.col(c)).alias(c) for c in ("_n2", "_m2", "_q2")])
+    n1, n2, n = F.col("_n1"), F.col("_n2"), F.col("_n1") + F.col("_n2")
+    apart = F.col("_m1") - F.col("_m2")
+    squares = n1 * F.col("_q1") + n2 * F.col("_q2") + apart * apart * n1 * n2 / F.nullif(n, F.lit(0))
+    return both.select(*df.columns, n.alias("values"), F.when((n >= least) & (n > 1), F.sqrt(squares / F.nullif(n - 1, F.lit(0)))).alias("volatility"))
 
 
 def order_flow(df: DataFrame, step: int, time: str = "grid_timestamp_ms") -> DataFrame:

@@ -265,9 +265,9 @@ def feat_time_range_vol(spark, sf_dir):
     q = events(spark, sf_dir)
     keys = ["market_id", "asset_id"]
     w = Window.partitionBy(*keys).orderBy("timestamp_ms", "sequence_id")
-    span = Window.partitionBy(*keys).orderBy("timestamp_ms").rangeBetween(-(12 * HOURS.step - 1), 0)
-    r = q.withColumn("r", ratio(mid(), F.lag(mid()).over(w)) - 1)
-    return r.select(*keys, "sequence_id", F.count("r").over(span).alias("returns"), F.round(features.time_range_volatility(r, F.col("r"), "timestamp_ms", 12 * HOURS.step, keys), 7).alias("volatility"))
+    r = q.select(*keys, "sequence_id", "timestamp_ms", (ratio(mid(), F.lag(mid()).over(w)) - 1).alias("r"))
+    out = features.time_range_volatility(r, F.col("r"), "timestamp_ms", 12 * HOURS.step, keys)
+    return out.select(*keys, "sequence_id", F.col("values").alias("returns"), F.round("volatility", 7).alias("volatility"))
 
 
 _G = "OVER (PARTITION BY market_id, asset_id ORDER BY grid_timestamp_ms)"

@@ -234,3 +234,23 @@ def test_quantiles_are_exact_in_rounds(spark, few, bins):
     for f in columns:
         long = np.sort(np.concatenate([np.full(w, v) for g, v, w in rows if g == f]))
         assert got[f] == pytest.approx([np.quantile(long, q) for q in (0.25, 0.5, 0.75)], rel=1e-15, abs=1e-300)
+
+
+def test_time_range_volatility_in_a_dense_stream(spark):
+    """40,000 rows within one range: a frame laid anew for every row would visit 8e8; also ties, nulls and both ends."""
+    import time
+
+    t = F.when(F.col("id") < 40_000, F.floor(F.col("id") / 4).cast("long")).otherwise(-50_000 + (F.col("id") - 40_000) * 7)
+    d = spark.range(40_300).select(F.lit("m").alias("k"), F.when(F.col("id") % 1009 != 0, t).alias("t"), F.when(F.col("id") % 5 != 0, F.sin("id") + 1000).alias("v"))
+    d.persist().count()
+    began = time.time()
+    got = features.time_range_volatility(d, F.col("v"), "t", 12_000, ["k"]).collect()
+    assert time.time() - began < 60
+    rows = [(r.t, r.v) for r in d.collect()]
+    assert sorted((str(r.t), str(r.v)) for r in got) == sorted((str(t), str(v)) for t, v in rows)
+    at, v = (np.array([np.nan if r[k] is None else r[k] for r in rows]) for k in (0, 1))
+    for r in got[::173] + [x for x in got if x.t is None][:2]:
+        own = np.isnan(at) if r.t is None else (at > r.t - 12_000) & (at <= r.t)
+        x = v[own & ~np.isnan(v)]
+        assert r["values"] == len(x)
+        assert (r.volatility is None) if len(x) < 3 else np.isclose(r.volatility, x.std(ddof=1), rtol=1e-9)
