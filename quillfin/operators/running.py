@@ -6,6 +6,9 @@ blocks, pass through one ordered window. Rows then add what came before their bl
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,21 @@ def row_index(df: DataFrame, time: str, ties: list[str], name: str = "row_index"
     return df.join(before, time).withColumn(name, F.col("_before") + F.row_number().over(own) - 1).drop("_before")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], block: Column, name: str = "n") -> DataFrame:
+    """Adds a row's number (from 1) along ``order`` within its keys.
+
+    block must not decrease along ``order``: rows are numbered by block, blocks are counted and
+    summed up in order, so one key's rows are no one task.
+    """
+    rows = df.withColumn("_block", block)
+    w = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    base = per.select(*[F.col(c).alias(f"_of_{c}") for c in (*keys, "_block")], F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base"))
+    on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, "_block")])
+    own = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order))
+    return rows.join(base, on).select(*df.columns, (F.col("_base") + own).cast("long").alias(name))
+
+
 def running(df: DataFrame, value: Column, order: list[str], block: Column, keys: list[str] | None = None) -> DataFrame:
     """Adds cum (running sum), peak (running maximum of cum) and drawdown = peak - cum.
 

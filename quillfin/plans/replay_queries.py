@@ -8,22 +8,22 @@ from pyspark.sql import functions as F
 from ..functions.quotes import book_imbalance, mid
 from ..model import FEATURES, HOURS, STREAM
 from ..operators import execution, label, learn, split
+from ..operators.running import SPAN, numbered
 from ..sources import jsonl
 from .base import GRID_SQL, LABEL_SQL, QUOTES_SQL, events, featured, grid, labeled, query, table, with_
 
 
 def raw_records(spark, sf_dir):
     """The quotes as raw feed records: a snapshot every 50 events of a market, else changes."""
-    q = events(spark, sf_dir)
-    w = Window.partitionBy("market_id").orderBy("timestamp_ms", "sequence_id")
+    q = numbered(events(spark, sf_dir), ["market_id"], ["timestamp_ms", "sequence_id"], F.floor(F.col("timestamp_ms") / SPAN), "_line")
     level = lambda p, s: F.struct(F.col(p).cast("string").alias("price"), F.col(s).cast("string").alias("size"))
     ts = F.col("timestamp_ms").cast("string").alias("timestamp")
     book = F.to_json(F.struct(F.lit("book").alias("event_type"), F.col("market_id").alias("market"), "asset_id", ts, F.array(level("bid", "bid_size")).alias("bids"), F.array(level("ask", "ask_size")).alias("asks")))
     change = lambda p, s, side: F.struct("asset_id", F.col(p).cast("string").alias("price"), F.when(F.col("sequence_id") % 7 == 0, "0").otherwise(F.col(s).cast("string")).alias("size"), F.lit(side).alias("side"))
     delta = F.to_json(F.struct(F.lit("price_change").alias("event_type"), F.col("market_id").alias("market"), ts, F.array(change("bid", "bid_size", "BUY"), change("ask", "ask_size", "SELL")).alias("price_changes")))
-    n = F.row_number().over(w)
+    n = F.col("_line")
     return q.select(
-        F.col("market_id").alias("source_file"), n.cast("long").alias("source_line"), F.lit(None).cast("string").alias("outer_asset_id"), F.lit(None).cast("string").alias("problem"),
+        F.col("market_id").alias("source_file"), n.alias("source_line"), F.lit(None).cast("string").alias("outer_asset_id"), F.lit(None).cast("string").alias("problem"),
         F.lit(0).cast("long").alias("source_record_idx"), F.when((n - 1) % 50 < 2, book).otherwise(delta).alias("event"),
     )
 

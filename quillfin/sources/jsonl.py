@@ -164,15 +164,18 @@ def normalize(
 
     Book state is a true fold in order of line, record and change; the book changes even
     when the quote it gives is rejected. An asset's fold starts anew at each of its
-    snapshots, so a file is folded by many tasks, a segment each; without snapshots
-    an asset of a file is one segment. A target asset hides other assets' rows: of changes
+    snapshots, so a file is folded by many tasks, whole segments each, one after the other as
+    their sorted rows come along and with one book in memory; without snapshots an asset
+    of a file is one segment. A target asset hides other assets' rows: of changes
     before the book is touched, of snapshots after.
     """
 
-    def fold(pdf):
-        book, out = Book(), []
-        route = pdf["route"].iloc[0]
-        for row in pdf.sort_values(["source_line", "source_record_idx"], kind="stable").itertuples(index=False):
+    def fold(pdf, book, at):
+        out = []
+        for row in pdf.itertuples(index=False):
+            route, place = row.route, (row.source_file, row.route, row.segment)
+            if place != at:
+                book, at = Book(), place
             line, idx, file = int(row.source_line), int(row.source_record_idx), row.source_file
 
             def put(ts, seq, market, asset, bid, ask, bs, as_, change, reason=None):
@@ -240,9 +243,17 @@ def normalize(
         import pandas as pd
 
         frame = pd.DataFrame(out, columns=NORMALIZED.names)
-        return frame.astype({c: "Int64" for c in ("timestamp_ms", "sequence_id", "source_line", "source_record_idx", "change_idx")})
+        return frame.astype({c: "Int64" for c in ("timestamp_ms", "sequence_id", "source_line", "source_record_idx", "change_idx")}), book, at
 
-    return segments(record_rows, line_block).groupBy("source_file", "route", "segment").applyInPandas(fold, NORMALIZED)
+    def folds(frames):
+        book, at = Book(), None
+        for pdf in frames:
+            out, book, at = fold(pdf, book, at)
+            yield out
+
+    place = ["source_file", "route", "segment"]
+    rows = segments(record_rows, line_block).select(*place, "source_line", "source_record_idx", "outer_asset_id", "problem", "event")
+    return rows.repartition(*place).sortWithinPartitions(*place, "source_line", "source_record_idx").mapInPandas(folds, NORMALIZED)
 
 
 def canonical(normalized: DataFrame) -> DataFrame:

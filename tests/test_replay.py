@@ -1,6 +1,7 @@
 """Splittable line numbers and book replay by segments against plain code over whole files."""
 
 import json
+import random
 from collections import Counter, defaultdict
 
 from conftest import SF
@@ -86,3 +87,28 @@ def test_segments_of_odd_records(spark):
             (3, 2, None, None, None, "MISSING_ASSET_ID"), (4, 0, "B", 0.5, 0.6, None), (5, 0, None, None, None, "NON_QUOTE_EVENT"), (6, 0, "B", 0.5, 0.55, None),
             (6, 1, None, None, None, "INVALID_PRICE"), (7, 0, None, None, None, "EMPTY_RECORD"),
         ]
+
+
+def test_numbered_over_blocks(spark):
+    from quillfin.operators.running import numbered
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(40)]), k) for k in range(500)]
+    d = spark.createDataFrame(rows, "g string, t long, k long")
+    got = {r.k: r.n for r in numbered(d, ["g"], ["t", "k"], F.floor(F.col("t") / 7)).collect()}
+    key = lambda t, k: (t is not None, t or 0, k)
+    assert got == {k: 1 + sum(g2 == g and key(t2, k2) < key(t, k) for g2, t2, k2 in rows) for g, t, k in rows}
+
+
+def test_folds_run_on_over_batches_of_rows(spark):
+    """Books are kept from one batch of sorted rows to the next and no segment is a group of its own."""
+    from quillfin.plans.replay_queries import raw_records
+
+    raw = raw_records(spark, SF)
+    whole = sorted(map(str, jsonl.normalize(raw).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(str, jsonl.normalize(raw).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in jsonl.normalize(raw)._jdf.queryExecution().toString()
