@@ -90,9 +90,9 @@ def raw_file_audit(spark, sf_dir):
     """A file a market and day; every 97th line of a market is cut, every third day lacks its tokens."""
     from .replay_queries import raw_records
 
-    ms = F.get_json_object("event", "$.timestamp").cast("long")
-    file = F.concat(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd"), F.lit("/"), "source_file", F.lit(".jsonl"))
+    ms = F.col("timestamp_ms")
+    file = lambda market: F.concat(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd"), F.lit("/"), market, F.lit(".jsonl")).alias("source_file")
     whole = F.concat(F.lit('{"event":'), "event", F.lit("}"))
-    lines = raw_records(spark, sf_dir).select(file.alias("source_file"), F.floor(ms / _DAY).alias("day"), "source_line", F.when(F.col("source_line") % 97 == 0, F.substring(whole, 1, 20)).otherwise(whole).alias("value"))
-    tokens = lines.where(F.col("day") % 3 != 0).select("source_file").distinct().select("source_file", F.lit("UP").alias("up_token"), F.lit("DOWN").alias("down_token"))
+    lines = raw_records(spark, sf_dir).select(file("source_file"), "source_line", F.when(F.col("source_line") % 97 == 0, F.substring(whole, 1, 20)).otherwise(whole).alias("value"))
+    tokens = events(spark, sf_dir).where(F.floor(ms / _DAY) % 3 != 0).select(file("market_id")).distinct().select("source_file", F.lit("UP").alias("up_token"), F.lit("DOWN").alias("down_token"))
     return audit.audit(lines, tokens, 72_000_000, 18_000_000).drop("event_types", "markets")

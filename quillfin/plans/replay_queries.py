@@ -24,7 +24,7 @@ def raw_records(spark, sf_dir):
     n = F.col("_line")
     return q.select(
         F.col("market_id").alias("source_file"), n.alias("source_line"), F.lit(None).cast("string").alias("outer_asset_id"), F.lit(None).cast("string").alias("problem"),
-        F.lit(0).cast("long").alias("source_record_idx"), F.when((n - 1) % 50 < 2, book).otherwise(delta).alias("event"),
+        F.lit(0).cast("long").alias("source_record_idx"), F.when((n - 1) % 50 < 2, book).otherwise(delta).alias("event"), "timestamp_ms",
     )
 
 

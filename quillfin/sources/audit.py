@@ -40,28 +40,33 @@ def audit(lines: DataFrame, tokens: DataFrame, complete_ms: int = 200_000, parti
         F.unix_millis(F.try_to_timestamp("r.received_at")).alias("received"),
         F.array_distinct(F.array_compact(F.concat(F.array("r.asset_id", e["asset_id"]), F.when(e["event_type"] == "price_change", F.coalesce(e["price_changes"]["asset_id"], F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))))).alias("assets"),
     )
-    at, quote = F.col("source_line"), F.col("kind").isin("book", "price_change")
-    first_last = [F.min_by("received", F.when(F.col("received").isNotNull(), at)), F.max_by("received", F.when(F.col("received").isNotNull(), at))]
-    per = rows.groupBy("source_file").agg(
-        F.count(F.lit(1)).alias("lines"), F.count_if(~F.coalesce("sound", F.lit(False))).alias("malformed"), F.count_if(F.coalesce(quote, F.lit(False))).alias("quotes"), F.array_sort(F.collect_set("kind")).alias("event_types"),
-        F.count_distinct("market").alias("markets"), F.min("ts").alias("first_ms"), F.max("ts").alias("last_ms"), (first_last[1] - first_last[0]).alias("_received_ms"),
+    at, quote, got = F.col("source_line"), F.coalesce(F.col("kind").isin("book", "price_change"), F.lit(False)), F.col("received")
+    before = F.last("ts", True).over(Window.partitionBy("source_file", "b").orderBy("source_line").rowsBetween(Window.unboundedPreceding, -1))
+    receipt, timed = F.when(got.isNotNull(), F.struct(at.alias("at"), got.alias("ms"))), F.when(F.col("ts").isNotNull(), at)
+    rows = rows.withColumn("b", F.floor(at / block)).withColumn("gap", F.col("ts") - before)
+    # one pass over the lines; what is asked of a file is asked of its blocks
+    blocks = rows.groupBy("source_file", "b").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(~F.coalesce("sound", F.lit(False))).alias("malformed"), F.count_if(quote).alias("quotes"), F.collect_set("kind").alias("kinds"), F.collect_set("market").alias("markets"),
+        F.array_distinct(F.flatten(F.collect_set("assets"))).alias("assets"), F.min("ts").alias("first_ms"), F.max("ts").alias("last_ms"), F.min(receipt).alias("first_got"), F.max(receipt).alias("last_got"),
+        F.max("gap").alias("gap"), F.min_by("ts", timed).alias("head"), F.max_by("ts", timed).alias("tail"),
+    ).persist()
+    along = Window.partitionBy("source_file").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    joint = F.col("head") - F.last("tail", True).over(along)
+    per = blocks.withColumn("gap", F.greatest("gap", joint)).groupBy("source_file").agg(
+        *[F.sum(c).alias(c) for c in ("lines", "malformed", "quotes")], F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("event_types"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"),
+        (F.max("last_got")["ms"] - F.min("first_got")["ms"]).alias("_received_ms"), F.max("gap").alias("gap"),
     )
+    markets = blocks.select("source_file", F.explode("markets").alias("market")).distinct().groupBy("source_file").agg(F.count(F.lit(1)).alias("markets"))
 
-    timed = rows.where("ts IS NOT NULL").select("source_file", F.floor(at / block).alias("b"), "source_line", "ts")
-    step = timed.withColumn("gap", F.col("ts") - F.lag("ts").over(Window.partitionBy("source_file", "b").orderBy("source_line")))
-    ends = step.groupBy("source_file", "b").agg(F.max("gap").alias("gap"), F.min_by("ts", "source_line").alias("head"), F.max_by("ts", "source_line").alias("tail"))
-    joint = F.col("head") - F.lag("tail").over(Window.partitionBy("source_file").orderBy("b"))
-    gaps = ends.select("source_file", F.greatest("gap", joint).alias("gap")).groupBy("source_file").agg(F.max("gap").alias("gap"))
-
-    held = rows.select("source_file", F.explode("assets").alias("asset")).distinct().join(tokens, "source_file", "left")
+    held = blocks.select("source_file", F.explode("assets").alias("asset")).distinct().join(tokens, "source_file", "left")
     held = held.groupBy("source_file").agg(F.count(F.lit(1)).alias("assets"), *[F.coalesce(F.bool_or(F.col("asset") == F.col(f"{s}_token")), F.lit(False)).alias(f"{s}_represented") for s in ("up", "down")])
-    out = per.join(gaps, "source_file", "left").join(held, "source_file", "left")
+    out = per.join(markets, "source_file", "left").join(held, "source_file", "left")
     no = F.lit(False)
     both = F.coalesce("up_represented", no) & F.coalesce("down_represented", no)
     lasts = F.coalesce(F.col("last_ms") - F.col("first_ms"), "_received_ms", F.lit(0))
     # fixed values: the classes' names
     kind = F.when(F.col("quotes") == 0, "DEGENERATE_EMPTY").when(~both, "ONE_SIDED_OR_INCOMPLETE").when(lasts >= complete_ms, "COMPLETE").when(lasts >= partial_ms, "TRUNCATED").otherwise("MINIMAL_TRUNCATED")
     out = out.withColumns({"slug": slug(F.col("source_file")), "duration_ms": lasts, "max_gap_ms": F.greatest(F.coalesce("gap", F.lit(0)), F.lit(0)), "classification": kind, "usable": kind.isin("COMPLETE", "TRUNCATED")})
-    out = out.withColumns({c: F.coalesce(c, F.lit(d)) for c, d in (("assets", 0), ("up_represented", False), ("down_represented", False))})
+    out = out.withColumns({c: F.coalesce(c, F.lit(d)) for c, d in (("markets", 0), ("assets", 0), ("up_represented", False), ("down_represented", False))})
     out = out.withColumn("files_of_slug", F.count(F.lit(1)).over(Window.partitionBy("slug")))
     return out.select("source_file", "slug", "files_of_slug", "lines", "malformed", "quotes", "event_types", "markets", "assets", "up_represented", "down_represented", "first_ms", "last_ms", "duration_ms", "max_gap_ms", "classification", "usable")

@@ -277,3 +277,32 @@ def test_ratio_split_rounds_the_share_of_the_rest(spark):
     d = spark.range(103).select(F.col("id").alias("grid_timestamp_ms"), F.lit("m").alias("market_id"), F.lit("a").alias("asset_id"))
     parts = {r.split: r["count"] for r in split.ratio_split(d, 2).groupBy("split").count().collect()}
     assert (parts["train"], parts["validation"]) == (69, 16)
+
+
+def test_audit_reads_lines_once_and_knows_no_blocks(spark):
+    """Odd files give the same whatever the block, and every line is looked at once."""
+    import json
+
+    from pyspark.sql import functions as F
+
+    from quillfin.sources import audit
+
+    rng, rows = random.Random(8), []
+    for f in ("d/a.jsonl", "e/a.jsonl", "e/b.jsonl"):
+        for k in range(1, 41):
+            e = {"event_type": rng.choice(["book", "price_change", "other"]), "market": rng.choice("mn"), "asset_id": rng.choice(["u", "d", None])}
+            e |= {} if rng.random() < 0.4 else {"timestamp": str(rng.randint(0, 10**6))}
+            rows.append((f, k, rng.choice([json.dumps({"event": e, "received_at": f"2026-01-01T00:00:{k:02d}Z"}), "{", " ", None]) if k % 4 == 0 or f != "e/b.jsonl" else "{"))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def looked_at(v):
+        seen.add(1)
+        return v
+
+    lines = spark.createDataFrame(rows, "source_file string, source_line long, value string")
+    tokens = spark.createDataFrame([("d/a.jsonl", "u", "d")], "source_file string, up_token string, down_token string")
+    want = sorted(map(str, audit.audit(lines, tokens, block=1000).collect()))
+    assert sorted(map(str, audit.audit(lines, tokens, block=3).collect())) == want and len(want) == 3
+    audit.audit(lines.withColumn("value", looked_at("value")), tokens).collect()
+    assert seen.value == len(rows)
