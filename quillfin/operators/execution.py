@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -170,26 +171,30 @@ def backtest(df: DataFrame, time: list[str], keys: list[str], price: str, signal
 
 
 def backtest_exact(df: DataFrame, time: list[str], keys: list[str], price: str, signal: str, cash: float, size: float, fee_bps: float = 10.0, slip_bps: float = 5.0) -> DataFrame:
-    """The same as a fold that checks the cash before each purchase (a stream a group)."""
+    """The same as a fold that checks the cash before each purchase. A stream's rows are sorted
+    and folded as they come along, so no stream is in memory as a whole."""
     out_type = T.StructType([df.schema[k] for k in (*keys, *time)]).add("cash", "double").add("position", "double").add("equity", "double")
 
-    def run(pdf):
-        pdf = pdf.sort_values(time, kind="stable")
-        money, held, rows = cash, 0.0, []
-        for p, s in zip(pdf[price].tolist(), pdf[signal].tolist()):
-            if s == "UP" and held == 0:
-                qty, at = size / p, p * (1 + slip_bps / 10000.0)
-                cost = qty * at * (1 + fee_bps / 10000.0)
-                if cost <= money:
-                    money, held = money - cost, qty
-            elif s == "DOWN" and held > 0:
-                money, held = money + held * p * (1 - slip_bps / 10000.0) * (1 - fee_bps / 10000.0), 0.0
-            rows.append((money, held, money + held * p))
-        out = pdf[[*keys, *time]].copy()
-        out[["cash", "position", "equity"]] = rows
-        return out
-
-    return df.select(*keys, *time, price, signal).groupBy(*keys).applyInPandas(run, out_type)
+    def run(frames):
+        at = None
+        for pdf in frames:
+            rows, streams = [], list(zip(*[pdf[k].astype(object).where(pdf[k].notna(), None) for k in keys]))
+            for stream, p, s in zip(streams, pdf[price].tolist(), pdf[signal].tolist()):
+                if stream != at:
+                    at, money, held = stream, cash, 0.0
+                if s == "UP" and held == 0:
+                    qty, paid = size / p, p * (1 + slip_bps / 10000.0)
+                    cost = qty * paid * (1 + fee_bps / 10000.0)
+                    if cost <= money:
+                        money, held = money - cost, qty
+                elif s == "DOWN" and held > 0:
+                    money, held = money + held * p * (1 - slip_bps / 10000.0) * (1 - fee_bps / 10000.0), 0.0
+                rows.append((money, held, money + held * p))
+            out = pdf[[*keys, *time]].copy()
+            out[["cash", "position", "equity"]] = np.array(rows).reshape(-1, 3)
+            yield out
+
+    return df.select(*keys, *time, price, signal).repartition(*keys).sortWithinPartitions(*keys, *[F.asc_nulls_last(c) for c in time]).mapInPandas(run, out_type)
 
 
 def equity_metrics(df: DataFrame, time: list[str], keys: list[str]) -> DataFrame:

@@ -254,3 +254,28 @@ def test_time_range_volatility_in_a_dense_stream(spark):
         x = v[own & ~np.isnan(v)]
         assert r["values"] == len(x)
         assert (r.volatility is None) if len(x) < 3 else np.isclose(r.volatility, x.std(ddof=1), rtol=1e-9)
+
+
+def test_backtest_exact_folds_batch_by_batch(spark):
+    """A stream goes through tasks in batches of rows, never as one frame; cash, position and both orders of rows are kept."""
+    from quillfin.operators import execution
+
+    rows = [(k % 3 if k % 3 else None, (k * 37) % 101 if k % 29 else None, k, 0.5 + k % 7, ["UP", "DOWN", "FLAT", None][k * k % 4 if k % 5 else 1]) for k in range(200)]
+    d = spark.createDataFrame(rows, "g long, t long, k long, price double, signal string")
+    run = lambda: {r.k: (r.cash, r.position, r.equity) for r in execution.backtest_exact(d, ["t", "k"], ["g"], "price", "signal", 1500.0, 1000.0).collect()}
+    want = {}
+    for g in (None, 1, 2):
+        money, held = 1500.0, 0.0
+        for _, _, k, p, s in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, r[1] or 0, r[2])):
+            if s == "UP" and held == 0 and 1000.0 / p * (p * 1.0005) * 1.001 <= money:
+                money, held = money - 1000.0 / p * (p * 1.0005) * 1.001, 1000.0 / p
+            elif s == "DOWN" and held > 0:
+                money, held = money + held * p * 0.9995 * 0.999, 0.0
+            want[k] = (money, held, money + held * p)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = run()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    assert "FlatMapGroups" not in execution.backtest_exact(d, ["t", "k"], ["g"], "price", "signal", 1500.0, 1000.0)._jdf.queryExecution().toString()
