@@ -306,3 +306,21 @@ def test_audit_reads_lines_once_and_knows_no_blocks(spark):
     assert sorted(map(str, audit.audit(lines, tokens, block=3).collect())) == want and len(want) == 3
     audit.audit(lines.withColumn("value", looked_at("value")), tokens).collect()
     assert seen.value == len(rows)
+
+
+def test_baselines_make_their_rows_once(spark):
+    from pyspark.sql import functions as F
+
+    from quillfin.operators import learn
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(x):
+        made.add(1)
+        return float(x)
+
+    d = spark.range(120).select("id", costly(F.sin("id")).alias("a"), F.cos("id").alias("b"), (F.col("id") % 3).alias("y"))
+    got = {r.model: r.rows for r in learn.fit_and_score(d.where("id < 80"), d.where("id >= 80"), ["a", "b"]).collect()}
+    assert got == {"majority": 40, "logistic": 40, "perceptron": 40}
+    assert made.value == 240  # the filter on nulls and the column ask once each, no model asks again
