@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,7 +106,7 @@ def cohort_verdict(ledger: DataFrame, order: list[str], block: Column, protocol:
     return one.withColumn("complete", both(complete)).withColumn("protocol_accepted", both([*hurdles, "complete"]))
 
 
-def first_fills(orders: DataFrame, quotes: DataFrame, timeout: int, keys: list[str], run: int = 64) -> DataFrame:
+def first_fills(orders: DataFrame, quotes: DataFrame, timeout: int, keys: list[str], run: int = 4) -> DataFrame:
     """(order_id, fill_timestamp_ms) of the orders that a later quote within ``timeout`` fills.
 
     ``orders``: keys, order_id, timestamp_ms, side, limit_price; ``quotes``: keys,
@@ -112,32 +114,53 @@ def first_fills(orders: DataFrame, quotes: DataFrame, timeout: int, keys: list[s
     below the limit and a SELL if its ask is above it, by which it either trades through or
     retreats; other quotes fill nothing, nor do quotes at the order's own time.
 
-    A search by first passage: the quotes of a stream and timeout's bucket are laid in runs of
-    ``run`` quotes with their lowest bid and highest ask. An order reads the runs' extremes and
-    picks at most two runs a bucket: the one that its own time cuts, and the first one after it
-    that can fill; only their quotes, an array of at most ``run``, are looked at one by one. So
-    three rows an order pass through shuffles, however dense the quotes are, and an order is
-    never joined to single quotes. Null prices, sides and times fill nothing; orders are told
-    apart by order_id, of equal ones the earliest fill is returned.
+    A stream's span of ``run`` timeouts, with the quotes of the timeout after it, is sorted from
+    late to early and passed through once. Of the quotes met, only those stay that no earlier
+    one outdoes (their bids rise, their asks fall towards the present), so an order finds the
+    first one that fills it by bisection: the work of a row grows with the logarithm of the
+    quotes in a span, and 1 + 1 / ``run`` rows a quote pass through the shuffle. Null prices, sides
+    and times fill nothing, NaN counts as infinite; orders are told apart by order_id, of equal
+    ones the earliest fill is returned.
     """
-    bucket = F.floor(F.col("timestamp_ms") / timeout)
-    good = quotes.where((F.col("bid") > 0) & (F.col("ask") > F.col("bid"))).select(*keys, bucket.alias("_b"), "timestamp_ms", "sequence_id", "bid", "ask")
-    at = Window.partitionBy(*keys, "_b").orderBy("timestamp_ms", "sequence_id")
-    runs = good.withColumn("_r", F.floor((F.row_number().over(at) - 1) / run)).groupBy(*keys, "_b", "_r").agg(
-        F.min("timestamp_ms").alias("from"), F.max("timestamp_ms").alias("to"), F.min("bid").alias("low"), F.max("ask").alias("high"),
-        F.collect_list(F.struct("timestamp_ms", "bid", "ask")).alias("_quotes"),
-    )
-    tops = runs.groupBy(*keys, "_b").agg(F.sort_array(F.collect_list(F.struct("_r", "from", "to", "low", "high"))).alias("_runs"))
-    t0, limit, buy = F.col("timestamp_ms"), F.col("limit_price"), F.col("side") == "BUY"
-    asked = orders.select(*keys, "order_id", "timestamp_ms", "side", "limit_price", F.explode(F.array(bucket, bucket + 1)).alias("_b"))
-    breaks = lambda low, high: F.when(buy, low < limit).otherwise(high > limit)
-    cut = F.filter("_runs", lambda x: (x["from"] <= t0) & (x["to"] > t0) & breaks(x["low"], x["high"]))
-    later = F.slice(F.filter("_runs", lambda x: (x["from"] > t0) & (x["from"] <= t0 + timeout) & breaks(x["low"], x["high"])), 1, 1)
-    picked = asked.join(tops, [*keys, "_b"]).select(*keys, "_b", "order_id", "timestamp_ms", "side", "limit_price", F.explode(F.concat(cut, later)).alias("_x"))
-    probed = picked.withColumn("_r", F.col("_x._r")).drop("_x").join(runs.select(*keys, "_b", "_r", "_quotes"), [*keys, "_b", "_r"])
-    hit = F.filter("_quotes", lambda x: (x["timestamp_ms"] > t0) & (x["timestamp_ms"] <= t0 + timeout) & breaks(x["bid"], x["ask"]))
-    first = F.array_min(F.transform(hit, lambda x: x["timestamp_ms"]))
-    return probed.select("order_id", first.alias("_t")).where("_t IS NOT NULL").groupBy("order_id").agg(F.min("_t").alias("fill_timestamp_ms"))
+    number = lambda c: F.when(F.isnan(c), F.lit(float("inf"))).otherwise(F.col(c).cast("double"))
+    t, none = F.col("timestamp_ms").cast("long"), F.lit(None)
+    span = F.floor(t / (timeout * run)).cast("long")
+    spans = F.array_distinct(F.array(span, F.floor((t - timeout) / (timeout * run)).cast("long")))
+    good = quotes.where((F.col("bid") > 0) & (F.col("ask") > F.col("bid")) & t.isNotNull())
+    good = good.select(*keys, F.explode(spans).alias("_b"), t.alias("_t"), F.lit(True).alias("_q"), none.cast(orders.schema["order_id"].dataType).alias("order_id"), F.lit(False).alias("_buy"), number("bid").alias("_x"), number("ask").alias("_y"))
+    asked = orders
+    for c in (*keys, "timestamp_ms", "side", "limit_price"):
+        asked = asked.where(F.col(c).isNotNull())
+    asked = asked.select(*keys, span.alias("_b"), t.alias("_t"), F.lit(False).alias("_q"), "order_id", (F.col("side") == "BUY").alias("_buy"), number("limit_price").alias("_x"), none.cast("double").alias("_y"))
+    # at equal times orders come first, so that they do not meet these quotes
+    rows = good.unionByName(asked).repartition(*keys, "_b").sortWithinPartitions(*keys, "_b", F.desc("_t"), "_q")
+    width = len(keys) + 1
+
+    def passed(batches):
+        at = None
+        for b in batches:
+            ids, fills = [], []
+            span = zip(*(b.column(k).to_pylist() for k in range(width)))
+            for k, (where, t, quote, buy, x, y) in enumerate(zip(span, *(b.column(width + c).to_pylist() for c in (0, 1, 3, 4, 5)))):
+                if where != at:
+                    at, bids, bid_t, asks, ask_t = where, [], [], [], []
+                if quote:
+                    while bids and bids[-1] >= x:
+                        bids.pop(), bid_t.pop()
+                    bids.append(x), bid_t.append(t)
+                    while asks and asks[-1] >= -y:
+                        asks.pop(), ask_t.pop()
+                    asks.append(-y), ask_t.append(t)
+                    continue
+                n = bisect_left(bids, x) if buy else bisect_left(asks, -x)
+                if n:
+                    first = (bid_t if buy else ask_t)[n - 1]
+                    if first <= t + timeout:
+                        ids.append(k), fills.append(first)
+            yield pa.RecordBatch.from_arrays([b.column(width + 2).take(pa.array(ids, pa.int64())), pa.array(fills, pa.int64())], names=["order_id", "_at"])
+
+    out = rows.mapInArrow(passed, T.StructType([orders.schema["order_id"]]).add("_at", "long"))
+    return out.groupBy("order_id").agg(F.min("_at").alias("fill_timestamp_ms"))
 
 
 def clustered(ledger: DataFrame, gap: int, keys: list[str]) -> DataFrame:

@@ -120,11 +120,9 @@ def _event_sim(q, orders):
     o = orders.withColumns({"side": F.when(even, "BUY").otherwise("SELL"), "limit_price": F.when(even, F.col("bid")).otherwise(F.col("ask"))})
     o = o.select("sequence_id", *STREAM, "timestamp_ms", "side", "limit_price")
     fills = execution.first_fills(o.withColumnRenamed("sequence_id", "order_id"), q, _T, STREAM).withColumnRenamed("order_id", "sequence_id")
-    done = o.join(fills, "sequence_id", "left")
-    filled = done.where(F.col("fill_timestamp_ms").isNotNull())
-    out = forward_match(filled, q, "fill_timestamp_ms", _X, None, ["bid", "ask"], keys=STREAM)
-    exits = out.select("sequence_id", F.when(F.col("side") == "BUY", F.col("target.bid")).otherwise(F.col("target.ask")).alias("exit_price"))
-    every = done.join(exits, "sequence_id", "left")
+    out = forward_match(o.join(fills, "sequence_id"), q, "fill_timestamp_ms", _X, None, ["bid", "ask"], keys=STREAM)
+    exit_price = F.when(F.col("side") == "BUY", F.col("target.bid")).otherwise(F.col("target.ask"))
+    every = o.join(out.select("sequence_id", "fill_timestamp_ms", exit_price.alias("exit_price")), "sequence_id", "left")
     status = F.when(F.col("fill_timestamp_ms").isNull(), "CANCELLED_UNFILLED").when(F.col("exit_price").isNull(), "INCOMPLETE_MISSING_EXIT").otherwise("COMPLETED")
     return every.select("sequence_id", "side", "limit_price", "fill_timestamp_ms", "exit_price", status.alias("outcome"))
 

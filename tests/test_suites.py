@@ -146,6 +146,30 @@ def test_first_fills_against_plain_search(spark):
     assert len(want) > 100 and not execution.first_fills(o.limit(0), q, 50, ["m"]).collect()
 
 
+def test_first_fills_in_a_dense_span(spark):
+    """Thousands of quotes in one timeout, unfilled orders among them, against a plain search;
+    no order looks through arrays of quotes or runs, and orders without a side fill nothing."""
+    from quillfin.operators import execution
+
+    rng = random.Random(21)
+    quotes = [("a", rng.randint(0, 900), n, b / 100, (b + 1 + n % 3) / 100) for n in range(3000) for b in [rng.randint(1, 90)]]
+    quotes += [("a", 901, 3000, 0.5, float("nan"))]
+    orders = [("a", n, t, ("BUY", "SELL")[n % 2], b if n % 2 == 0 else a) for _, t, n, b, a in quotes[:3000]] + [("a", 5000, 1, None, 0.5), (None, 5001, 1, "BUY", 0.9), ("a", 5002, 900, "SELL", 0.99)]
+    best, want = {}, {}
+    for _, t, _, b, a in quotes:
+        low, high = best.get(t, (9.0, 0.0))
+        best[t] = (min(low, b), max(high, 9.0 if a != a else a))
+    for m, k, t, side, lim in orders:
+        hit = next((x for x in range(t + 1, t + 1001) if x in best and (best[x][0] < lim if side == "BUY" else best[x][1] > lim)), None)
+        if m and side and hit is not None:
+            want[k] = hit
+    o = spark.createDataFrame(orders, "m string, order_id long, timestamp_ms long, side string, limit_price double")
+    q = spark.createDataFrame(quotes, "m string, timestamp_ms long, sequence_id long, bid double, ask double")
+    out = execution.first_fills(o, q, 1000, ["m"])
+    assert {r.order_id: r.fill_timestamp_ms for r in out.collect()} == want and 5002 in want and 2500 < len(want) < 3003
+    assert "lambdafunction" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bootstrap_over_many_leaves(spark):
     """Quantiles of a plain bootstrap of blocks, within Monte Carlo error; ends and odd tables."""
     rng = np.random.default_rng(12)
