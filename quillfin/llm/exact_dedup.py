@@ -41,11 +41,13 @@ def _merged(docs: DataFrame, uid: Column, id_col: str, text_col: str, keep: str,
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", fan_in: int = 8) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: exactly one of each group.
 
-    Rows are told apart by a number of their own in a staged copy, so each text is hashed
-    once and repeated rows, equal ids and null ids need no other comparison. Null and empty
-    texts are one group; an empty table stays empty; other columns may have any names.
+    Rows are told apart by a number of their own, so each text is hashed once and repeated
+    rows, equal ids and null ids need no other comparison. Null and empty texts are one
+    group; an empty table stays empty; other columns may have any names.
     """
     work = common.workspace(docs.sparkSession, "exact-dedup")
     docs, uid = common.numbered(docs, f"{work}/docs")
-    merged = common.stage(_merged(docs, docs[uid], id_col, text_col, keep, fan_in, work).where(F.col("_uid") != F.col("_keep.uid")).select(F.col("_uid").alias(uid)), f"{work}/gone")
-    return docs.join(merged, uid, "left_anti").drop(uid)
+    merged = _merged(docs, docs[uid], id_col, text_col, keep, fan_in, f"{work}/tree")
+    gone = common.stage(merged.where(F.col("_uid") != F.col("_keep.uid")).select(F.col("_uid").alias(uid)), f"{work}/gone")
+    common.drop_path(docs.sparkSession, f"{work}/tree")
+    return docs.join(gone, uid, "left_anti").drop(uid)

@@ -453,10 +453,12 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     words_each, percent = options.get("words_each", 5), options.get("percent", 75)
     docs, uid = common.numbered(docs, f"{path}/docs")
-    signed = common.stage(signatures(docs, docs[uid], id_col, text_col, words_each), f"{path}/signed")
-    labels = _text_components(signed, docs, id_col, text_col, words_each, percent, path)
-    rows = common.stage(common.spread_join(signed.select("uid", "doc_id", "key"), labels, "key", "uid"), f"{path}/rows")
+    own = f"{path}/own"
+    signed = common.stage(signatures(docs, docs[uid], id_col, text_col, words_each), f"{own}/signed")
+    labels = _text_components(signed, docs, id_col, text_col, words_each, percent, own)
+    rows = common.stage(common.spread_join(signed.select("uid", "doc_id", "key"), labels, "key", "uid"), f"{own}/rows")
     best = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "uid")).alias("best"))
     gone = common.spread_join(rows, best, "label", "uid").where(F.col("uid") != F.col("best.uid")).select(F.col("uid").alias(uid))
     gone = common.stage(gone, f"{path}/gone")
+    common.drop_path(spark, own)
     return docs.join(gone, uid, "left_anti").drop(uid)

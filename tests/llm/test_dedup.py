@@ -281,3 +281,25 @@ def test_exact_repeated_rows_and_names(spark):
     out = exact_dedup.deduplicated(d)
     assert out.columns == d.columns
     assert Counter((r.doc_id, lower(r.text)[:2]) for r in out.collect()) == Counter([(1, "a"), (None, "b"), (3, ""), (8, "x ")])
+
+
+def test_stored_tables_are_numbered_without_a_copy(spark, tmp_path, monkeypatch):
+    """Stored rows have the same numbers in every scan and are not written again; other frames are."""
+    from quillfin.llm import common
+
+    d = spark.createDataFrame([(k % 40, f"{VOCAB[k % 50]} and some more words") for k in range(300)], "doc_id long, text string")
+    d.repartition(7).write.parquet(f"{tmp_path}/docs")
+    stored = spark.read.parquet(f"{tmp_path}/docs")
+    own, uid = common.numbered(stored, f"{tmp_path}/copy")
+    first = {tuple(r) for r in own.collect()}
+    assert not (tmp_path / "copy").exists() and first == {tuple(r) for r in own.repartition(3).collect()}
+    assert len({r[-1] for r in first}) == 300
+    for f in (exact_dedup.deduplicated, near_dedup.deduplicated):
+        out = f(stored).collect()
+        assert {r.text for r in out} == {r.text for r in d.collect()} and len(out) == 50
+    for k, other in enumerate((stored.where("doc_id > 3"), stored.union(stored), d)):
+        own, uid = common.numbered(other, f"{tmp_path}/copy{k}")
+        assert (tmp_path / f"copy{k}").exists() and own.select(uid).distinct().count() == other.count()
+    monkeypatch.setattr(common, "FILE_BITS", 0)  # files that cannot be told apart
+    own, uid = common.numbered(stored, f"{tmp_path}/clash")
+    assert (tmp_path / "clash").exists() and own.select(uid).distinct().count() == 300
